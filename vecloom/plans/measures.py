@@ -76,7 +76,40 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter("label < 5"), rows.filter("label >= 5")
 
 
-@query("frechet_distance")
+def product_sql(a: str, b: str) -> str:
+    return f"select {a}.i, {b}.j, sum({a}.v*{b}.v) v from {a} join {b} on {a}.j = {b}.i group by all"
+
+
+def root_sql(matrix: str, rounds: int = 30) -> str:
+    """CTEs of the coupled Newton iteration: ``y{rounds}`` is the root of ``matrix`` over its scale."""
+    steps = [
+        f"""s as materialized (select sqrt(sum(v*v)) s from {matrix}),
+y0 as materialized (select i, j, v/s v from {matrix}, s),
+z0 as materialized (select i, j, case when i = j then 1.0::DOUBLE else 0 end v from {matrix})"""
+    ]
+    for k in range(rounds):
+        steps.append(
+            f"""zy{k} as materialized ({product_sql(f'z{k}', f'y{k}')}),
+t{k} as materialized (select i, j, (case when i = j then 3.0::DOUBLE else 0 end - v)/2 v from zy{k}),
+y{k + 1} as materialized ({product_sql(f'y{k}', f't{k}')}),
+z{k + 1} as materialized ({product_sql(f't{k}', f'z{k}')})"""
+        )
+    return ",\n".join(steps)
+
+
+@query(
+    "frechet_distance",
+    f"""with e as materialized ({E}),
+mu as (select i, label < 5 side, avg(x) m from e group by all),
+c as materialized (select a.label < 5 side, a.i, b.i j, covar_samp(a.x, b.x) v
+  from e a join e b on a.vec_id = b.vec_id group by all),
+c1 as materialized (select i, j, v from c where side), c2 as materialized (select i, j, v from c where not side),
+p as materialized ({product_sql('c1', 'c2')}),
+{root_sql('p')}
+select round((select sum((a.m-b.m)*(a.m-b.m)) from mu a join mu b on a.i = b.i and a.side and not b.side)
+ + (select sum(v) from c where i = j) - 2*sqrt(s)*(select sum(v) from y30 where i = j), 6)+0.0 frechet_distance
+from s""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     distance = frechet_distance(*_halves(spark, sf_dir), "embedding")
     return distance.select(r6(F.col("frechet_distance")).alias("frechet_distance"))
@@ -93,7 +126,25 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.select(r6(F.col("frechet_diagonal")).alias("frechet_diagonal"))
 
 
-@query("fit_velocity")
+# Gauss-Jordan elimination of the normal equations: 66 features (constant, state,
+# time) against 64 outputs, one pivot per round. The matrix needs no row swaps.
+FIT_SQL = f"""with recursive {D},
+f as materialized (select vec_id, i, (1-t)*noise+t*x v from d union all select vec_id, 0, 1 from d where i = 1
+  union all select vec_id, 65, t from d where i = 1),
+y as materialized (select vec_id, 65+i i, x-noise v from d),
+g as materialized (select a.i, b.i j, sum(a.v*b.v) + case when a.i = b.i and a.i > 0 then 1.0::DOUBLE else 0 end v
+  from f a join (select * from f union all select * from y) b on a.vec_id = b.vec_id group by all),
+w as (select 0 k, i, j, v from g
+  union all select m.k+1, m.i, m.j,
+    case when m.i = m.k then m.v/corner.v else m.v-left_of.v*above.v/corner.v end
+  from w m join w corner on corner.i = m.k and corner.j = m.k
+    join w left_of on left_of.i = m.i and left_of.j = m.k
+    join w above on above.i = m.k and above.j = m.j
+  where m.k < 66)
+select i::INTEGER feature, (j-66)::INTEGER AS output, round(v, 6)+0.0 weight from w where k = 66 and j >= 66"""
+
+
+@query("fit_velocity", FIT_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drawn(spark, sf_dir).withColumn("time", F.array("time"))
     weights = fit_velocity(rows, ["z_t", "time"], "target", ridge=1.0)

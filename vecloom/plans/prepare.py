@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from vecloom.functions import quantize_f16
-from vecloom.operators import drop_blank, embed_text
+from vecloom.operators import drop_blank, embed_text, global_index
 from vecloom.operators.feed import SAMPLES_PER_SHARD
 from vecloom.sources import write_shards
 
@@ -26,5 +26,11 @@ def prepare_shards(
     dim: int = 512,
     samples_per_shard: int = SAMPLES_PER_SHARD,
 ) -> None:
-    """Index the prepared rows in ``order`` and write them as shards."""
-    write_shards(prepare(pairs, text, dim, order), path, order, samples_per_shard)
+    """Index the captions in ``order``, embed them and write them as shards.
+
+    Indexing sorts, and a sort reads its input twice, once for the borders of its
+    ranges. So it comes before the costly step.
+    """
+    indexed = global_index(drop_blank(pairs.select(*order, text), text), *order)
+    keep = [c for c in indexed.columns if c != text]
+    write_shards(prepare(indexed, text, dim, keep), path, samples_per_shard=samples_per_shard)
