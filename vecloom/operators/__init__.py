@@ -29,7 +29,7 @@ from vecloom.operators.rows import (
     take_first,
     take_images,
 )
-from vecloom.operators.sampling import euler_fold, euler_sample, euler_snapshots
+from vecloom.operators.sampling import euler_fold, euler_sample, euler_snapshots, velocity_at
 from vecloom.operators.stats import (
     accumulate_loss,
     batch_mean_loss,
@@ -87,5 +87,6 @@ __all__ = [
     "take_images",
     "tensor_stats",
     "vector_moments",
+    "velocity_at",
     "zip_columns",
 ]

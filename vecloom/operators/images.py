@@ -86,6 +86,8 @@ def resize_planes(col: Column, channels: int, size: int, target: int, method: st
     @F.arrow_udf("array<double>")
     def resize(images: pa.Array) -> pa.Array:
         matrix, present = to_matrix(images, channels * size * size)
+        if not len(matrix):
+            return pa.nulls(len(present), pa.list_(pa.float64()))
         planes = matrix.reshape(len(matrix) * channels, size, size)
         return to_lists(_resize(planes, target, method).reshape(len(matrix), -1), present, pa.float64())
 

@@ -33,6 +33,24 @@ def _walk(v_fn: VelocityField, n: int, z: np.ndarray, context: list[np.ndarray])
         yield i, z
 
 
+def velocity_at(
+    z: Column, t: Column, v_fn: VelocityField, context: Sequence[Column] = ()
+) -> Column:
+    """A velocity field applied to a column of states, each at its own time."""
+
+    @F.arrow_udf("array<double>")
+    def velocity(times: pa.Array, *columns: pa.Array) -> pa.Array:
+        present = _rows_with_all([times, *columns])
+        if not present.any():
+            return pa.nulls(len(present), pa.list_(pa.float64()))
+        keep = pa.array(present)
+        state, *rest = [to_matrix(c.filter(keep))[0] for c in columns]
+        at = times.filter(keep).to_numpy(zero_copy_only=False)[:, None]
+        return to_lists(v_fn(state, at, *rest), present, pa.float64())
+
+    return velocity(t, doubles(z), *[doubles(c) for c in context])
+
+
 def euler_sample(
     z: Column, v_fn: VelocityField, n: int = INFERENCE_STEPS, context: Sequence[Column] = ()
 ) -> Column:
@@ -41,6 +59,8 @@ def euler_sample(
     @F.arrow_udf("array<double>")
     def sample(*columns: pa.Array) -> pa.Array:
         present = _rows_with_all(columns)
+        if not present.any():
+            return pa.nulls(len(present), pa.list_(pa.float64()))
         state, *rest = [to_matrix(c.filter(pa.array(present)))[0] for c in columns]
         for _, state in _walk(v_fn, n, state, rest):
             pass
@@ -63,6 +83,8 @@ def euler_snapshots(
     @F.arrow_udf("array<array<double>>")
     def history(*columns: pa.Array) -> pa.Array:
         present = _rows_with_all(columns)
+        if not present.any():
+            return pa.nulls(len(present), pa.list_(pa.list_(pa.float64())))
         state, *rest = [to_matrix(c.filter(pa.array(present)))[0] for c in columns]
         states = [s for i, s in _walk(v_fn, n, state, rest) if i in kept]
         dim = state.shape[1]

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrays import doubles
-from vecloom.functions.arrow import to_lists, to_matrix
+from vecloom.functions.arrow import to_matrix
 from vecloom.functions.draws import sample_noise, sample_time
 from vecloom.functions.flow import interpolate, target_velocity, velocity_mse
-from vecloom.operators.sampling import INFERENCE_STEPS, VelocityField, euler_sample
+from vecloom.operators.sampling import INFERENCE_STEPS, VelocityField, euler_sample, velocity_at
 
 # One moment matrix has to fit in a task, whatever the number of rows.
 MAX_DIM = 4096
@@ -240,22 +240,3 @@ def evaluate(
     start = sample_noise(F.col(key), dim, seed, "generate")
     samples = df.withColumn("generated", euler_sample(start, v_fn, n, extra))
     return batch_mean_loss(drawn, "batch_id", "loss"), samples
-
-
-def velocity_at(
-    z: Column, t: Column, v_fn: VelocityField, context: Sequence[Column] = ()
-) -> Column:
-    """A velocity field applied to a column of states, each at its own time."""
-
-    @F.arrow_udf("array<double>")
-    def velocity(z_rows: pa.Array, t_rows: pa.Array, *rest: pa.Array) -> pa.Array:
-        present = np.asarray(z_rows.is_valid()) & np.asarray(t_rows.is_valid())
-        for column in rest:
-            present &= np.asarray(column.is_valid())
-        keep = pa.array(present)
-        state = to_matrix(z_rows.filter(keep))[0]
-        times = t_rows.filter(keep).to_numpy(zero_copy_only=False)[:, None]
-        others = [to_matrix(c.filter(keep))[0] for c in rest]
-        return to_lists(v_fn(state, times, *others), present, pa.float64())
-
-    return velocity(doubles(z), t, *[doubles(c) for c in context])

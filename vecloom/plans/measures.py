@@ -133,7 +133,7 @@ f as materialized (select vec_id, i, (1-t)*noise+t*x v from d union all select v
   union all select vec_id, 65, t from d where i = 1),
 y as materialized (select vec_id, 65+i i, x-noise v from d),
 g as materialized (select a.i, b.i j, sum(a.v*b.v) + case when a.i = b.i and a.i > 0 then 1.0::DOUBLE else 0 end v
-  from f a join (select * from f union all select * from y) b on a.vec_id = b.vec_id group by all),
+  from f a join (select * from f union all select * from y) b on a.vec_id = b.vec_id group by a.i, b.i),
 w as (select 0 k, i, j, v from g
   union all select m.k+1, m.i, m.j,
     case when m.i = m.k then m.v/corner.v else m.v-left_of.v*above.v/corner.v end

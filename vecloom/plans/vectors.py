@@ -32,7 +32,7 @@ from vecloom.operators import (
     euler_snapshots,
     map_rows,
 )
-from vecloom.operators.stats import velocity_at
+from vecloom.operators.sampling import velocity_at
 from vecloom.plans.catalog import TOKEN_ID, drawn_sql, elements_sql, noise_sql, query, r6, table, time_sql, weighted
 from vecloom.plans.score import draw
 
