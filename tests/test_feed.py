@@ -202,3 +202,17 @@ def test_retention_per_run_with_one_huge_run(spark):
     assert kept.filter("run = 0").count() == 7
     assert kept.filter("run > 0").count() == 1000
     assert retention_deletes(rows, 5, 2500, ["run"]).count() == 2000 - 7
+
+
+def test_take_first_of_many(spark, monkeypatch):
+    from vecloom.operators import rows
+
+    monkeypatch.setattr(rows, "MAX_TOP", 10)
+    got = take_first(spark.range(60).repartition(5), 25, "id")
+    assert got.columns == ["id"] and sorted(r.id for r in got.collect()) == list(range(25))
+
+
+def test_shuffle_by_two_columns(spark):
+    rows = spark.range(300).select(F.lit("hot").alias("source"), F.col("id"))
+    got = shuffle_samples(rows, ["source", "id"], seed=1).collect()
+    assert sorted(r.pos for r in got) == list(range(300))

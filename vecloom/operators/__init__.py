@@ -29,7 +29,7 @@ from vecloom.operators.rows import (
     take_first,
     take_images,
 )
-from vecloom.operators.sampling import euler_fold, euler_sample, euler_snapshots, velocity_at
+from vecloom.operators.sampling import euler_fold, euler_sample, euler_snapshots, velocity_at, velocity_loss
 from vecloom.operators.stats import (
     accumulate_loss,
     batch_mean_loss,
@@ -88,5 +88,6 @@ __all__ = [
     "tensor_stats",
     "vector_moments",
     "velocity_at",
+    "velocity_loss",
     "zip_columns",
 ]

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vecloom.functions.draws import hash_word
@@ -102,22 +101,24 @@ def shuffle_shards(df: DataFrame, seed: int = 0, shard: str = "shard") -> DataFr
 
 def shuffle_samples(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     seed: int = 0,
     epoch: int = 0,
     buffer: int | None = None,
     idx: str = "idx",
 ) -> DataFrame:
-    """Add ``pos``: the row's place in a seeded shuffle. ``key`` has to be unique.
+    """Add ``pos``: the row's place in a seeded shuffle.
 
-    With ``buffer`` the order changes only inside blocks of that many consecutive
+    The columns of ``key`` together have to identify a row; rows of one key would
+    share a hash, and so a task. With ``buffer`` the order changes only inside blocks of that many consecutive
     indexes, much as a reader with a bounded buffer would do it.
     """
-    word = hash_word(seed, epoch, F.col(key))
+    keys = [key] if isinstance(key, str) else list(key)
+    word = hash_word(seed, epoch, *map(F.col, keys))
     if buffer is None:
-        return _rank_by_hash(df, word, [key], [], "pos", 1)
+        return _rank_by_hash(df, word, keys, [], "pos", 1)
     block = F.floor(F.col(idx) / buffer)
-    inside = Window.partitionBy("_block").orderBy("_word", key)
+    inside = Window.partitionBy("_block").orderBy("_word", *keys)
     return (
         df.withColumn("_block", block)
         .withColumn("_word", word)
@@ -126,11 +127,12 @@ def shuffle_samples(
     )
 
 
-def repeat_epochs(df: DataFrame, key: str, epochs: int, seed: int = 0) -> DataFrame:
+def repeat_epochs(df: DataFrame, key: str | Sequence[str], epochs: int, seed: int = 0) -> DataFrame:
     """Every row once per epoch, with its place in that epoch's own shuffle."""
     repeated = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    word = hash_word(seed, F.col("epoch"), F.col(key))
-    return _rank_by_hash(repeated, word, [key], ["epoch"], "pos", epochs)
+    keys = [key] if isinstance(key, str) else list(key)
+    word = hash_word(seed, F.col("epoch"), *map(F.col, keys))
+    return _rank_by_hash(repeated, word, keys, ["epoch"], "pos", epochs)
 
 
 def batch(df: DataFrame, size: int, idx: str = "idx") -> DataFrame:

@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.arrays import doubles
 from vecloom.functions.text import MAX_LENGTH, hash_embed, tokenize_pad
 from vecloom.operators.sampling import VelocityField
-from vecloom.operators.stats import _matrix_of, gram, packed
+from vecloom.operators.stats import full_matrix, gram, packed
 
 # Rows handed to a model at once, and length of a text vector.
 MODEL_BATCH = 32
@@ -85,18 +84,17 @@ def fit_velocity(
 
     One row per weight: ``feature`` 0 is the constant, ``output`` counts from 0.
     """
-    columns = [F.array(F.lit(1.0)), *[doubles(c) for c in features]]
-    x = F.concat(*columns)
-    y = doubles(target)
-    rows = df.select(F.concat(x, y).alias("_xy"), F.size(x).alias("_p"))
-    width = rows.filter("_xy IS NOT NULL").select("_p").head(1)
-    p = width[0]["_p"] if width else 0
+    size = F.lit(1)
+    for name in features:
+        size = size + F.size(name)
+    known = df.dropna(subset=[*features, target]).select(size.alias("p")).head(1)
+    p = known[0]["p"] if known else 0
 
     @F.pandas_udf("array<struct<feature: int, output: int, weight: double>>")
-    def solve(entries: pd.Series, size: pd.Series) -> pd.Series:
+    def solve(matrices: pd.Series, widths: pd.Series) -> pd.Series:
         models = []
-        for group, n in zip(entries, size):
-            m = _matrix_of(group, n)
+        for matrix, n in zip(matrices, widths):
+            m = full_matrix(matrix, n)
             penalty = np.eye(p) * ridge
             penalty[0, 0] = 0.0
             weights = np.linalg.solve(m[:p, :p] + penalty, m[:p, p:])
@@ -105,8 +103,8 @@ def fit_velocity(
             ])
         return pd.Series(models)
 
-    whole = packed(gram(rows, F.col("_xy"), partials=partials))
-    return whole.select(F.inline(solve("_entries", "_width")))
+    whole = packed(gram(df, [*features, target], partials=partials))
+    return whole.select(F.inline(solve("_rows", "_width")))
 
 
 def linear_field(weights: Iterable, n_features: int, n_outputs: int) -> VelocityField:

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.operators.feed import global_index
+
+# More rows than this are not gathered in one task.
+MAX_TOP = 100_000
+
 
 def drop_blank(df: DataFrame, col: str) -> DataFrame:
     """Drop rows whose text is null, empty or only white space."""
@@ -14,8 +19,14 @@ def drop_blank(df: DataFrame, col: str) -> DataFrame:
 
 
 def take_first(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first ``n`` rows in ``order``."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows in ``order``.
+
+    A small ``n`` is a top-n in every task and then of the tasks. A limit of many
+    rows would bring them all to one task, so those are cut by a running index.
+    """
+    if n <= MAX_TOP:
+        return df.orderBy(*order).limit(n)
+    return global_index(df, *order, idx="_idx", key="_key").filter(F.col("_idx") < n).select(*df.columns)
 
 
 def take_images(df: DataFrame, k: int = 32, *order: str) -> DataFrame:

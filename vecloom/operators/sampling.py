@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrays import doubles
-from vecloom.functions.arrow import to_lists, to_matrix
+from vecloom.functions.arrow import scatter, to_lists, to_matrix
+from vecloom.functions.draws import counter, normals, sample_time
 
 # Inference steps, and steps between two snapshots.
 INFERENCE_STEPS = 50
@@ -51,6 +52,37 @@ def velocity_at(
     return velocity(t, doubles(z), *[doubles(c) for c in context])
 
 
+def velocity_loss(
+    key: Column,
+    x: Column,
+    dim: int,
+    v_fn: VelocityField,
+    seed: int = 0,
+    context: Sequence[Column] = (),
+) -> Column:
+    """Squared error of a velocity field at the key's drawn noise and time.
+
+    The same as ``sample_noise``, ``sample_time``, ``interpolate``,
+    ``target_velocity``, ``velocity_at`` and ``velocity_mse`` one after another,
+    but a vector goes to Python once and only a number comes back.
+    """
+
+    @F.arrow_udf("double")
+    def loss(start: pa.Array, stride: pa.Array, times: pa.Array, *columns: pa.Array) -> pa.Array:
+        present = _rows_with_all([start, *columns])
+        if not present.any():
+            return pa.nulls(len(present), pa.float64())
+        keep = pa.array(present)
+        data, *rest = [to_matrix(c.filter(keep))[0] for c in columns]
+        t = times.filter(keep).to_numpy(zero_copy_only=False)[:, None]
+        noise = normals(np.asarray(start.filter(keep)), np.asarray(stride.filter(keep)), dim)
+        miss = v_fn((1.0 - t) * noise + t * data, t, *rest) - (data - noise)
+        return scatter((miss * miss).mean(axis=1), present)
+
+    drawn = (*counter(key, seed, "noise"), sample_time(key, seed))
+    return loss(*drawn, doubles(x), *[doubles(c) for c in context])
+
+
 def euler_sample(
     z: Column, v_fn: VelocityField, n: int = INFERENCE_STEPS, context: Sequence[Column] = ()
 ) -> Column:

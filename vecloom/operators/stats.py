@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.arrays import doubles
 from vecloom.functions.arrow import to_matrix
-from vecloom.functions.draws import sample_noise, sample_time
-from vecloom.functions.flow import interpolate, target_velocity, velocity_mse
-from vecloom.operators.sampling import INFERENCE_STEPS, VelocityField, euler_sample, velocity_at
+from vecloom.functions.draws import sample_noise
+from vecloom.operators.sampling import INFERENCE_STEPS, VelocityField, euler_sample, velocity_loss
 
 # One moment matrix has to fit in a task, whatever the number of rows.
 MAX_DIM = 4096
@@ -60,15 +59,23 @@ def mean_vector(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     return vectors.groupBy(*by).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("mean_vector"))
 
 
-def gram(df: DataFrame, vector: Column, by: Sequence[str] = (), partials: int | None = None) -> DataFrame:
-    """Sums of ``x_i * x_j`` over all rows, i <= j, counted from 0.
+def gram(
+    df: DataFrame,
+    cols: Sequence[str],
+    by: Sequence[str] = (),
+    shift: np.ndarray | float = 0.0,
+    partials: int | None = None,
+) -> DataFrame:
+    """Sums of ``x_i * x_j`` over all rows: for each ``i``, from 0, those of j = i, i + 1, ...
 
+    The vector of a row is a constant 1 and then the arrays ``cols`` less ``shift``.
     Each task adds up its rows' products and passes on one matrix per group, so
     the shuffle carries matrices instead of vectors and a large group costs no
     more than a small one. ``partials`` limits the number of tasks, and with it
     of matrices, when the vectors are wide.
     """
-    source = df.select(*by, doubles(vector).alias("_v")).filter("_v IS NOT NULL")
+    source = df.select(*by, *[doubles(c).alias(f"_v{n}") for n, c in enumerate(cols)])
+    source = source.dropna(subset=[f"_v{n}" for n in range(len(cols))])
     if partials is not None:
         source = source.coalesce(partials)
     names = list(by)
@@ -84,12 +91,13 @@ def gram(df: DataFrame, vector: Column, by: Sequence[str] = (), partials: int |
         for code, row in enumerate(labels.take(pa.array(first)).to_pylist()):
             yield tuple(row.values()), codes == code
 
-    def entries(held: dict[tuple, np.ndarray], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    def matrix_rows(held: dict[tuple, np.ndarray], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
         for group, matrix in held.items():
-            i, j = np.triu_indices(len(matrix))
-            labels = [pa.array([g] * len(i), type=t) for g, t in zip(group, types)]
-            numbers = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(matrix[i, j])]
-            yield pa.RecordBatch.from_arrays(labels + numbers, [*names, "i", "j", "s"])
+            width = len(matrix)
+            labels = [pa.array([g] * width, type=t) for g, t in zip(group, types)]
+            upper = pa.array([matrix[i, i:] for i in range(width)], type=pa.list_(pa.float64()))
+            numbers = [pa.array(range(width), pa.int32()), upper]
+            yield pa.RecordBatch.from_arrays(labels + numbers, [*names, "i", "part"])
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
@@ -99,7 +107,8 @@ def gram(df: DataFrame, vector: Column, by: Sequence[str] = (), partials: int |
             if not table.num_rows:
                 continue
             types = [table.schema.field(n).type for n in names]
-            matrix, _ = to_matrix(table.column("_v").combine_chunks())
+            arrays = [to_matrix(table.column(f"_v{n}").combine_chunks())[0] for n in range(len(cols))]
+            matrix = np.hstack([np.ones((table.num_rows, 1)), np.hstack(arrays) - shift])
             width = matrix.shape[1]
             if width > MAX_DIM:
                 raise ValueError(f"vectors of {width} are too wide for a moment matrix")
@@ -107,27 +116,28 @@ def gram(df: DataFrame, vector: Column, by: Sequence[str] = (), partials: int |
                 part = matrix[rows]
                 held[group] = held.get(group, 0.0) + part.T @ part
             if len(held) * width**2 > MAX_HELD:
-                yield from entries(held, types)
+                yield from matrix_rows(held, types)
                 held.clear()
-        yield from entries(held, types)
+        yield from matrix_rows(held, types)
 
-    schema = ", ".join([*group_schema, "i int", "j int", "s double"])
-    return source.mapInArrow(products, schema).groupBy(*by, "i", "j").agg(F.sum("s").alias("s"))
+    schema = ", ".join([*group_schema, "i int", "part array<double>"])
+    parts = source.mapInArrow(products, schema).withColumn("part", array_to_vector("part"))
+    return parts.groupBy(*by, "i").agg(vector_to_array(Summarizer.sum(F.col("part"))).alias("sums"))
 
 
-def _matrix_of(entries: pd.Series | list, width: int) -> np.ndarray:
-    """The symmetric matrix of ``(i, j, s)`` entries."""
-    full = np.zeros((width, width))
-    i = np.array([e["i"] for e in entries])
-    j = np.array([e["j"] for e in entries])
-    full[i, j] = full[j, i] = [e["s"] for e in entries]
-    return full
+def full_matrix(rows: Sequence[dict], width: int) -> np.ndarray:
+    """The symmetric matrix of the upper rows that ``gram`` gives."""
+    matrix = np.zeros((width, width))
+    for row in rows:
+        i = row["i"]
+        matrix[i, i:] = matrix[i:, i] = row["sums"]
+    return matrix
 
 
 def packed(gram_df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per group holding its whole matrix, at most MAX_DIM squared entries."""
+    """One row per group holding its whole matrix, at most MAX_DIM rows."""
     whole = gram_df.groupBy(*by).agg(
-        F.collect_list(F.struct("i", "j", "s")).alias("_entries"), (F.max("j") + 1).alias("_width")
+        F.collect_list(F.struct("i", "sums")).alias("_rows"), (F.max("i") + 1).alias("_width")
     )
     return whole.filter("_width IS NOT NULL")
 
@@ -142,14 +152,12 @@ def vector_moments(
     """
     sample = df.filter(F.col(col).isNotNull()).select(doubles(col).alias("v")).head(1)
     shift = np.asarray(sample[0]["v"] if sample else [], dtype=np.float64)
-    shift_col = F.lit(shift.tolist()).cast("array<double>")
-    shifted = F.concat(F.array(F.lit(1.0)), F.zip_with(doubles(col), shift_col, lambda x, s: x - s))
 
     @F.pandas_udf("n bigint, mean array<double>, cov array<array<double>>")
-    def finish(entries: pd.Series, width: pd.Series) -> pd.DataFrame:
+    def finish(matrices: pd.Series, widths: pd.Series) -> pd.DataFrame:
         rows = []
-        for group, size in zip(entries, width):
-            m = _matrix_of(group, size)
+        for matrix, width in zip(matrices, widths):
+            m = full_matrix(matrix, width)
             n = m[0, 0]
             mean = m[0, 1:] / n
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -157,8 +165,8 @@ def vector_moments(
             rows.append((int(round(n)), mean + shift, list(cov)))
         return pd.DataFrame(rows, columns=["n", "mean", "cov"])
 
-    whole = packed(gram(df, shifted, by, partials), by)
-    return whole.select(*by, finish("_entries", "_width").alias("_m")).select(*by, "_m.*")
+    whole = packed(gram(df, [col], by, shift, partials), by)
+    return whole.select(*by, finish("_rows", "_width").alias("_m")).select(*by, "_m.*")
 
 
 def frechet_distance(
@@ -228,14 +236,9 @@ def evaluate(
     ``df`` has an index column ``idx``; batches are runs of ``batch_size`` indexes.
     """
     extra = [F.col(c) for c in context]
-    drawn = (
-        df.withColumn("noise", sample_noise(F.col(key), dim, seed))
-        .withColumn("time", sample_time(F.col(key), seed))
-        .withColumn("z_t", interpolate("noise", col, F.col("time")))
-        .withColumn("target", target_velocity(col, "noise"))
-        .withColumn("predicted", velocity_at(F.col("z_t"), F.col("time"), v_fn, extra))
-        .withColumn("loss", velocity_mse("predicted", "target"))
-        .withColumn("batch_id", F.floor(F.col("idx") / batch_size))
+    drawn = df.select(
+        F.floor(F.col("idx") / batch_size).alias("batch_id"),
+        velocity_loss(F.col(key), F.col(col), dim, v_fn, seed, extra).alias("loss"),
     )
     start = sample_noise(F.col(key), dim, seed, "generate")
     samples = df.withColumn("generated", euler_sample(start, v_fn, n, extra))

@@ -31,8 +31,9 @@ from vecloom.operators import (
     euler_sample,
     euler_snapshots,
     map_rows,
+    velocity_at,
+    velocity_loss,
 )
-from vecloom.operators.sampling import velocity_at
 from vecloom.plans.catalog import TOKEN_ID, drawn_sql, elements_sql, noise_sql, query, r6, table, time_sql, weighted
 from vecloom.plans.score import draw
 
@@ -53,14 +54,18 @@ def one_by_one(df: DataFrame, *cols: str, keep: tuple[str, ...] = ("vec_id",)) -
     )
 
 
+def at_rest(z: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return np.zeros_like(z)
+
+
 @query(
     "score_velocity",
     f"""with {D}, l as (select vec_id, label, avg((x-noise)*(x-noise)) loss from d group by all)
 select label, count(*)::BIGINT n, round(avg(loss), 6)+0.0 loss from l group by label""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zero = F.array_repeat(F.lit(0.0), DIM)
-    losses = drawn(spark, sf_dir).select("label", velocity_mse(zero, "target").alias("loss"))
+    loss = velocity_loss(F.col("vec_id"), F.col("embedding"), DIM, at_rest)
+    losses = table(spark, sf_dir, "embeddings").select("label", loss.alias("loss"))
     return losses.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("loss")).alias("loss"))
 
 

@@ -133,10 +133,14 @@ class TarWriter(DataSourceWriter):
                     info.size = len(content)
                     tar.addfile(info, io.BytesIO(content))
                     tar.members = []
-        finally:
             if tar is not None:
                 tar.close()
                 stream.close()
+        except BaseException:
+            if stream is not None:
+                stream.close()
+            self.abort([Written(renames)])
+            raise
         return Written(renames)
 
     def commit(self, messages: list[Written | None]) -> None:
