@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecloom.functions.arrow import to_lists, to_matrix
+from vecloom.functions.arrow import to_lists, to_matrix, vector_udf
 
 # Latent scale and layer-norm epsilon.
 LATENT_SCALE = 0.18215
@@ -56,7 +56,7 @@ def quantize_f16(col: Column | str) -> Column:
     than half the time of the same rule as a lambda over the elements.
     """
 
-    @F.arrow_udf("array<float>")
+    @vector_udf("array<float>")
     def halve(vectors: pa.Array) -> pa.Array:
         flat = vectors.flatten()
         with np.errstate(over="ignore"):
@@ -162,7 +162,7 @@ def linear_project(
         if part is not None:
             offset = offset + np.asarray(part, dtype=np.float64)
 
-    @F.arrow_udf("array<double>")
+    @vector_udf("array<double>")
     def project(x: pa.Array) -> pa.Array:
         matrix, present = to_matrix(x, w.shape[1])
         return to_lists(matrix @ w.T + offset, present, pa.float64())

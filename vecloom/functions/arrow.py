@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def vector_udf(kind: str) -> Callable[[Callable[..., pa.Array]], Callable[..., Column]]:
+    """An Arrow UDF that Spark evaluates once for a row.
+
+    Spark infers filters from an explode and pushes filters down, and repeats a
+    deterministic function there; one that it must not repeat stays where it is.
+    """
+
+    def wrap(fn: Callable[..., pa.Array]) -> Callable[..., Column]:
+        return F.arrow_udf(fn, kind).asNondeterministic()
+
+    return wrap
 
 
 def to_matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:

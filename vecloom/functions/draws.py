@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecloom.functions.arrow import to_lists
+from vecloom.functions.arrow import to_lists, vector_udf
 
 # The multipliers of the SplitMix64 finaliser (Steele et al., 2014).
 MIX_FIRST = 0xBF58476D1CE4E5B9
@@ -64,7 +64,7 @@ def normals(start: np.ndarray, stride: np.ndarray, dim: int) -> np.ndarray:
 def sample_noise(key: Column, dim: int, seed: int = 0, tag: str = "noise") -> Column:
     """``dim`` standard normal numbers for each key; one md5 a row, then numpy."""
 
-    @F.arrow_udf("array<double>")
+    @vector_udf("array<double>")
     def draw(start: pa.Array, stride: pa.Array) -> pa.Array:
         present = np.asarray(start.is_valid())
         numbers = normals(np.asarray(start.drop_null()), np.asarray(stride.drop_null()), dim)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrays import let
-from vecloom.functions.arrow import to_lists, to_matrix
+from vecloom.functions.arrow import to_lists, to_matrix, vector_udf
 from vecloom.functions.draws import hex_number
 
 # Longest token row and number of hashed ids; id 0 is padding.
@@ -38,7 +38,7 @@ def tokenize_pad(col: Column | str, max_length: int = MAX_LENGTH, vocabulary: in
 def hash_embed(ids: Column, dim: int) -> Column:
     """Signed counts of token ids in ``dim`` buckets; padding (0) does not count."""
 
-    @F.arrow_udf("array<float>")
+    @vector_udf("array<float>")
     def count(tokens: pa.Array) -> pa.Array:
         matrix, present = to_matrix(tokens)
         number = matrix.astype(np.int64)

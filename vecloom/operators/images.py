@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrays import doubles
-from vecloom.functions.arrow import to_lists, to_matrix
+from vecloom.functions.arrow import to_lists, to_matrix, vector_udf
 
 # Training size and the reach of the Lanczos kernel.
 IMAGE_SIZE = 64
@@ -69,7 +69,7 @@ def prepare_images(
 ) -> DataFrame:
     """Add the image as RGB of ``size`` x ``size``: a flat, channel-first array."""
 
-    @F.arrow_udf("array<double>")
+    @vector_udf("array<double>")
     def resize(height: pa.Array, width: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
         rows = [
             None if d is None else _resize(_rgb_planes(h, w, c, d), size, method).reshape(-1)
@@ -83,7 +83,7 @@ def prepare_images(
 
 def resize_planes(col: Column, channels: int, size: int, target: int, method: str = "bilinear") -> Column:
     """Resize flat, channel-first square images that already are arrays, a whole batch at a time."""
-    @F.arrow_udf("array<double>")
+    @vector_udf("array<double>")
     def resize(images: pa.Array) -> pa.Array:
         matrix, present = to_matrix(images, channels * size * size)
         if not len(matrix):

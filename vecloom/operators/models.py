@@ -31,6 +31,13 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructTy
     return df.mapInPandas(apply, schema)
 
 
+def _model(make_predict_fn: Callable, batch_size: int, **shapes):
+    """A user's model as a function of columns, run once for a row like ``vector_udf``."""
+    vector = T.ArrayType(T.FloatType())
+    udf = predict_batch_udf(make_predict_fn, return_type=vector, batch_size=batch_size, **shapes)
+    return udf.asNondeterministic()
+
+
 def embed_text(
     df: DataFrame,
     col: str,
@@ -49,9 +56,7 @@ def embed_text(
     if make_predict_fn is None:
         vector = hash_embed(F.col("_tokens.ids"), dim)
     else:
-        vector = predict_batch_udf(
-            make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
-        )(F.col(col))
+        vector = _model(make_predict_fn, batch_size)(F.col(col))
     return tokens.withColumn(name, vector).withColumn("mask", F.col("_tokens.mask")).drop("_tokens")
 
 
@@ -64,12 +69,7 @@ def embed_images(
     name: str = "features",
 ) -> DataFrame:
     """Add a user's model's vector of a flat image column of the given shape."""
-    model = predict_batch_udf(
-        make_predict_fn,
-        return_type=T.ArrayType(T.FloatType()),
-        batch_size=batch_size,
-        input_tensor_shapes=[list(shape)],
-    )
+    model = _model(make_predict_fn, batch_size, input_tensor_shapes=[list(shape)])
     return df.withColumn(name, model(F.col(col).cast("array<float>")))
 
 
@@ -104,7 +104,7 @@ def fit_velocity(
         return pd.Series(models)
 
     whole = packed(gram(df, [*features, target], partials=partials))
-    return whole.select(F.inline(solve("_rows", "_width")))
+    return whole.select(F.inline(solve.asNondeterministic()("_rows", "_width")))
 
 
 def linear_field(weights: Iterable, n_features: int, n_outputs: int) -> VelocityField:

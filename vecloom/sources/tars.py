@@ -30,6 +30,7 @@ from pyspark.sql.datasource import (
 )
 
 from vecloom.functions.arrays import _col
+from vecloom.functions.arrow import vector_udf
 from vecloom.operators.feed import SAMPLES_PER_SHARD, assign_shard, sample_key
 from vecloom.sources.shards import expand_braces
 
@@ -40,6 +41,9 @@ SCHEMA = "shard int, key string, fields map<string, binary>"
 
 
 def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and inner path; Spark's ``file:`` and ``s3a:`` are told by other names here."""
+    path = re.sub(r"^file:/+", "/", path)
+    path = re.sub(r"^s3[an]://", "s3://", path)
     return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
@@ -56,10 +60,10 @@ def _archives(path: str) -> list[str]:
         else:
             found.append(one)
             continue
-        scheme = one[: one.index("://") + 3] if "://" in one else ""
+        store = one.removesuffix(inner) if "://" in one else ""
         for info in files.get_file_info(pafs.FileSelector(folder)):
             if info.type == pafs.FileType.File and fnmatch(info.base_name, pattern):
-                found.append(scheme + info.path)
+                found.append(store + info.path)
     return sorted(found)
 
 
@@ -224,7 +228,7 @@ def tar_sink(
 def encode_npy(col: Column | str, dtype: str = "float16") -> Column:
     """A flat array column as ``.npy`` bytes."""
 
-    @F.arrow_udf("binary")
+    @vector_udf("binary")
     def encode(rows: pa.Array) -> pa.Array:
         out = []
         for row in rows:
@@ -247,7 +251,7 @@ def _decode_npy(col: Column, kind: str) -> Column:
     scalar = value_type[element.removeprefix("array<").removesuffix(">")]
     out_type = pa.list_(pa.list_(scalar)) if nested else pa.list_(scalar)
 
-    @F.arrow_udf(kind)
+    @vector_udf(kind)
     def decode(rows: pa.Array) -> pa.Array:
         out = []
         for row in rows:
