@@ -216,3 +216,11 @@ def test_shuffle_by_two_columns(spark):
     rows = spark.range(300).select(F.lit("hot").alias("source"), F.col("id"))
     got = shuffle_samples(rows, ["source", "id"], seed=1).collect()
     assert sorted(r.pos for r in got) == list(range(300))
+
+
+def test_one_hot_shard_keeps_all_its_rows(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50 + 100).alias("shard"))
+    got = shuffle_shards(rows, seed=1).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("shard_pos").alias("p"))
+    found = {r.shard: (r.n, r.p) for r in got.collect()}
+    assert found[7] == (1000, 1) and all(p == 1 for _, p in found.values())
+    assert sum(n for n, _ in found.values()) == 3000

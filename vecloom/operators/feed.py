@@ -15,6 +15,9 @@ from vecloom.scratch import fresh_path
 SAMPLES_PER_SHARD = 10_000
 KEY_DIGITS = 8
 
+# Slices of a hashed order per shuffle partition: with several, the partitions even out.
+SLICES_PER_PARTITION = 8
+
 # Offset tables have one row per slice of the shuffle; larger ones are not broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -67,7 +70,7 @@ def _rank_by_hash(
     rows whatever the data, and their borders are fixed numbers: every run, and
     every retry, cuts the rows alike.
     """
-    slices = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_word", word).withColumn(
         "_slice", F.shiftright(F.col("_word") * slices, 32).cast("int")
     )

@@ -21,7 +21,7 @@ from vecloom.operators import (
     tensor_stats,
     vector_moments,
 )
-from vecloom.plans.catalog import drawn_sql, elements_sql, noise_sql, query, r6, table, time_sql, weighted
+from vecloom.plans.catalog import noise_sql, query, r6, table, weighted
 from vecloom.plans.reads import MANIFEST_SQL, manifest
 from vecloom.plans.score import draw
 from vecloom.plans.vectors import DIM, D, E, drawn, towards

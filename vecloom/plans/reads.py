@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,32 +29,42 @@ ROWS_PER_SHARD = 100
 _written: dict[tuple[str, str, str], str] = {}
 
 
-def _shards(spark: SparkSession, sf_dir: str) -> str:
-    """The embeddings as a shard table, written once per session."""
-    slot = (spark.sparkContext.applicationId, sf_dir, "shards")
+def _once(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[SparkSession, str], str]) -> str:
+    """The path of a table that several queries read; the first of them writes it."""
+    slot = (spark.sparkContext.applicationId, sf_dir, kind)
     if slot not in _written:
-        path = fresh_path(spark, "shards")
-        rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "idx")
-        write_shards(rows, path, samples_per_shard=ROWS_PER_SHARD)
-        _written[slot] = path
+        _written[slot] = write(spark, sf_dir)
     return _written[slot]
 
 
+def _write_shards(spark: SparkSession, sf_dir: str) -> str:
+    """The embeddings as a shard table."""
+    path = fresh_path(spark, "shards")
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "idx")
+    write_shards(rows, path, samples_per_shard=ROWS_PER_SHARD)
+    return path
+
+
+def _shards(spark: SparkSession, sf_dir: str) -> str:
+    return _once(spark, sf_dir, "shards", _write_shards)
+
+
+def _write_tars(spark: SparkSession, sf_dir: str) -> str:
+    """The embeddings as tar shards."""
+    path = fresh_path(spark, "tars")
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("idx"),
+        encode_npy("embedding", "float32").alias("latents"),
+        F.encode(F.col("label").cast("string"), "UTF-8").alias("label"),
+        F.encode(F.to_json(F.struct("label")), "UTF-8").alias("meta"),
+    )
+    fields = {"latents.npy": "latents", "label.cls": "label", "json": "meta"}
+    tar_sink(rows, path, fields, samples_per_shard=ROWS_PER_SHARD)
+    return path
+
+
 def _tars(spark: SparkSession, sf_dir: str) -> str:
-    """The embeddings as tar shards, written once per session."""
-    slot = (spark.sparkContext.applicationId, sf_dir, "tars")
-    if slot not in _written:
-        path = fresh_path(spark, "tars")
-        rows = table(spark, sf_dir, "embeddings").select(
-            F.col("vec_id").alias("idx"),
-            encode_npy("embedding", "float32").alias("latents"),
-            F.encode(F.col("label").cast("string"), "UTF-8").alias("label"),
-            F.encode(F.to_json(F.struct("label")), "UTF-8").alias("meta"),
-        )
-        fields = {"latents.npy": "latents", "label.cls": "label", "json": "meta"}
-        tar_sink(rows, path, fields, samples_per_shard=ROWS_PER_SHARD)
-        _written[slot] = path
-    return _written[slot]
+    return _once(spark, sf_dir, "tars", _write_tars)
 
 
 @query("read_pairs", "select doc_id, lang, source, n_chars, md5(text) digest from documents")
@@ -87,7 +99,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 1::BIGINT files from embeddings group by 1""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(_shards(spark, sf_dir)).withColumn("file", F.input_file_name())
+    rows = spark.read.parquet(_write_shards(spark, sf_dir)).withColumn("file", F.input_file_name())
     return rows.groupBy(F.col("shard").cast("bigint").alias("shard")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("idx").alias("first_idx"),
@@ -117,7 +129,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select (vec_id//{ROWS_PER_SHARD})::INTEGER shard, count(*)::BIGINT n from embeddings group by 1",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tar_source(spark, _tars(spark, sf_dir)).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    return tar_source(spark, _write_tars(spark, sf_dir)).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
