@@ -202,3 +202,23 @@ def test_stream_equals_batch_and_restarts(spark, samples, tmp_path):
 
 def test_scratch_folder_is_the_named_one(spark, tmp_path_factory):
     assert scratch.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+@pytest.mark.parametrize("dtype", ["float16", "float64", ">f4", "int8"])
+def test_decode_any_plain_npy(spark, tmp_path, order, dtype):
+    array = np.array([[1, -2, 3], [4, 5, 6]], dtype=dtype, order=order)
+    buffer = io.BytesIO()
+    np.save(buffer, array)
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        add(tar, "0.x.npy", buffer.getvalue())
+    row = decode_fields(tar_source(spark, str(tmp_path)), {"x": ("x.npy", "array<double>")}).head()
+    assert row.x == [1.0, -2.0, 3.0, 4.0, 5.0, 6.0]
+
+
+def test_encoded_arrays_are_npy_files(spark):
+    rows = spark.createDataFrame([([1.5, 2.0],), ([],), (None,), ([3.0],)], "v array<double>")
+    got = [r[0] for r in rows.select(encode_npy("v")).collect()]
+    arrays = [None if b is None else np.load(io.BytesIO(b)) for b in got]
+    assert arrays[2] is None and all(a.dtype == np.float16 for a in arrays if a is not None)
+    assert [None if a is None else a.tolist() for a in arrays] == [[1.5, 2.0], [], None, [3.0]]

@@ -15,16 +15,18 @@ import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from fnmatch import fnmatch
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
-    DataSourceWriter,
     InputPartition,
     WriterCommitMessage,
 )
@@ -83,7 +85,7 @@ class TarReader(DataSourceReader):
         number = re.search(r"(\d+)\.tar$", partition.path)
         shard = int(number.group(1)) if number else None
         files, inner = _open_fs(partition.path)
-        with files.open_input_stream(inner) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
+        with files.open_input_stream(inner, buffer_size=1 << 20) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
             key, fields = None, {}
             for member in tar:
                 tar.members = []
@@ -106,37 +108,39 @@ class Written(WriterCommitMessage):
     renames: list[tuple[str, str]]
 
 
-class TarWriter(DataSourceWriter):
+class TarWriter(DataSourceArrowWriter):
     """Tasks write under temporary names; the commit gives finished archives their own."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path = path
         self.overwrite = overwrite
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, folder = _open_fs(self.path)
         files.create_dir(folder, recursive=True)
         renames: list[tuple[str, str]] = []
-        shard, stream, tar = None, None, None
+        current, stream, tar = None, None, None
         try:
-            for row in iterator:
-                if tar is None or row["shard"] != shard:
-                    if tar is not None:
-                        tar.close()
-                        stream.close()
-                    shard = row["shard"]
-                    final = posixpath.join(folder, ARCHIVE.format(shard))
-                    if any(final == done for _, done in renames):
-                        raise ValueError(f"rows of shard {shard} do not follow each other")
-                    temporary = posixpath.join(folder, f".{uuid.uuid4().hex}.part")
-                    renames.append((temporary, final))
-                    stream = files.open_output_stream(temporary)
-                    tar = tarfile.open(fileobj=stream, mode="w|")
-                for extension, content in sorted(row["fields"].items()):
-                    info = tarfile.TarInfo(f"{row['key']}.{extension}")
-                    info.size = len(content)
-                    tar.addfile(info, io.BytesIO(content))
-                    tar.members = []
+            for batch in iterator:
+                columns = [batch.column(name).to_pylist() for name in ("shard", "key", "fields")]
+                for shard, key, fields in zip(*columns):
+                    if tar is None or shard != current:
+                        if tar is not None:
+                            tar.close()
+                            stream.close()
+                        current = shard
+                        final = posixpath.join(folder, ARCHIVE.format(shard))
+                        if any(final == done for _, done in renames):
+                            raise ValueError(f"rows of shard {shard} do not follow each other")
+                        temporary = posixpath.join(folder, f".{uuid.uuid4().hex}.part")
+                        renames.append((temporary, final))
+                        stream = files.open_output_stream(temporary, buffer_size=1 << 20)
+                        tar = tarfile.open(fileobj=stream, mode="w|")
+                    for extension, content in sorted(fields):
+                        info = tarfile.TarInfo(f"{key}.{extension}")
+                        info.size = len(content)
+                        tar.addfile(info, io.BytesIO(content))
+                        tar.members = []
             if tar is not None:
                 tar.close()
                 stream.close()
@@ -225,25 +229,50 @@ def tar_sink(
     )
 
 
+@lru_cache(maxsize=1024)
+def _npy_start(shape: tuple[int, ...], dtype: str) -> bytes:
+    """What a ``.npy`` file of this shape and type begins with."""
+    buffer = io.BytesIO()
+    np.save(buffer, np.empty(shape, dtype), allow_pickle=False)
+    return buffer.getvalue()[: buffer.tell() - np.dtype(dtype).itemsize * int(np.prod(shape))]
+
+
 def encode_npy(col: Column | str, dtype: str = "float16") -> Column:
     """A flat array column as ``.npy`` bytes."""
 
     @vector_udf("binary")
     def encode(rows: pa.Array) -> pa.Array:
-        out = []
-        for row in rows:
-            if not row.is_valid:
-                out.append(None)
-                continue
-            buffer = io.BytesIO()
-            values = row.values.to_numpy(zero_copy_only=False)
-            np.save(buffer, values.astype(dtype), allow_pickle=False)
-            out.append(buffer.getvalue())
+        values = rows.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(rows), 0))
+        ends = np.cumsum(lengths)
+        out = [
+            _npy_start((int(n),), dtype) + values[end - n : end].tobytes() if present else None
+            for present, n, end in zip(np.asarray(rows.is_valid()), lengths, ends)
+        ]
         return pa.array(out, type=pa.binary())
 
     return encode(_col(col))
 
 
+@lru_cache(maxsize=1024)
+def _npy_layout(start: bytes) -> tuple[tuple[int, ...], np.dtype] | None:
+    """Shape and type told by the start of a ``.npy`` file, unless it takes more than raw bytes."""
+    buffer = io.BytesIO(start)
+    np.lib.format.read_magic(buffer)
+    shape, by_columns, dtype = np.lib.format.read_array_header_1_0(buffer)
+    return None if by_columns or dtype.hasobject else (shape, dtype)
+
+
+def _load_npy(content: bytes) -> np.ndarray:
+    """The array of a ``.npy`` file; files of one shape and type share their start."""
+    if content[:8] == b"\x93NUMPY\x01\x00":
+        end = 10 + int.from_bytes(content[8:10], "little")
+        layout = _npy_layout(content[:end])
+        if layout is not None:
+            return np.frombuffer(content, layout[1], offset=end).reshape(layout[0])
+    return np.load(io.BytesIO(content), allow_pickle=False)
+
+
 def _decode_npy(col: Column, kind: str) -> Column:
     value_type = {"float": pa.float32(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
     element = kind.removeprefix("array<").removesuffix(">")
@@ -254,11 +283,11 @@ def _decode_npy(col: Column, kind: str) -> Column:
     @vector_udf(kind)
     def decode(rows: pa.Array) -> pa.Array:
         out = []
-        for row in rows:
-            if not row.is_valid:
+        for content in rows.to_pylist():
+            if content is None:
                 out.append(None)
                 continue
-            array = np.load(io.BytesIO(row.as_py()), allow_pickle=False).astype(scalar.to_pandas_dtype())
+            array = _load_npy(content).astype(scalar.to_pandas_dtype())
             out.append(list(array.reshape(array.shape[0], -1)) if nested else array.reshape(-1))
         return pa.array(out, type=out_type)
 
