@@ -32,9 +32,12 @@ from vecloom.operators import (
 
 
 def test_drop_blank(spark):
-    rows = [(1, "a"), (2, ""), (3, " \t\n"), (4, None), (5, " b ")]
+    rows = [(1, "a"), (2, ""), (3, " \t\n"), (4, None), (5, " b "), (6, "\u00a0\u2003\u3000"), (7, "\u00a0é")]
     kept = drop_blank(spark.createDataFrame(rows, "id int, t string"), "t")
-    assert [r.id for r in kept.orderBy("id").collect()] == [1, 5]
+    assert [r.id for r in kept.orderBy("id").collect()] == [1, 5, 7]
+    every = [(i, chr(i)) for i in range(0x3100) if not 0xD800 <= i < 0xE000]
+    kept = drop_blank(spark.createDataFrame(every, "id int, t string"), "t")
+    assert {r.id for r in kept.collect()} == {i for i, c in every if c.strip()}
 
 
 def test_take_first(spark):
@@ -53,6 +56,8 @@ def test_splits_partition_the_rows(spark):
         ("eval", 10), ("train", 90),
     }
     assert sorted(split_by_rank(rows, r, 3).count() for r in range(3)) == [30, 30, 40]
+    from_one = split_by_rank(rows.filter("shard > 0"), 0, 3, first=1)
+    assert {r.shard for r in from_one.collect()} == {1, 4, 7}
     with pytest.raises(ValueError):
         split_by_rank(rows, 3, 3)
 
@@ -177,6 +182,7 @@ STEPS = [100, 500, 1000, 1500, 2000, 2500, 3000, 3500, 4000, 4500, 5000, 5500]
 @pytest.fixture()
 def listing(spark):
     names = [f"run/checkpoint_step_{s}.pt" for s in STEPS] + ["run/checkpoint_step_best.pt"]
+    names += ["run/checkpoint_step_7000.pt.part", "run/old_checkpoint_step_8000.pt"]
     return parse_manifest(spark.createDataFrame([(n,) for n in names], "path string"))
 
 

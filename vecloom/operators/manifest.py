@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# The file name pattern and the retention defaults.
+# The file name patterns and the retention defaults.
+FILE_PATTERN = r"(^|/)checkpoint_step_[^/]*\.pt$"
 STEP_PATTERN = r"checkpoint_step_(\d+)\.pt"
 KEEP_RECENT = 5
 KEEP_EVERY_N = 2500
@@ -20,7 +21,7 @@ MAX_BROADCAST_ROWS = 100_000
 def parse_manifest(df: DataFrame, path: str = "path") -> DataFrame:
     """Add ``step`` from the file name; files with another name are dropped."""
     digits = F.regexp_extract(path, STEP_PATTERN, 1)
-    return df.filter(digits != "").withColumn("step", digits.cast("bigint"))
+    return df.filter(F.col(path).rlike(FILE_PATTERN) & (digits != "")).withColumn("step", digits.cast("bigint"))
 
 
 def newest_first(df: DataFrame) -> DataFrame:

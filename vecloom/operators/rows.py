@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.operators.feed import global_index
 
+# Fixed value: any character that is not white space, in the Unicode sense.
+NOT_BLANK = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 # More rows than this are not gathered in one task.
 MAX_TOP = 100_000
 
 
 def drop_blank(df: DataFrame, col: str) -> DataFrame:
     """Drop rows whose text is null, empty or only white space."""
-    return df.filter(F.col(col).rlike(r"\S"))
+    return df.filter(F.col(col).rlike(NOT_BLANK))
 
 
 def take_first(df: DataFrame, n: int, *order: str) -> DataFrame:
@@ -44,15 +47,16 @@ def split_train_eval(df: DataFrame, shard: str = "shard", eval_shard: int = 0) -
     return df.withColumn("split", F.when(F.col(shard) == eval_shard, "eval").otherwise("train"))
 
 
-def split_by_rank(df: DataFrame, rank: int, world: int, shard: str = "shard") -> DataFrame:
-    """Rows of the shards read by one of ``world`` readers: every ``world``-th shard."""
+def split_by_rank(
+    df: DataFrame, rank: int, world: int, shard: str = "shard", first: int = 0
+) -> DataFrame:
+    """Rows of the shards read by one of ``world`` readers: every ``world``-th shard.
+
+    ``first`` is the shard that the list of shards begins with.
+    """
     if not 0 <= rank < world:
         raise ValueError(f"rank {rank} is outside 0..{world - 1}")
-    return df.filter(shard_rank(F.col(shard), world) == rank)
-
-
-def shard_rank(shard: Column, world: int) -> Column:
-    return F.pmod(shard, F.lit(world))
+    return df.filter(F.pmod(F.col(shard) - first, F.lit(world)) == rank)
 
 
 def cadence(

@@ -134,7 +134,10 @@ def euler_snapshots(
 
 
 def euler_fold(z: Column, v_col: Callable[[Column, Column], Column], n: int = INFERENCE_STEPS) -> Column:
-    """The same for a field given as a column expression ``v_col(z, t)``."""
+    """The same for a field given as a column expression ``v_col(z, t)``.
+
+    Lambdas are interpreted, so a field that numpy can express is faster in ``euler_sample``.
+    """
     return F.aggregate(
         F.sequence(F.lit(0), F.lit(n - 1)),
         doubles(z),
