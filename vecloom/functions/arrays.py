@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecloom.functions.arrow import to_lists, to_matrix, vector_udf
+from vecloom.functions.arrow import list_offsets, to_lists, to_matrix, vector_udf
 
 # Latent scale and layer-norm epsilon.
 LATENT_SCALE = 0.18215
@@ -63,8 +63,7 @@ def quantize_f16(col: Column | str) -> Column:
             halves = flat.to_numpy(zero_copy_only=False).astype(np.float16)
         rounded = pa.array(halves.astype(np.float32), mask=np.asarray(flat.is_null()))
         lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, rounded, mask=vectors.is_null())
+        return pa.ListArray.from_arrays(list_offsets(np.cumsum(lengths)), rounded, mask=vectors.is_null())
 
     return halve(_col(col))
 

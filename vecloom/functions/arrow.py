@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Arrow counts the elements of a list column in 32 bits.
+MAX_ELEMENTS = (1 << 31) - 1
+
+
 def vector_udf(kind: str) -> Callable[[Callable[..., pa.Array]], Callable[..., Column]]:
     """An Arrow UDF that Spark evaluates once for a row.
 
@@ -45,10 +49,15 @@ def to_lists(matrix: np.ndarray, present: np.ndarray, type_: pa.DataType) -> pa.
     """Matrix rows as a list column, null where a row was absent."""
     width = matrix.shape[1]
     ends = np.cumsum(present) * width
-    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
     values = pa.array(matrix.reshape(-1)).cast(type_)
-    mask = pa.array(~present)
-    return pa.ListArray.from_arrays(offsets, values, mask=mask)
+    return pa.ListArray.from_arrays(list_offsets(ends), values, mask=pa.array(~present))
+
+
+def list_offsets(ends: np.ndarray) -> pa.Array:
+    """Offsets of lists that end at ``ends``."""
+    if len(ends) and ends[-1] > MAX_ELEMENTS:
+        raise ValueError("lower spark.sql.execution.arrow.maxRecordsPerBatch for vectors this wide")
+    return pa.array(np.concatenate([[0], ends]).astype(np.int32))
 
 
 def scatter(values: np.ndarray, present: np.ndarray) -> pa.Array:

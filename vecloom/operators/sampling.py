@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrays import doubles
-from vecloom.functions.arrow import scatter, to_lists, to_matrix, vector_udf
+from vecloom.functions.arrow import list_offsets, scatter, to_lists, to_matrix, vector_udf
 from vecloom.functions.draws import counter, normals, sample_time
 
 # Inference steps, and steps between two snapshots.
@@ -122,8 +122,8 @@ def euler_snapshots(
         dim = state.shape[1]
         inner = np.stack(states, axis=1).reshape(-1, dim)
         vectors = to_lists(inner, np.ones(len(inner), dtype=bool), pa.float64())
-        ends = np.concatenate([[0], np.cumsum(present) * len(kept)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), vectors, mask=pa.array(~present))
+        ends = np.cumsum(present) * len(kept)
+        return pa.ListArray.from_arrays(list_offsets(ends), vectors, mask=pa.array(~present))
 
     names = [c for c in df.columns if c != z]
     steps = F.lit([i + 1 for i in kept])
