@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,6 @@ IMAGE_SIZE = 64
 LANCZOS_REACH = 3.0
 
 
-@lru_cache(maxsize=256)
 def resize_weights(size: int, target: int, method: str) -> np.ndarray:
     """Matrix of ``target`` x ``size`` that resamples one axis."""
     ratio = size / target
@@ -49,11 +49,16 @@ def _to_byte(values: np.ndarray) -> np.ndarray:
     return np.floor(np.clip(values, 0.0, 255.0) + 0.5)
 
 
-def _resize(planes: np.ndarray, target: int, method: str) -> np.ndarray:
+def _resizer(target: int, method: str) -> Callable[[np.ndarray], np.ndarray]:
     """Rows first, then columns; Lanczos keeps whole bytes after each pass."""
     after = _to_byte if method == "lanczos" else np.asarray
-    wide = after(planes @ resize_weights(planes.shape[2], target, method).T)
-    return after(resize_weights(planes.shape[1], target, method) @ wide)
+    weights = lru_cache(lambda size: resize_weights(size, target, method))
+
+    def resize(planes: np.ndarray) -> np.ndarray:
+        wide = after(planes @ weights(planes.shape[2]).T)
+        return after(weights(planes.shape[1]) @ wide)
+
+    return resize
 
 
 def _rgb_planes(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
@@ -71,8 +76,9 @@ def prepare_images(
 
     @vector_udf("array<double>")
     def resize(height: pa.Array, width: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
+        fit = _resizer(size, method)
         rows = [
-            None if d is None else _resize(_rgb_planes(h, w, c, d), size, method).reshape(-1)
+            None if d is None else fit(_rgb_planes(h, w, c, d)).reshape(-1)
             for h, w, c, d in zip(*(a.to_pylist() for a in (height, width, channels, data)))
         ]
         return pa.array(rows, type=pa.list_(pa.float64()))
@@ -89,6 +95,7 @@ def resize_planes(col: Column, channels: int, size: int, target: int, method: st
         if not len(matrix):
             return pa.nulls(len(present), pa.list_(pa.float64()))
         planes = matrix.reshape(len(matrix) * channels, size, size)
-        return to_lists(_resize(planes, target, method).reshape(len(matrix), -1), present, pa.float64())
+        resized = _resizer(target, method)(planes)
+        return to_lists(resized.reshape(len(matrix), -1), present, pa.float64())
 
     return resize(doubles(col))

@@ -12,7 +12,7 @@ import posixpath
 import re
 import tarfile
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from fnmatch import fnmatch
 from functools import lru_cache
@@ -229,7 +229,6 @@ def tar_sink(
     )
 
 
-@lru_cache(maxsize=1024)
 def _npy_start(shape: tuple[int, ...], dtype: str) -> bytes:
     """What a ``.npy`` file of this shape and type begins with."""
     buffer = io.BytesIO()
@@ -245,8 +244,9 @@ def encode_npy(col: Column | str, dtype: str = "float16") -> Column:
         values = rows.flatten().to_numpy(zero_copy_only=False).astype(dtype)
         lengths = np.asarray(pc.fill_null(pc.list_value_length(rows), 0))
         ends = np.cumsum(lengths)
+        start = lru_cache(lambda n: _npy_start((n,), dtype))
         out = [
-            _npy_start((int(n),), dtype) + values[end - n : end].tobytes() if present else None
+            start(int(n)) + values[end - n : end].tobytes() if present else None
             for present, n, end in zip(np.asarray(rows.is_valid()), lengths, ends)
         ]
         return pa.array(out, type=pa.binary())
@@ -254,7 +254,6 @@ def encode_npy(col: Column | str, dtype: str = "float16") -> Column:
     return encode(_col(col))
 
 
-@lru_cache(maxsize=1024)
 def _npy_layout(start: bytes) -> tuple[tuple[int, ...], np.dtype] | None:
     """Shape and type told by the start of a ``.npy`` file, unless it takes more than raw bytes."""
     buffer = io.BytesIO(start)
@@ -263,11 +262,11 @@ def _npy_layout(start: bytes) -> tuple[tuple[int, ...], np.dtype] | None:
     return None if by_columns or dtype.hasobject else (shape, dtype)
 
 
-def _load_npy(content: bytes) -> np.ndarray:
+def _load_npy(content: bytes, layout_of: Callable) -> np.ndarray:
     """The array of a ``.npy`` file; files of one shape and type share their start."""
     if content[:8] == b"\x93NUMPY\x01\x00":
         end = 10 + int.from_bytes(content[8:10], "little")
-        layout = _npy_layout(content[:end])
+        layout = layout_of(content[:end])
         if layout is not None:
             return np.frombuffer(content, layout[1], offset=end).reshape(layout[0])
     return np.load(io.BytesIO(content), allow_pickle=False)
@@ -282,12 +281,12 @@ def _decode_npy(col: Column, kind: str) -> Column:
 
     @vector_udf(kind)
     def decode(rows: pa.Array) -> pa.Array:
-        out = []
+        out, layout_of = [], lru_cache(_npy_layout)
         for content in rows.to_pylist():
             if content is None:
                 out.append(None)
                 continue
-            array = _load_npy(content).astype(scalar.to_pandas_dtype())
+            array = _load_npy(content, layout_of).astype(scalar.to_pandas_dtype())
             out.append(list(array.reshape(array.shape[0], -1)) if nested else array.reshape(-1))
         return pa.array(out, type=out_type)
 
