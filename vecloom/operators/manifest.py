@@ -20,8 +20,8 @@ MAX_BROADCAST_ROWS = 100_000
 
 def parse_manifest(df: DataFrame, path: str = "path") -> DataFrame:
     """Add ``step`` from the file name; files with another name are dropped."""
-    digits = F.regexp_extract(path, STEP_PATTERN, 1)
-    return df.filter(F.col(path).rlike(FILE_PATTERN) & (digits != "")).withColumn("step", digits.cast("bigint"))
+    named = F.when(F.col(path).rlike(FILE_PATTERN), F.regexp_extract(path, STEP_PATTERN, 1))
+    return df.withColumn("step", F.nullif(named, F.lit("")).cast("bigint")).filter("step IS NOT NULL")
 
 
 def newest_first(df: DataFrame) -> DataFrame:
