@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import language, near
+from vecloom.llm import contamination, language, near, packing, repeats
 from vecloom.llm.frames import stored
 from vecloom.plans.catalog import table
 
 STAGES = [
     ("language", language.stage),
     ("near_duplicates", near.stage),
+    ("repeats", repeats.stage),
+    ("decontamination", contamination.stage),
+    ("packing", packing.stage),
 ]
 
 # Language, tokens and packing are beyond SQL; the tests compare with plain versions.

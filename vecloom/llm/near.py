@@ -33,6 +33,8 @@ COORDS = 128
 ROWS = 4
 SIMILARITY = 80
 ROUND_BITS = 20
+# A bucket has so many times more pivots in each further round.
+MORE_PIVOTS = 4
 
 
 def sketch_sets(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
@@ -125,7 +127,6 @@ def components(links: DataFrame) -> DataFrame:
     until nothing changes; about as many rounds as the logarithm of the longest path.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    sign = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -133,17 +134,21 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
-        if now == sign:
+        ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select("v", F.lit(0), F.lit(1)).toDF("u", "out", "into"))
+        # Done when every node points at one other, at which no further step begins.
+        if ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or out + into > 1").isEmpty():
             break
-        sign = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
 def class_links(shared: DataFrame, sets: DataFrame, similarity: int) -> DataFrame | None:
-    """Links that connect every component of classes; ``shared`` has ``(bucket, node, size)``."""
-    rank = Window.partitionBy("bucket").orderBy("node")
+    """Components of the linked classes, or None; ``shared`` has ``(bucket, node, size, crowd)``.
+
+    Pivots are taken by ``crowd``, how many share buckets with a class: an original
+    shares more with its copies than they do with each other, and settles a bucket.
+    """
+    rank = Window.partitionBy("bucket").orderBy(F.desc("crowd"), "node")
     links = comps = None
     first, width = 0, 1
     while True:
@@ -173,7 +178,7 @@ def class_links(shared: DataFrame, sets: DataFrame, similarity: int) -> DataFram
                 comps = components(links)
         elif unsettled.isEmpty():
             return comps
-        first, width = first + width, width * 2
+        first, width = first + width, width * MORE_PIVOTS
 
 
 def linked(docs: DataFrame, k: int, similarity: int = SIMILARITY) -> DataFrame:
@@ -191,8 +196,10 @@ def linked(docs: DataFrame, k: int, similarity: int = SIMILARITY) -> DataFrame:
     buckets = seen.filter("set_name is not null").select(
         F.col("set_name").alias("node"), F.col("n_shingles").alias("size"), F.explode("band_keys").alias("bucket")
     ).distinct()
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stored(buckets.join(several, "bucket"), "buckets")
+    crowds = shared.groupBy("node").agg(F.sum("n").alias("crowd"))
+    shared = stored(shared.drop("n").join(crowds, "node"), "buckets")
     least = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("least_id").alias("doc_id"))
     sets = stored(set_bytes(docs.join(least.select("doc_id").distinct(), "doc_id", "left_semi"), k).join(least.select("node"), "node", "left_semi"), "sets")
     comps = class_links(shared, sets, similarity)

@@ -1,4 +1,15 @@
 """Importing this module registers the queries of this subpackage."""
 
-from vecloom.llm import language, near  # noqa: F401
+from vecloom.llm import (  # noqa: F401
+    contamination,
+    html_text,
+    language,
+    near,
+    order_minhash,
+    packing,
+    repeats,
+    rollup,
+    toxicity,
+    warc,
+)
 from vecloom.llm.registry import ENTRIES  # noqa: F401
