@@ -47,6 +47,14 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).head()[0])
 
 
+class Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: object) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = x ^ np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecloom.llm import recurrent as net
-from vecloom.llm.frames import held_out
+from vecloom.llm.frames import Numbered, held_out
 from vecloom.llm.registry import FOLDS, query
 from vecloom.plans.catalog import table
 
@@ -105,7 +105,7 @@ class Labeller:
 
     def __init__(self, classes: list[str], p: net.Params) -> None:
         self.classes, self.p = classes, p
-        self.index: dict[bytes, int] = {}
+        self.index = Numbered()
         self.sums = np.zeros((0, len(classes)))
         self.sizes = np.zeros(0, np.int64)
 
@@ -131,7 +131,7 @@ class Labeller:
         for i, text in enumerate(texts):
             if self.classes and text and any(map(str.isalpha, text)):
                 found = runs(text)
-                docs.append((i, np.fromiter((index.setdefault(w, len(index)) for w in found), np.int64, len(found))))
+                docs.append((i, np.fromiter(map(index.__getitem__, found), np.int64, len(found))))
                 if len(index) > RUNS_AT_ONCE:
                     settle()
                     index.clear()

@@ -2,7 +2,7 @@
 
 A word enters as the states of a small recurrent network over its characters (its
 UTF-8 bytes) at both ends, and as a vector by hash of the word. Windows of ``WINDOW``
-words, each overlapping the next by half, go through the word network; attention
+words, each overlapping the next by a quarter, go through the word network; attention
 pools its states into the window's score. A document's score is the greatest of its
 windows, which is also how the network learns from labels of whole documents: the
 windows share the gradient by a softmax of their scores.
@@ -10,6 +10,7 @@ windows share the gradient by a softmax of their scores.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,32 +22,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecloom.llm import recurrent as net
-from vecloom.llm.frames import held_out
+from vecloom.llm.frames import Numbered, held_out
 from vecloom.llm.registry import FOLDS, query
 from vecloom.plans.catalog import table
 
 WINDOW = 32
-STRIDE = 16
+STRIDE = 24
 CHAR_HIDDEN = 6
 WORD_HIDDEN = 8
 BUCKETS = 4096
 WORD_BYTES = 24
 # The fit sees at most so many documents of each label, and so many characters of each.
 FIT_DOCS = 1200
-FIT_CHARS = 6000
-STEPS = 400
-BATCH = 32
+FIT_CHARS = 2000
+STEPS = 300
+BATCH = 24
+RATE = 0.04
 # Distinct words a task keeps, and windows it scores at a time.
 WORDS_KEPT = 300_000
 WINDOWS_AT_ONCE = 4096
 
 PAD = 0
+WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 
 
 def words(text: str | None) -> list[bytes]:
-    """Lower-case words; one longer than ``WORD_BYTES`` counts as several."""
-    found = re.findall(r"\w+", text.lower()) if text else []
-    out = [w.encode("utf-8", "replace") for w in found]
+    """Lower-case words of letters, digits and whatever is not ASCII; one longer than ``WORD_BYTES`` counts as several."""
+    out = WORD.findall(text.lower().encode("utf-8", "replace")) if text else []
     if max(map(len, out), default=0) > WORD_BYTES:
         out = [w[i : i + WORD_BYTES] for w in out for i in range(0, len(w), WORD_BYTES)]
     return out
@@ -150,10 +152,10 @@ def _gradients(p: net.Params, items: list[bytes], ids: np.ndarray, owner: np.nda
 
 def _windows(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, windows of their columns, and each window's document."""
-    index: dict[bytes, int] = {}
+    index = Numbered()
     columns, owner = [], []
     for i, found in enumerate(docs):
-        at = np.fromiter((index.setdefault(w, len(index)) + 1 for w in found), np.int64, len(found))
+        at = np.fromiter(map(index.__getitem__, found), np.int64, len(found)) + 1
         starts = window_starts(len(at))
         padded = np.concatenate([at, np.full(WINDOW + STRIDE, PAD)])
         columns.append(padded[np.arange(WINDOW)[:, None] + np.array(starts)])
@@ -170,7 +172,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11, steps: int = STEP
     if not all(sides):
         p["o"][:] = 0
         return p
-    adam = net.Adam(p, 0.01)
+    adam = net.Adam(p, RATE)
     for step in range(steps):
         chosen = [side[i] for side in sides for i in rng.integers(0, len(side), BATCH // 2)]
         items, ids, owner = _windows([docs[i] for i in chosen])
@@ -187,23 +189,20 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbered()
         self.tables = [np.zeros((3 * WORD_HIDDEN, 1), np.float32) for _ in "fb"]
 
     def _score(self, docs: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
-        new = list(self.index)[self.tables[0].shape[1] - 1 :]
-        new.sort(key=len)
-        for i in range(0, len(new), 4096):
-            part = word_tables(self.p, new[i : i + 4096])
-            self.tables = [np.concatenate([t, x[:, 1:]], axis=1) for t, x in zip(self.tables, part)]
-        # Columns stand in the order of length now; renumber the words and the texts.
+        new = list(itertools.islice(self.index, self.tables[0].shape[1] - 1, None))
         if new:
-            first = len(self.index) - len(new)
-            place = np.arange(len(self.index) + 1)
-            for k, w in enumerate(new):
-                place[self.index[w] + 1] = first + k + 1
-                self.index[w] = first + k
-            docs = [(i, place[at]) for i, at in docs]
+            # By length, so that little is padded, and back in the order of arrival.
+            order = np.argsort(np.fromiter(map(len, new), np.int64, len(new)), kind="stable")
+            grown = [np.empty((3 * WORD_HIDDEN, len(new)), np.float32) for _ in "fb"]
+            for i in range(0, len(new), 4096):
+                at = order[i : i + 4096]
+                for grid, part in zip(grown, word_tables(self.p, [new[k] for k in at])):
+                    grid[:, at] = part[:, 1:]
+            self.tables = [np.concatenate([t, g], axis=1) for t, g in zip(self.tables, grown)]
         columns, owner = [], []
         for i, at in docs:
             starts = np.array(window_starts(len(at)))
@@ -222,7 +221,7 @@ class Scorer:
         index = self.index
         for i, text in enumerate(texts):
             found = words(text)
-            docs.append((i, np.fromiter((index.setdefault(w, len(index)) + 1 for w in found), np.int64, len(found))))
+            docs.append((i, np.fromiter(map(index.__getitem__, found), np.int64, len(found)) + 1))
             held += len(found)
             if held > 500_000 or len(index) > WORDS_KEPT:
                 self._score(docs, out)
