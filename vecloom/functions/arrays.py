@@ -93,8 +93,11 @@ def layout(col: Column | str, channels: int, tokens: int, to: str) -> Column:
     ``channels_last`` and ``channels_first`` keep it flat; ``tokens`` gives one
     vector of channels for each token.
     """
-    col = _col(col)
+    # Bound first: a computed array would be made anew for each element.
+    return let(lambda bound: _layout(bound["x"], channels, tokens, to), x=_col(col))
+
 
+def _layout(col: Column, channels: int, tokens: int, to: str) -> Column:
     def pick(position: Column) -> Column:
         return F.element_at(col, (position + 1).cast("int"))
 

@@ -14,6 +14,9 @@ MIX_FIRST = 0xBF58476D1CE4E5B9
 MIX_SECOND = 0x94D049BB133111EB
 WORD = 4294967296.0
 
+# Stands for a null in a key that ranks rows.
+NULL_KEY = "\x00null"
+
 
 def keyed(seed: int | Column, tag: str | int | Column, *key: Column) -> Column:
     """``md5(seed:tag:key)`` as a hex string; null for a null key."""
@@ -31,6 +34,12 @@ def hash_word(seed: int | Column, tag: str | int | Column, *key: Column) -> Colu
     return hex_number(keyed(seed, tag, *key), 1, 8)
 
 
+def rank_word(seed: int | Column, tag: str | int | Column, *key: Column) -> Column:
+    """The same for ranking: a null in the key counts as a value of its own, so every row has a number."""
+    present = [F.coalesce(k.cast("string"), F.lit(NULL_KEY)) for k in key]
+    return hash_word(seed, tag, *present)
+
+
 def sample_time(key: Column, seed: int = 0, tag: str = "time") -> Column:
     """Uniform in [0, 1)."""
     return hash_word(seed, tag, key) / WORD

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vecloom.functions.draws import hash_word
+from vecloom.functions.draws import rank_word
 from vecloom.scratch import fresh_path
 
 # Rows in a shard, and digits of a sample key.
@@ -94,12 +94,16 @@ def _rank_by_hash(
 
 
 def shuffle_shards(df: DataFrame, seed: int = 0, shard: str = "shard") -> DataFrame:
-    """Add ``shard_pos``: the place of the row's shard in a seeded permutation of shards."""
+    """Add ``shard_pos``: the place of the row's shard in a seeded permutation of shards.
+
+    Rows without a shard make one more shard together.
+    """
     shards = df.select(shard).distinct()
     order = _rank_by_hash(
-        shards, hash_word(seed, "shard", F.col(shard)), [shard], [], "shard_pos", 1
+        shards, rank_word(seed, "shard", F.col(shard)), [shard], [], "shard_pos", 1
     )
-    return df.join(order, shard)
+    order = order.withColumnRenamed(shard, "_shard")
+    return df.join(order, F.col(shard).eqNullSafe(F.col("_shard"))).select(*df.columns, "shard_pos")
 
 
 def shuffle_samples(
@@ -113,11 +117,11 @@ def shuffle_samples(
     """Add ``pos``: the row's place in a seeded shuffle.
 
     The columns of ``key`` together have to identify a row; rows of one key would
-    share a hash, and so a task. With ``buffer`` the order changes only inside blocks of that many consecutive
+    share a hash, and so a task. A null in a key counts as a value. With ``buffer`` the order changes only inside blocks of that many consecutive
     indexes, much as a reader with a bounded buffer would do it.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    word = hash_word(seed, epoch, *map(F.col, keys))
+    word = rank_word(seed, epoch, *map(F.col, keys))
     if buffer is None:
         return _rank_by_hash(df, word, keys, [], "pos", 1)
     block = F.floor(F.col(idx) / buffer)
@@ -134,7 +138,7 @@ def repeat_epochs(df: DataFrame, key: str | Sequence[str], epochs: int, seed: in
     """Every row once per epoch, with its place in that epoch's own shuffle."""
     repeated = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     keys = [key] if isinstance(key, str) else list(key)
-    word = hash_word(seed, F.col("epoch"), *map(F.col, keys))
+    word = rank_word(seed, F.col("epoch"), *map(F.col, keys))
     return _rank_by_hash(repeated, word, keys, ["epoch"], "pos", epochs)
 
 

@@ -14,9 +14,6 @@ STEP_PATTERN = r"checkpoint_step_(\d+)\.pt"
 KEEP_RECENT = 5
 KEEP_EVERY_N = 2500
 
-# With more kept files than this the newest ones are joined by a shuffle.
-MAX_BROADCAST_ROWS = 100_000
-
 
 def parse_manifest(df: DataFrame, path: str = "path") -> DataFrame:
     """Add ``step`` from the file name; files with another name are dropped."""
@@ -38,15 +35,16 @@ def latest_checkpoint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _newest(df: DataFrame, keep_recent: int, by: Sequence[str]) -> DataFrame:
-    """The newest files: a rank filter, so each task drops all but its own newest before the shuffle."""
-    columns = [*by, "step", "path"]
-    if not by:
-        top = newest_first(df.select(*columns)).limit(keep_recent)
-        return F.broadcast(top) if keep_recent <= MAX_BROADCAST_ROWS else top
+def _oldest_recent(df: DataFrame, keep_recent: int, by: Sequence[str]) -> DataFrame:
+    """Per run the oldest of its newest files: one row, whatever the number of files.
+
+    A rank filter drops all but a task's own newest before the shuffle. Listings of
+    one file share a rank.
+    """
     order = Window.partitionBy(*by).orderBy(F.desc("step"), F.desc("path"))
-    ranked = df.select(*columns).withColumn("_rank", F.row_number().over(order))
-    return ranked.filter(F.col("_rank") <= keep_recent).drop("_rank")
+    ranked = df.select(*by, "step", "path").withColumn("_rank", F.dense_rank().over(order))
+    oldest = F.min(F.struct("step", "path")).alias("_oldest")
+    return ranked.filter(F.col("_rank") <= keep_recent).groupBy(*by).agg(oldest)
 
 
 def retention(
@@ -57,14 +55,23 @@ def retention(
 ) -> DataFrame:
     """Add ``keep``: the newest ``keep_recent`` files of a run and every ``every_n``-th step.
 
-    The join is on the whole key of a file, so a run with very many files is
-    spread over all tasks.
+    A file is compared with one border of its run. A null run is a run, and a file
+    listed twice counts once and keeps both rows.
     """
-    recent = _newest(df, keep_recent, by).withColumn("_recent", F.lit(True))
     periodic = F.col("step") % every_n == 0
+    if keep_recent < 1:
+        return df.withColumn("keep", periodic)
+    if not by:
+        top = df.select("step", "path").distinct().orderBy(F.desc("step"), F.desc("path")).limit(keep_recent)
+        oldest = top.agg(F.min(F.struct("step", "path"))).scalar()
+        return df.withColumn("keep", periodic | (F.struct("step", "path") >= oldest))
+    borders = _oldest_recent(df, keep_recent, by).withColumnsRenamed({c: f"_run_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_run_{c}"))
     return (
-        df.join(recent, [*by, "step", "path"], "left")
-        .withColumn("keep", periodic | F.col("_recent").isNotNull())
+        df.join(borders, same, "left")
+        .withColumn("keep", periodic | (F.struct("step", "path") >= F.col("_oldest")))
         .select(*df.columns, "keep")
     )
 
@@ -76,7 +83,4 @@ def retention_deletes(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """The listed files that retention does not keep."""
-    candidates = df.filter(F.col("step") % every_n != 0)
-    return candidates.join(_newest(df, keep_recent, by), [*by, "step", "path"], "left_anti").select(
-        *df.columns
-    )
+    return retention(df, keep_recent, every_n, by).filter(~F.col("keep")).select(*df.columns)

@@ -88,7 +88,7 @@ def require_one_of(df: DataFrame, single: str, group: Sequence[str], mode: str =
     """Each row must have ``single`` alone or all of ``group`` alone.
 
     ``flag`` adds ``input_kind`` (``single``, ``group`` or ``invalid``); ``fail``
-    stops the job at an invalid row.
+    stops the job at an invalid row, whichever columns are read.
     """
     has_single = F.col(single).isNotNull()
     has_all, has_any = F.lit(True), F.lit(False)
@@ -100,5 +100,6 @@ def require_one_of(df: DataFrame, single: str, group: Sequence[str], mode: str =
         return df.withColumn("input_kind", kind.otherwise("invalid"))
     if mode == "fail":
         problem = F.lit(f"either {single} or all of {', '.join(group)} must be given")
-        return df.withColumn("input_kind", kind.otherwise(F.raise_error(problem)))
+        checked = df.filter(F.when(kind.isNotNull(), True).otherwise(F.raise_error(problem).cast("boolean")))
+        return checked.withColumn("input_kind", kind)
     raise ValueError(f"unknown mode {mode!r}")

@@ -24,17 +24,21 @@ def extract_json(df: DataFrame, col: str, path: str, name: str) -> DataFrame:
 
 
 def zip_columns(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Walk arrays side by side, one row each, up to the shortest."""
+    """Walk arrays side by side, one row each, up to the shortest.
+
+    A row with a null array has nothing to walk and gives one row of nulls.
+    """
     shortest = F.least(*[F.size(c) for c in cols]) if len(cols) > 1 else F.size(cols[0])
     cut = [F.slice(F.col(c), 1, F.col("_shortest")).alias(c) for c in cols]
     present = F.lit(True)
     for c in cols:
         present = present & F.col(c).isNotNull()
+    zipped = F.arrays_zip(*cols)
+    nothing = F.array(F.struct(*[F.get(c, F.lit(0)).alias(c) for c in cols]))
     return (
-        df.filter(present)
-        .withColumn("_shortest", shortest)
+        df.withColumn("_shortest", shortest)
         .select(*keep, *cut)
-        .select(*keep, F.inline(F.arrays_zip(*cols)))
+        .select(*keep, F.inline(F.when(present, zipped).otherwise(F.transform(nothing, lambda x: F.struct(*[F.nullif(x[c], x[c]).alias(c) for c in cols])))))
     )
 
 
@@ -43,12 +47,17 @@ def clip_norm(
 ) -> DataFrame:
     """Scale vectors so that the norm of all of them together is at most ``max_norm``.
 
-    Adds ``norm`` and replaces ``col``. With ``by`` each group has its own norm.
+    Adds ``norm`` and replaces ``col``. With ``by`` each group has its own norm; rows
+    whose group is null are a group too.
     """
     squares = total(F.transform(doubles(col), lambda x: x * x))
     norm = F.sqrt(F.sum(squares)).alias("norm")
     if by:
-        with_norm = df.join(df.groupBy(*by).agg(norm), list(by), "left")
+        norms = df.groupBy(*by).agg(norm).withColumnsRenamed({c: f"_of_{c}" for c in by})
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        with_norm = df.join(norms, same, "left").select(*df.columns, "norm")
     else:
         with_norm = df.withColumn("norm", df.agg(norm).scalar())
     factor = F.least(F.lit(1.0), F.lit(float(max_norm)) / (F.col("norm") + CLIP_EPS))

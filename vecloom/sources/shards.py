@@ -10,37 +10,68 @@ from pyspark.sql import functions as F
 
 from vecloom.operators.feed import SAMPLES_PER_SHARD, assign_shard, global_index
 
-# Fixed value: one numeric range in braces, as in name-{000001..000230}.tar.
-BRACE_RANGE = r"^(.*?)\{(\d+)\.\.(\d+)\}(.*)$"
+# A numeric range or a list in braces, as in name-{000001..000230}.tar and {train,eval}.tar.
+BRACES = r"\{(\d+\.\.\d+|[^{}]*,[^{}]*)\}"
+BRACE_RANGE = r"^(\d+)\.\.(\d+)$"
 
+# A pattern has at most so many braces.
+MAX_BRACES = 4
 
-def expand_shards(pattern: Column) -> Column:
-    """Names a brace range stands for; a pattern without one stands for itself.
 
-    Numbers are padded to the wider bound if either bound starts with a zero.
-    """
-    head, low, high, tail = (F.regexp_extract(pattern, BRACE_RANGE, g) for g in range(1, 5))
+def _choices(inside: Column) -> Column:
+    """What one pair of braces stands for. Numbers are padded if either bound starts with a zero."""
+    low, high = (F.regexp_extract(inside, BRACE_RANGE, g) for g in (1, 2))
     padded = low.rlike(r"^0\d") | high.rlike(r"^0\d")
     width = F.when(padded, F.greatest(F.length(low), F.length(high))).otherwise(0)
 
-    def name(number: Column) -> Column:
-        digits = number.cast("string")
-        return F.concat(head, F.lpad(digits, F.greatest(F.length(digits), width), "0"), tail)
+    def digits(number: Column) -> Column:
+        text = number.cast("string")
+        return F.lpad(text, F.greatest(F.length(text), width), "0")
 
     bounds = [F.nullif(b, F.lit("")).cast("bigint") for b in (low, high)]
-    return F.coalesce(F.transform(F.sequence(*bounds), name), F.array(pattern))
+    return F.coalesce(F.transform(F.sequence(*bounds), digits), F.split(inside, ",", -1))
+
+
+def expand_shards(pattern: Column) -> Column:
+    """Names that ranges and lists in braces stand for, the leftmost changing slowest.
+
+    A pattern without braces stands for itself; more than ``MAX_BRACES`` are an error.
+    """
+
+    def step(names: Column) -> Column:
+        def one(name: Column) -> Column:
+            at = F.regexp_instr(name, F.lit(BRACES))
+            found = F.regexp_extract(name, BRACES, 0)
+            head = F.substring(name, F.lit(1), at - 1)
+            tail = F.substring(name, at + F.length(found), F.length(name))
+            inside = F.substring(found, F.lit(2), F.length(found) - 2)
+            many = F.transform(_choices(inside), lambda x: F.concat(head, x, tail))
+            return F.when(at > 0, many).otherwise(F.array(name))
+
+        return F.flatten(F.transform(names, one))
+
+    names = F.array(pattern)
+    for _ in range(MAX_BRACES):
+        names = step(names)
+    left = F.exists(names, lambda name: name.rlike(BRACES))
+    return F.when(left, F.raise_error(F.lit(f"more than {MAX_BRACES} braces")).cast("array<string>")).otherwise(names)
 
 
 def expand_braces(pattern: str) -> list[str]:
     """The same for one path, on the driver."""
-    match = re.match(BRACE_RANGE, pattern)
+    match = re.search(BRACES, pattern)
     if not match:
         return [pattern]
-    head, low, high, tail = match.groups()
-    padded = any(len(b) > 1 and b.startswith("0") for b in (low, high))
-    width = max(len(low), len(high)) if padded else 0
-    step = 1 if int(low) <= int(high) else -1
-    return [f"{head}{n:0{width}d}{tail}" for n in range(int(low), int(high) + step, step)]
+    bounds = re.match(BRACE_RANGE, match[1])
+    if bounds:
+        low, high = bounds.groups()
+        padded = any(len(b) > 1 and b.startswith("0") for b in (low, high))
+        width = max(len(low), len(high)) if padded else 0
+        step = 1 if int(low) <= int(high) else -1
+        choices = [f"{n:0{width}d}" for n in range(int(low), int(high) + step, step)]
+    else:
+        choices = match[1].split(",")
+    return [name for c in choices for name in expand_braces(pattern[: match.start()] + c + pattern[match.end() :])]
 
 
 def write_shards(

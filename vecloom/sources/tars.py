@@ -98,6 +98,8 @@ class TarReader(DataSourceReader):
                     if fields:
                         yield shard, key, fields
                     key, fields = prefix, {}
+                if extension.lower() in fields:
+                    raise ValueError(f"{partition.path}: {member.name} stands twice in sample {prefix}")
                 fields[extension.lower()] = tar.extractfile(member).read()
             if fields:
                 yield shard, key, fields
