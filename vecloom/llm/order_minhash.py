@@ -138,8 +138,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).head()
     rows = max(GROUP_ROWS, n // MOST_GROUPS)
-    width = 1 if low is None else max(1, -(-(high - low + 1) * rows // max(n, 1)))
-    group = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(width)).cast("bigint"), F.lit(-1))
+    span = 0 if low is None else high - low
+    width = max(1, -(-(span + 1) * rows // max(n, 1)))
+    if max(span, width) < 1 << 62:
+        place = F.expr(f"(doc_id - {low or 0}L) div {width}L")
+    else:
+        # Beyond long integers; rounding keeps the order of groups.
+        place = F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(width)))
+    group = F.coalesce(place, F.lit(-1))
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_group", group).withColumn("_tie", F.xxhash64("text"))
     groups = dealt.groupBy("_group").agg(F.min(F.struct("doc_id", "_tie")).alias("_least"))
     ring = Window.orderBy("_group")
