@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecloom.functions.arrays import let
 from vecloom.functions.arrow import to_lists, to_matrix, vector_udf
-from vecloom.functions.draws import hex_number
 
 # Longest token row and number of hashed ids; id 0 is padding.
 MAX_LENGTH = 128
@@ -17,22 +18,25 @@ VOCABULARY = 32000
 
 
 def tokenize_pad(col: Column | str, max_length: int = MAX_LENGTH, vocabulary: int = VOCABULARY) -> Column:
-    """Struct of ``ids`` and ``mask``, both ``max_length`` long, and ``n_tokens`` of the whole text."""
+    """Struct of ``ids`` and ``mask``, both ``max_length`` long, and ``n_tokens`` of the whole text.
+
+    Spark cuts the text; each distinct word of an Arrow batch is hashed once.
+    """
     col = F.col(col) if isinstance(col, str) else col
     words = F.filter(F.split(F.lower(col), r"\s+"), lambda w: w != "")
 
-    def pad(s: Column) -> Column:
-        used = F.slice(s["words"], 1, max_length)
-        missing = F.lit(max_length) - F.least(F.size(s["words"]), F.lit(max_length))
-        ids = F.transform(used, lambda w: (hex_number(F.md5(w), 1, 8) % vocabulary + 1).cast("int"))
-        ones = F.transform(used, lambda w: F.lit(1))
-        return F.struct(
-            F.concat(ids, F.array_repeat(F.lit(0), missing)).alias("ids"),
-            F.concat(ones, F.array_repeat(F.lit(0), missing)).alias("mask"),
-            F.size(s["words"]).alias("n_tokens"),
-        )
-
-    return F.when(col.isNotNull(), let(pad, words=words))
+    @vector_udf("struct<ids:array<int>,mask:array<int>,n_tokens:int>")
+    def pad(used: pa.Array, count: pa.Array) -> pa.Array:
+        present = np.asarray(used.is_valid())
+        coded = used.flatten().dictionary_encode()
+        hashed = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % vocabulary + 1 for w in coded.dictionary.to_pylist()]
+        mask = np.arange(max_length) < np.asarray(pc.list_value_length(used).drop_null())[:, None]
+        ids = np.zeros(mask.shape, np.int32)
+        ids[mask] = np.array(hashed, np.int32)[np.asarray(coded.indices)]
+        lists = [to_lists(m, present, pa.int32()) for m in (ids, mask.astype(np.int32))]
+        return pa.StructArray.from_arrays([*lists, count.cast(pa.int32())], ["ids", "mask", "n_tokens"], mask=pa.array(~present))
+
+    return pad(F.slice(words, 1, max_length), F.size(words))
 
 
 def hash_embed(ids: Column, dim: int) -> Column:
