@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import layout, scale_latents
 from vecloom.operators import (
     clip_norm,
+    global_index,
     repeat_epochs,
     require_one_of,
     retention,
@@ -90,3 +91,15 @@ def test_layout_binds_a_computed_array_once(spark):
     plan = laid._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("0.18215") == 1
     assert laid.head()["x"] == pytest.approx([v * 0.18215 for v in (1.0, 3.0, 2.0, 4.0)])
+
+
+def test_ties_of_an_index_are_spread(spark):
+    rows = spark.range(200_000).select(F.col("id"), F.lit("x").alias("source"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        indexed = global_index(rows, "source")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = indexed.select(F.input_file_name().alias("f")).groupBy("f").count()
+    assert parts.count() > 4 and parts.agg(F.max("count")).head()[0] < 60_000
+    assert indexed.agg(F.min("idx"), F.max("idx"), F.countDistinct("idx")).head() == (0, 199_999, 200_000)

@@ -25,18 +25,22 @@ MAX_BROADCAST_ROWS = 1_000_000
 def global_index(df: DataFrame, *order: str, idx: str = "idx", key: str = "key") -> DataFrame:
     """Add a gapless running index in ``order`` and its zero-padded key.
 
-    ``order`` has to identify a row: ties would share one range, and their order
-    would be open. The rows are range-partitioned and sorted once and written to
+    Rows that tie in ``order`` go by a hash of the whole row, so a value that very
+    many rows share is spread over ranges, and only equal rows have an open order.
+    The rows are range-partitioned and sorted once and written to
     the shared folder, since two runs of one sort may cut the ranges differently.
     Row numbers inside a range then only need the sizes of the ranges before it.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "global-index")
     row_in_part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # Maps cannot be hashed.
+    whole = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    tied = df.withColumn("_tie", F.xxhash64(*whole) if whole else F.lit(0))
     (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("*", F.spark_partition_id().alias("_part"), row_in_part.alias("_row"))
+        tied.repartitionByRange(*order, "_tie")
+        .sortWithinPartitions(*order, "_tie")
+        .select(*df.columns, F.spark_partition_id().alias("_part"), row_in_part.alias("_row"))
         .write.parquet(path)
     )
     written = spark.read.parquet(path)
