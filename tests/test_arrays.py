@@ -99,7 +99,8 @@ def test_concat_mask(spark):
 def test_zip_columns_stops_at_the_shortest(spark):
     rows = [(1, [1.0, 2.0, 3.0], [4.0, 5.0]), (2, [], [1.0]), (3, None, [1.0])]
     df = spark.createDataFrame(rows, "id int, a array<double>, b array<double>")
-    assert sorted(map(tuple, zip_columns(df, ["a", "b"], ["id"]).collect())) == [(1, 1.0, 4.0), (1, 2.0, 5.0)]
+    # The row with a null array stays, as a row of nulls.
+    assert sorted(map(tuple, zip_columns(df, ["a", "b"], ["id"]).collect())) == [(1, 1.0, 4.0), (1, 2.0, 5.0), (3, None, None)]
 
 
 def test_layer_norm(spark):
