@@ -11,7 +11,7 @@ therefore have equal anchors, and the passes are
    compared, and each class of equal windows gets its smallest document id,
 4. the windows with a smaller one go back to their documents as spans of bytes.
 
-Numbers travel as packed arrays, one row per task, bucket and part.
+Numbers travel as packed arrays, one row per block of text and bucket, or bucket and part.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.frames import mixed, stored, text_bytes
+from vecloom.llm.frames import Numbered, mixed, stored, text_bytes
 from vecloom.llm.registry import query
 from vecloom.plans.catalog import table
 
@@ -36,7 +36,7 @@ BREAK = 0xFF
 GROUP_BYTES = 4 << 20
 MOST_GROUP_BYTES = 64 << 20
 # Bytes of text a task turns into anchors at a time.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -178,12 +178,14 @@ def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(key[order[a]]), order[a:b]
 
 
-def _packed(rows: list[dict], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema)
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: high bytes are alike, and pack to nothing in the shuffle."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
 
 
 def _numbers(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+    size = np.dtype(kind).itemsize
+    return [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).ravel() for x in column.to_pylist()]
 
 
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -191,10 +193,26 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, kind)
 
 
-ANCHOR = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("hash", "doc", "tag", "part", "lo", "more"))])
-CANDIDATE = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("doc", "tag", "lo", "more"))])
-SNIPPET = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("bytes", "sizes", "of", "doc", "tag", "part", "lo"))])
-SPAN = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("doc", "tag", "lo", "hi"))])
+def _part_of(doc: np.ndarray, parts: int) -> np.ndarray:
+    """The same as ``_part`` on Spark's side."""
+    return (doc ^ (doc >> 16) ^ (doc >> 32)) % parts
+
+
+def _part(parts: int) -> Column:
+    doc = F.col("doc_id")
+    mixed_id = doc.bitwiseXOR(F.shiftright(doc, 16)).bitwiseXOR(F.shiftright(doc, 32))
+    return F.coalesce(F.pmod(mixed_id, F.lit(parts)), F.pmod(F.xxhash64("text"), F.lit(parts))).cast("int")
+
+
+def _schema(**kinds: str) -> pa.Schema:
+    return pa.schema([(name, pa.int32() if kind == "int" else pa.binary()) for name, kind in kinds.items()])
+
+
+ANCHOR = _schema(bucket="int", hash="", doc="", lo="", more="")
+CANDIDATE = _schema(part="int", bucket="int", doc="", lo="", more="")
+SNIPPET = _schema(bucket="int", part="int", bytes="", sizes="", of="", doc="", row="", lo="")
+SPAN = _schema(part="int", row="", lo="", hi="")
+ZSTD = "zstd"
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -203,112 +221,127 @@ def _ddl(schema: pa.Schema) -> str:
 
 def _find_anchors(buckets: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(texts: list[bytes], ids: list[tuple]) -> Iterator[pa.RecordBatch]:
+        def flush(texts: list[bytes], facts: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-            h, doc, lo, more = anchors(np.frombuffer(b"".join(texts) + bytes(16), np.uint8)[: int(ends[-1])], ends, length)
-            facts = np.array(ids, np.int64)
-            rows = []
-            for bucket, at in _split(((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)):
-                d = facts[doc[at]]
-                rows.append(
-                    {
-                        "bucket": bucket,
-                        "hash": h[at].astype(np.uint32).tobytes(),
-                        "doc": np.ascontiguousarray(d[:, 0]).tobytes(),
-                        "tag": np.ascontiguousarray(d[:, 1]).tobytes(),
-                        "part": d[:, 2].astype(np.int32).tobytes(),
-                        "lo": lo[at].astype(np.uint32).tobytes(),
-                        "more": more[at].astype(np.uint8).tobytes(),
-                    }
-                )
-            yield from _packed(rows, ANCHOR).to_batches()
-
-        texts, ids, size = [], [], 0
+            h, piece, lo, more = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, length)
+            doc, start = np.array(facts, np.int64)[piece].reshape(-1, 2).T
+            lo = (lo + start).astype(np.uint32)
+            doc, low, more = np.ascontiguousarray(doc), h.astype(np.uint32), more.astype(np.uint8)
+            rows = [
+                {"bucket": bucket, "hash": low[at].tobytes(), "doc": _planes(doc[at]), "lo": _planes(lo[at]), "more": more[at].tobytes()}
+                for bucket, at in _split(((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32))
+            ]
+            yield from pa.Table.from_pylist(rows, ANCHOR).to_batches()
+
+        texts, facts, size = [], [], 0
         for batch in batches:
-            for text, *facts in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "tag", "part"))):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 data = text.encode("utf-8", "replace")
-                if len(data) >= length:
-                    texts.append(data)
-                    ids.append(tuple(facts))
-                    size += len(data)
-                if size >= BLOCK:
-                    yield from flush(texts, ids)
-                    texts, ids, size = [], [], 0
+                # A long text comes in pieces that share all but one byte of a window.
+                for start in range(0, len(data) - length + 1, BLOCK):
+                    texts.append(data[start : start + BLOCK + length - 1])
+                    facts.append((doc, start))
+                    size += len(texts[-1])
+                    if size >= BLOCK:
+                        yield from flush(texts, facts)
+                        texts, facts, size = [], [], 0
         if texts:
-            yield from flush(texts, ids)
+            yield from flush(texts, facts)
 
     return find
 
 
-def _shared_anchors(group: pa.Table) -> pa.Table:
+def _shared_anchors(parts: int) -> Callable[[pa.Table], pa.Table]:
     """Anchors whose hash stands in two documents."""
-    h, doc = _joined(group["hash"], "u4"), _joined(group["doc"], "i8")
-    order = np.argsort(h)
-    cuts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    sizes = np.diff(np.concatenate([cuts, [len(h)]]))
-    several = np.minimum.reduceat(doc[order], cuts) < np.maximum.reduceat(doc[order], cuts)
-    take = order[np.repeat(several, sizes)]
-    tag, part = _joined(group["tag"], "i8")[take], _joined(group["part"], "i4")[take]
-    lo, more, doc = _joined(group["lo"], "u4")[take], _joined(group["more"], "u1")[take], doc[take]
-    bucket = group["bucket"][0].as_py()
-    rows = [
-        {"part": p, "bucket": bucket, "doc": doc[at].tobytes(), "tag": tag[at].tobytes(), "lo": lo[at].tobytes(), "more": more[at].tobytes()}
-        for p, at in _split(part)
-    ]
-    return _packed(rows, CANDIDATE)
+
+    def share(group: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x, np.uint32) for x in group["hash"].to_pylist()])
+        more = np.concatenate([np.frombuffer(x, np.uint8) for x in group["more"].to_pylist()])
+        doc, lo = _joined(group["doc"], "i8"), _joined(group["lo"], "u4")
+        order = np.argsort(h)
+        cuts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        sizes = np.diff(np.concatenate([cuts, [len(h)]]))
+        several = np.minimum.reduceat(doc[order], cuts) < np.maximum.reduceat(doc[order], cuts)
+        take = order[np.repeat(several, sizes)]
+        doc, lo, more = doc[take], lo[take], more[take]
+        bucket = group["bucket"][0].as_py()
+        rows = [
+            {"part": part, "bucket": bucket, "doc": _planes(doc[at]), "lo": _planes(lo[at]), "more": more[at].tobytes()}
+            for part, at in _split(_part_of(doc, parts))
+        ]
+        return pa.Table.from_pylist(rows, CANDIDATE)
+
+    return share
+
+
+def _in_order(docs: pa.Table) -> list[int]:
+    """Rows of a part by id and text, so that every pass numbers them alike."""
+    ids, tags = docs["doc_id"].to_pylist(), docs["tag"].to_pylist()
+    return sorted((i for i, doc in enumerate(ids) if doc is not None), key=lambda i: (ids[i], tags[i]))
 
 
 def _cut_snippets(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         rows = []
         if found.num_rows and docs.num_rows:
-            texts = dict(zip(zip(docs["doc_id"].to_pylist(), docs["tag"].to_pylist()), docs["text"].to_pylist()))
-            data: dict[tuple, bytes] = {}
-            part = found["part"][0].as_py()
+            ids, texts = docs["doc_id"].to_pylist(), docs["text"].to_pylist()
+            # A candidate goes to every row of its id that is long enough; the bytes decide.
+            own: dict[int, list[tuple[int, bytes]]] = {}
+            for row, i in enumerate(_in_order(docs)):
+                if texts[i] is not None:
+                    own.setdefault(ids[i], []).append((row, texts[i].encode("utf-8", "replace")))
             by_bucket: dict[int, list[int]] = {}
             for i, bucket in enumerate(found["bucket"].to_pylist()):
                 by_bucket.setdefault(bucket, []).append(i)
-            columns = {c: _numbers(found[c], k) for c, k in (("doc", "i8"), ("tag", "i8"), ("lo", "u4"), ("more", "u1"))}
+            doc_parts, lo_parts, more_parts = _numbers(found["doc"], "i8"), _numbers(found["lo"], "u4"), found["more"].to_pylist()
+            codec = pa.Codec(ZSTD)
             for bucket, at in by_bucket.items():
-                doc, tag, lo, more = (np.concatenate([columns[c][i] for i in at]) for c in ("doc", "tag", "lo", "more"))
-                index: dict[bytes, int] = {}
-                of = []
-                for d, t, a, m in zip(doc.tolist(), tag.tolist(), lo.tolist(), more.tolist()):
-                    text = data.get((d, t))
-                    if text is None:
-                        text = data[(d, t)] = texts[(d, t)].encode("utf-8", "replace")
-                    of.append(index.setdefault(text[a : a + m + length], len(index)))
+                index: dict[bytes, int] = Numbered()
+                of, doc, row, lo = [], [], [], []
+                for i in at:
+                    for d, a, m in zip(doc_parts[i].tolist(), lo_parts[i].tolist(), more_parts[i]):
+                        for r, text in own.get(d, ()):
+                            if a + m + length <= len(text):
+                                of.append(index[text[a : a + m + length]])
+                                doc.append(d)
+                                row.append(r)
+                                lo.append(a)
                 rows.append(
                     {
                         "bucket": bucket,
-                        "bytes": b"".join(index),
+                        "part": found["part"][0].as_py(),
+                        "bytes": codec.compress(b"".join(index), asbytes=True),
                         "sizes": np.fromiter(map(len, index), np.uint8, len(index)).tobytes(),
-                        "of": np.array(of, np.uint32).tobytes(),
-                        "doc": doc.tobytes(),
-                        "tag": tag.tobytes(),
-                        "part": np.full(len(doc), part, np.int32).tobytes(),
-                        "lo": lo.tobytes(),
+                        "of": _planes(np.array(of, np.uint32)),
+                        "doc": _planes(np.array(doc, np.int64)),
+                        "row": _planes(np.array(row, np.uint32)),
+                        "lo": _planes(np.array(lo, np.uint32)),
                     }
                 )
-        return _packed(rows, SNIPPET)
+        return pa.Table.from_pylist(rows, SNIPPET)
 
     return cut
 
 
 def _repeated(length: int) -> Callable[[pa.Table], pa.Table]:
     def judge(group: pa.Table) -> pa.Table:
-        index: dict[bytes, int] = {}
-        of = []
-        for data, sizes, local in zip(group["bytes"].to_pylist(), _numbers(group["sizes"], "u1"), _numbers(group["of"], "u4")):
-            cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).tolist()
-            here = [index.setdefault(data[a:b], len(index)) for a, b in zip(cuts, cuts[1:])]
+        index: dict[bytes, int] = Numbered()
+        of, part = [], []
+        codec = pa.Codec(ZSTD)
+        for data, sizes, local, own in zip(group["bytes"].to_pylist(), group["sizes"].to_pylist(), _numbers(group["of"], "u4"), group["part"].to_pylist()):
+            cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64)]).tolist()
+            data = codec.decompress(data, cuts[-1], asbytes=True) if cuts[-1] else b""
+            here = [index[data[a:b]] for a, b in zip(cuts, cuts[1:])]
             of.append(np.array(here, np.int64)[local])
-        of = np.concatenate(of)
+            part.append(np.full(len(local), own))
+        of, part = np.concatenate(of), np.concatenate(part)
+        if not len(of):
+            return pa.Table.from_pylist([], SPAN)
         doc = _joined(group["doc"], "i8")
         least = np.full(len(index), np.iinfo(np.int64).max)
         np.minimum.at(least, of, doc)
         classes, owner, _ = window_classes(list(index), length)
-        first = np.full(int(classes.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        first = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, classes, least[owner])
         first = first[classes]
         counts = np.bincount(owner, minlength=len(index))
@@ -326,14 +359,13 @@ def _repeated(length: int) -> Callable[[pa.Table], pa.Table]:
         head = np.flatnonzero(np.concatenate([[True], ~joins])) if len(member) else np.zeros(0, np.int64)
         tail = np.concatenate([head[1:] - 1, [len(member) - 1]]) if len(member) else head
         at = np.concatenate([np.flatnonzero(whole), member[head]])
-        start = np.concatenate([lo[whole], lo[member[head]] + window[head]])
-        end = np.concatenate([lo[whole] + counts[of[whole]] - 1, lo[member[tail]] + window[tail]]) + length
-        tag, part = _joined(group["tag"], "i8"), _joined(group["part"], "i4")
+        start = np.concatenate([lo[whole], lo[member[head]] + window[head]]).astype(np.uint32)
+        end = (np.concatenate([lo[whole] + counts[of[whole]] - 1, lo[member[tail]] + window[tail]]) + length).astype(np.uint32)
+        row = _joined(group["row"], "u4")[at]
         rows = [
-            {"part": p, "doc": doc[at[i]].tobytes(), "tag": tag[at[i]].tobytes(), "lo": start[i].astype(np.uint32).tobytes(), "hi": end[i].astype(np.uint32).tobytes()}
-            for p, i in _split(part[at])
+            {"part": p, "row": _planes(row[i]), "lo": _planes(start[i]), "hi": _planes(end[i])} for p, i in _split(part[at])
         ]
-        return _packed(rows, SPAN)
+        return pa.Table.from_pylist(rows, SPAN)
 
     return judge
 
@@ -353,11 +385,6 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-def _dealt(docs: DataFrame, parts: int) -> DataFrame:
-    """``tag`` tells rows of one id apart; null ids stand alone."""
-    return docs.withColumn("tag", F.xxhash64("text")).withColumn("part", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(parts)).cast("int"))
-
-
 def with_spans(docs: DataFrame, make: Callable[[pa.Table, list[list[tuple[int, int]]]], pa.Table], schema: str, length: int = LENGTH) -> DataFrame:
     """``make`` gets rows of ``docs`` as an Arrow table, and each row's repeated spans of bytes.
 
@@ -373,24 +400,23 @@ def with_spans(docs: DataFrame, make: Callable[[pa.Table, list[list[tuple[int, i
     for name in ("tag", "part"):
         if name in docs.columns:
             raise ValueError(f"the column {name} has to be renamed first")
-    dealt = _dealt(docs, parts)
-    texts = dealt.select("doc_id", "tag", "part", "text").filter("doc_id is not null and text is not null")
+    dealt = docs.withColumn("tag", F.xxhash64("text")).withColumn("part", _part(parts))
+    texts = dealt.select("doc_id", "tag", "part", "text").filter("doc_id is not null")
     found = (
-        texts.mapInArrow(_find_anchors(parts, length), _ddl(ANCHOR))
+        texts.select("doc_id", "text").filter("text is not null").mapInArrow(_find_anchors(parts, length), _ddl(ANCHOR))
         .groupBy("bucket")
-        .applyInArrow(_shared_anchors, _ddl(CANDIDATE))
+        .applyInArrow(_shared_anchors(parts), _ddl(CANDIDATE))
     )
     found = stored(found, "anchors")
     snippets = texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut_snippets(length), _ddl(SNIPPET))
     spans = stored(snippets.groupBy("bucket").applyInArrow(_repeated(length), _ddl(SPAN)), "spans")
 
     def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
-        by_doc: dict[tuple, list[tuple[int, int]]] = {}
-        columns = [np.concatenate(x).tolist() if x else [] for x in (_numbers(found[c], k) for c, k in (("doc", "i8"), ("tag", "i8"), ("lo", "u4"), ("hi", "u4")))]
-        for d, t, a, b in zip(*columns):
-            by_doc.setdefault((d, t), []).append((a, b))
-        keys = zip(rows["doc_id"].to_pylist(), rows["tag"].to_pylist())
-        return make(rows.drop_columns(["tag", "part"]), [merged(by_doc.get(key, [])) for key in keys])
+        own: list[list[tuple[int, int]]] = [[] for _ in range(rows.num_rows)]
+        order = _in_order(rows)
+        for row, a, b in zip(*(_joined(found[c], "u4").tolist() for c in ("row", "lo", "hi"))):
+            own[order[row]].append((a, b))
+        return make(rows.drop_columns(["tag", "part"]), [merged(x) for x in own])
 
     return dealt.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(finish, schema)
 
