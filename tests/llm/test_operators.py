@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -232,9 +233,14 @@ def brute_fingerprint(text: str) -> str:
     wrap = lambda x: x & 0xFFFFFFFFFFFFFFFF
     high = wrap(~0x7FFFFFFF)
     seen, chosen = Counter(), defaultdict(list)
-    runs = [text[i : i + 8] for i in range(max(len(text) - 7, 1))]
+    white = r" \t\n\x0b\f\r"
+    units = re.findall(rf"[^{white}]{{1,16}}[{white}]*|[{white}]+", text)
+    runs = [units[i : i + 2] for i in range(max(len(units) - 1, 1))]
     for place, run in enumerate(runs):
-        h = xxhash.xxh64_intdigest(run.encode("utf-32-be"), 42) & high
+        h = 42
+        for unit in run:
+            h = xxhash.xxh64_intdigest(unit.encode(), h)
+        h &= high
         number = seen[h]
         seen[h] += 1
         g = xxhash.xxh64_intdigest(number.to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)) & high

@@ -41,6 +41,13 @@ SIEVE_BITS = 22
 assert RADIUS < (FLIPS + 1) * (BITS // BLOCK_BITS)
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values stand in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def simhash(values: np.ndarray) -> np.ndarray:
     """Fingerprints of rows of shingles, repeats counting as often as they stand: ``(windows, size)``."""
     votes = np.zeros((values.shape[0], BITS), np.int32)
@@ -120,13 +127,13 @@ class Index:
         if 0 < len(words) < SHINGLE:
             return {item: (1.0, 0, len(words)) for item in self.short.get(int(found[0]), [])}
         maybe = np.flatnonzero(self.sieve[(found >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
-        maybe = maybe[np.isin(found[maybe], self.known)]
+        maybe = maybe[among(found[maybe], self.known)]
         if not len(maybe):
             return best
         for size, sized in self.sizes.items():
             if len(found) < size or len(maybe) < sized.least:
                 continue
-            own = maybe[np.isin(found[maybe], sized.known)]
+            own = maybe[among(found[maybe], sized.known)]
             if len(own) < sized.least:
                 continue
             marks = np.zeros(len(found) + 1, np.int64)

@@ -34,7 +34,7 @@ ROWS = 4
 SIMILARITY = 80
 ROUND_BITS = 20
 # A bucket has so many times more pivots in each further round.
-MORE_PIVOTS = 4
+MORE_PIVOTS = 16
 
 
 def sketch_sets(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
@@ -149,7 +149,7 @@ def class_links(shared: DataFrame, sets: DataFrame, similarity: int) -> DataFram
     shares more with its copies than they do with each other, and settles a bucket.
     """
     rank = Window.partitionBy("bucket").orderBy(F.desc("crowd"), "node")
-    links = comps = None
+    links = comps = compared = None
     first, width = 0, 1
     while True:
         now = shared.withColumn("comp", F.col("node"))
@@ -161,16 +161,19 @@ def class_links(shared: DataFrame, sets: DataFrame, similarity: int) -> DataFram
         pivots = (
             unsettled.withColumn("at", F.row_number().over(rank))
             .filter((F.col("at") <= first + width) & (F.col("at") > first))
-            .select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"))
+            .select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), F.col("crowd").alias("wa"))
         )
         similar_size = 100 * F.least("size", "sa") >= similarity * F.greatest("size", "sa")
-        pairs = stored(
+        # Those before a pivot in the order have met it as pivots themselves.
+        later = (F.col("crowd") < F.col("wa")) | ((F.col("crowd") == F.col("wa")) & (F.col("node") > F.col("a")))
+        pairs = (
             unsettled.join(pivots, "bucket")
-            .filter((F.col("comp") != F.col("ca")) & similar_size)
+            .filter((F.col("comp") != F.col("ca")) & similar_size & later)
             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-            .distinct(),
-            "pairs",
+            .distinct()
         )
+        pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = pairs if compared is None else compared.unionByName(pairs)
         if not pairs.isEmpty():
             new = stored(confirmed(pairs, sets, similarity), "links")
             if not new.isEmpty():

@@ -1,7 +1,9 @@
 """Order MinHash fingerprints, in Spark SQL functions alone.
 
-A text is its runs of ``K`` code points, each numbered among its equals: the first
-"abc", the second, and so on. A hash deals the numbered runs to ``BINS`` bins; each
+A text is its runs of ``K`` units, each numbered among its equals: the first
+"and so ", the second, and so on. A unit is at most 16 code points without white
+space and the white space after them, so that every code point counts; runs of
+single code points took about four times the CPU seconds there are. A hash deals the numbered runs to ``BINS`` bins; each
 bin selects its ``TUPLE`` least, puts them back in the order of the text and hashes
 them as a tuple. Order and number of repeats tell texts apart that hold the same
 runs, so the share of equal tuples falls with the edit distance.
@@ -19,7 +21,8 @@ from pyspark.sql.window import Window
 from vecloom.llm.registry import query
 from vecloom.plans.catalog import table
 
-K = 8
+K = 2
+UNIT = r"\\S{1,16}\\s*|\\s+"
 BINS = 64
 TUPLE = 2
 # A place in the text takes so many low bits, so texts may have 2^31 code points.
@@ -32,11 +35,17 @@ _PLACE = (1 << PLACE_BITS) - 1
 _BIN_SHIFT = 64 - (BINS.bit_length() - 1)
 
 
-def _runs(units: str, n: str) -> str:
+def _bound(value: str, body: str) -> str:
+    """``body`` with ``v`` for the value, evaluated once: in a lambda a captured expression is evaluated for each element."""
+    return f"element_at(transform(array({value}), v -> {body}), 1)"
+
+
+def _runs(text: str) -> str:
     """Hash of each run, its place in the low bits; a shorter text is one run."""
-    return (
-        f"transform(sequence(0, greatest({n} - {K}, 0)), i -> "
-        f"((xxhash64(substring({units}, 4 * i + 1, {4 * K})) & ~{_PLACE}L) | i))"
+    units = ", ".join(f"get(v, i + {j})" for j in range(K))
+    return _bound(
+        f"regexp_extract_all(coalesce({text}, ''), '{UNIT}', 0)",
+        f"transform(sequence(0, greatest(size(v) - {K}, 0)), i -> ((xxhash64({units}) & ~{_PLACE}L) | i))",
     )
 
 
@@ -69,6 +78,15 @@ def _likely(g: str) -> str:
     return f"filter({g}, x -> shiftrightunsigned(x << {64 - _BIN_SHIFT}, 64 - {bits}) = 0 or {bits} = 0)"
 
 
+def _served(o: str) -> str:
+    """How many bins have a tuple's worth of sorted hashes."""
+    bin_of = lambda at: f"shiftrightunsigned({o}[{at}], {_BIN_SHIFT})"
+    return (
+        f"size(filter(sequence(0, greatest(size({o}) - {TUPLE}, 0)), i -> i + {TUPLE} <= size({o}) and {bin_of('i')} = {bin_of(f'i + {TUPLE - 1}')} "
+        f"and (i = 0 or {bin_of('i')} <> {bin_of('greatest(i - 1, 0)')})))"
+    )
+
+
 def _firsts(o: str) -> str:
     """Where in sorted hashes a bin begins."""
     return (
@@ -94,40 +112,41 @@ def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     an empty or null text has none.
     """
     for text in columns:
-        df = df.withColumn(f"_n_{text}", F.length(F.coalesce(text, F.lit("")))).withColumn(f"_u_{text}", F.expr(f"encode(coalesce({text}, ''), 'UTF-32')"))
+        df = df.withColumn(f"_n_{text}", F.length(F.coalesce(text, F.lit(""))))
     for step in ("s", "t", "g", "o", "f", "d"):
         for text in columns:
-            u, n, s, t, g, o, f = (f"_{c}_{text}" for c in "unstgof")
+            s, t, g, o, f = (f"_{c}_{text}" for c in "stgof")
             made = {
-                "s": f"sort_array({_runs(u, n)})",
+                "s": f"sort_array({_runs(text)})",
                 "t": _starts(s),
                 "g": _numbered(s, t),
-                "o": f"sort_array({_likely(g)})",
+                "o": "",
                 "f": _firsts(o),
                 "d": _selected(o, f),
             }[step]
             if step == "o":
                 # A bin that lacks runs among the likely ones makes the whole list count.
-                df = df.withColumn(f"_l_{text}", F.expr(_likely(g)))
-                counts = f"aggregate(transform(filter(sequence(0, {BINS - 1}), b -> size(filter(_l_{text}, x -> shiftrightunsigned(x, {_BIN_SHIFT}) = b)) < {TUPLE}), b -> 1), 0, (a, b) -> a + b)"
-                made = f"sort_array(if(size(_l_{text}) = size({g}) or {counts} = 0, _l_{text}, {g}))"
+                likely = f"_l_{text}"
+                df = df.withColumn(likely, F.expr(f"sort_array({_likely(g)})"))
+                made = f"if(size({likely}) = size({g}) or {_served(likely)} = {BINS}, {likely}, sort_array({g}))"
             df = df.withColumn(f"_{step}_{text}", F.expr(made))
-        gone = {"s": "u", "g": "st", "o": "gl", "d": "of"}.get(step, "")
+        gone = {"g": "st", "o": "gl", "d": "of"}.get(step, "")
         df = df.drop(*[f"_{c}_{text}" for c in gone for text in columns])
     for text, name in columns.items():
         places = f"map_from_entries(transform(_d_{text}, x -> struct(x.b, lpad(lower(hex(x.h)), 16, '0'))))"
-        digits = f"array_join(transform(sequence(0L, {BINS - 1}L), b -> coalesce(element_at({places}, b), '----------------')), '')"
+        each = f"transform(sequence(0L, {BINS - 1}L), b -> coalesce(element_at(v, b), '----------------'))"
+        digits = f"array_join({_bound(places, each)}, '')"
         df = df.withColumn(name, F.expr(f"if(_n_{text} = 0, '', {digits})"))
     return df.drop(*[f"_{c}_{text}" for c in "nd" for text in columns])
 
 
 def likeness(a: str, b: str) -> Column:
     """Share of bins with equal tuples, of the bins that either has; two empty ones are alike."""
-    part = lambda c, i: f"substring({c}, 16 * {i} + 1, 16)"
-    bins = f"sequence(0, {BINS - 1})"
-    equal = f"size(filter({bins}, i -> {part(a, 'i')} = {part(b, 'i')} and {part(a, 'i')} not like '-%'))"
-    used = f"size(filter({bins}, i -> {part(a, 'i')} not like '-%' or {part(b, 'i')} not like '-%'))"
-    return F.expr(f"case when {a} = {b} then 1.0D when {a} = '' or {b} = '' then 0.0D else {equal} / cast({used} as double) end")
+    parts = [f"regexp_extract_all({c}, '.{{16}}', 0)" for c in (a, b)]
+    dash = "'----------------'"
+    flags = f"zip_with({parts[0]}, {parts[1]}, (x, y) -> case when x = {dash} and y = {dash} then 0 when x = y then 2 else 1 end)"
+    share = _bound(flags, "size(filter(v, z -> z = 2)) / cast(size(filter(v, z -> z > 0)) as double)")
+    return F.expr(f"case when {a} = {b} then 1.0D when {a} = '' or {b} = '' then 0.0D else {share} end")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
