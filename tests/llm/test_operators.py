@@ -288,6 +288,43 @@ def test_order_of_passages_matters(spark):
     assert same == 1.0 and 0.2 < near_ < 0.9
 
 
+def independent_likeness(a: str, b: str, hashes: int = 64) -> float:
+    """Order MinHash as it is defined: the two least runs of each of many hashes, in the order of the text."""
+
+    def tuples(text: str) -> list[tuple]:
+        words = text.split()
+        runs = list(zip(words, words[1:]))
+        hashed = lambda i, r: xxhash.xxh64_intdigest(" ".join(r), i)
+        return [tuple(sorted(sorted(runs, key=lambda r: hashed(i, r))[:2], key=runs.index)) for i in range(hashes)]
+
+    return sum(x == y for x, y in zip(tuples(a), tuples(b))) / hashes
+
+
+def test_order_of_passages_matters_in_short_texts(spark):
+    sizes = (20, 40, 60, 100)
+    rows = []
+    for n in sizes:
+        for k in range(25):
+            words = [f"w{n}x{k}x{i}" for i in range(n)]
+            # A unit ends with its space, so the last word has one, too.
+            rows.append((n, "".join(w + " " for w in words), "".join(w + " " for w in words[n // 2 :] + words[: n // 2])))
+    marked = order_minhash.with_fingerprints(spark.createDataFrame(rows, "n int, x string, y string"), {"x": "fx", "y": "fy"})
+    found = marked.select("n", "fx_ordered", order_minhash.likeness("fx_ordered", "fy_ordered").alias("near")).collect()
+    assert all(len(r["fx_ordered"]) == 64 * 16 and "-" not in r["fx_ordered"] for r in found)
+    for n in sizes:
+        near_ = [r["near"] for r in found if r["n"] == n]
+        expected = [independent_likeness(x, y) for m, x, y in rows if m == n]
+        assert abs(sum(near_) / 25 - sum(expected) / 25) < 0.09, n
+
+
+def test_likeness_of_short_rows_sees_their_order(documents):
+    words = [f"w{i}" for i in range(30)]
+    swapped = " ".join(words[15:] + words[:15])
+    rows = order_minhash.fingerprints(documents([(1, " ".join(words)), (2, swapped), (3, "one")])).collect()
+    (first,) = [r for r in rows if r["doc_id"] == 1]
+    assert first["near_next"] < 0.65
+
+
 # Token counts.
 
 

@@ -8,6 +8,11 @@ bin selects its ``TUPLE`` least, puts them back in the order of the text and has
 them as a tuple. Order and number of repeats tell texts apart that hold the same
 runs, so the share of equal tuples falls with the edit distance.
 
+A bin with fewer runs than a tuple keeps no order, and a short text has mostly such
+bins. So a second, ordered fingerprint takes for each of these the least of all runs
+by a hash of the bin's own, as Order MinHash does for every hash; likeness is counted
+on that one.
+
 Equal runs are numbered without a scan: their hashes, each with its place in the low
 bits, are sorted; the starts of equal stretches cut the numbering 0, 1, 2, ...
 """
@@ -105,15 +110,31 @@ def _selected(o: str, firsts: str) -> str:
     )
 
 
+def _filled(o: str, d: str) -> str:
+    """The tuple's hash of every bin; one that lacks runs takes the ``TUPLE`` (two) least of all by a hash of its own.
+
+    Where a bin lacks any, ``o`` is the whole list. A text of a single run has tuples of one.
+    """
+    least = "named_struct('a', array_min(k), 'z', array_min(array_remove(k, array_min(k))))"
+    place = lambda x: f"(element_at({o}, cast(array_position(k, {x}) as int)) & {_PLACE}L)"
+    ordered = f"y -> if({place('y.a')} < {place('y.z')}, xxhash64(y.a, y.z), xxhash64(y.z, y.a))"
+    own = f"element_at(transform(array(transform(hs, x -> xxhash64(x, b))), k -> element_at(transform(array({least}), {ordered}), 1)), 1)"
+    whole = f"map_from_entries(transform(filter({d}, x -> x.n >= {TUPLE}), x -> struct(x.b, x.h)))"
+    hashes = f"if(size({d}) = {BINS} and forall({d}, x -> x.n >= {TUPLE}), array(), transform({o}, x -> x & ~{_PLACE}L))"
+    each = f"transform(sequence(0L, {BINS - 1}L), b -> coalesce(element_at(v, b), {own}))"
+    return _bound(whole, f"element_at(transform(array({hashes}), hs -> {each}), 1)")
+
+
 def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add a fingerprint for each text column: ``{"text": "fingerprint"}``.
+    """Add two fingerprints for each text column: ``{"text": "fingerprint"}`` gives ``fingerprint`` and ``fingerprint_ordered``.
 
     A fingerprint has 16 hexadecimal digits for each bin, dashes for an empty bin;
-    an empty or null text has none.
+    an empty or null text has none. The ordered one has no empty bin, and a tuple in
+    each bin however short the text.
     """
     for text in columns:
         df = df.withColumn(f"_n_{text}", F.length(F.coalesce(text, F.lit(""))))
-    for step in ("s", "t", "g", "o", "f", "d"):
+    for step in ("s", "t", "g", "o", "f", "d", "e"):
         for text in columns:
             s, t, g, o, f = (f"_{c}_{text}" for c in "stgof")
             made = {
@@ -123,6 +144,7 @@ def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
                 "o": "",
                 "f": _firsts(o),
                 "d": _selected(o, f),
+                "e": _filled(o, f"_d_{text}"),
             }[step]
             if step == "o":
                 # A bin that lacks runs among the likely ones makes the whole list count.
@@ -130,14 +152,16 @@ def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
                 df = df.withColumn(likely, F.expr(f"sort_array({_likely(g)})"))
                 made = f"if(size({likely}) = size({g}) or {_served(likely)} = {BINS}, {likely}, sort_array({g}))"
             df = df.withColumn(f"_{step}_{text}", F.expr(made))
-        gone = {"g": "st", "o": "gl", "d": "of"}.get(step, "")
+        gone = {"g": "st", "o": "gl", "d": "f", "e": "o"}.get(step, "")
         df = df.drop(*[f"_{c}_{text}" for c in gone for text in columns])
     for text, name in columns.items():
         places = f"map_from_entries(transform(_d_{text}, x -> struct(x.b, lpad(lower(hex(x.h)), 16, '0'))))"
         each = f"transform(sequence(0L, {BINS - 1}L), b -> coalesce(element_at(v, b), '----------------'))"
         digits = f"array_join({_bound(places, each)}, '')"
         df = df.withColumn(name, F.expr(f"if(_n_{text} = 0, '', {digits})"))
-    return df.drop(*[f"_{c}_{text}" for c in "nd" for text in columns])
+        ordered = f"array_join(transform(_e_{text}, h -> lpad(lower(hex(h)), 16, '0')), '')"
+        df = df.withColumn(f"{name}_ordered", F.expr(f"if(_n_{text} = 0, '', {ordered})"))
+    return df.drop(*[f"_{c}_{text}" for c in "nde" for text in columns])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -178,7 +202,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited form, with their likeness.
+    """Fingerprints of each text and of its edited form, with the likeness of their ordered ones.
 
     Null texts are empty. The edited text has its second half replaced by the start
     of the next document's; a single document follows itself. Repeated rows follow
@@ -192,15 +216,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", n.cast("bigint")).withColumn("_edited", edited).drop("_next")
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
     rows = with_fingerprints(rows, {"text": "fingerprint", "_edited": "edited_fingerprint"}).drop("text", "_edited")
-    rows = rows.withColumn("_next", F.lead("fingerprint").over(order)).filter("_copy = 0")
+    rows = rows.withColumn("_next", F.lead("fingerprint_ordered").over(order)).filter("_copy = 0")
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        F.coalesce(likeness("fingerprint", "_next"), F.lit(1.0)).alias("near_next"),
+        "fingerprint_ordered",
+        "edited_fingerprint_ordered",
+        likeness("fingerprint_ordered", "edited_fingerprint_ordered").alias("near_edited"),
+        F.coalesce(likeness("fingerprint_ordered", "_next"), F.lit(1.0)).alias("near_next"),
     )
 
 
