@@ -202,6 +202,16 @@ def test_contamination_edges():
     assert hits(item.replace("w20", "other")) == {}
 
 
+def test_contamination_of_truncated_items():
+    passage = [f"w{i}" for i in range(50)]
+    index = contamination.Index([(1, " ".join(passage)), (2, " ".join(f"v{i}" for i in range(50)))])
+    known = shingles.WordHashes()
+    hits = lambda found: index.hits(shingles.word_hashes(" ".join(found), known))
+    assert hits(passage[:45]) == {1: (41 / 46, 0, 45)} and hits(passage[5:]) == {1: (41 / 46, 0, 45)}
+    assert hits(passage[3:44]) == {1: (37 / 46, 0, 41)}
+    assert hits(passage[:40]) == hits(passage[:5]) == hits(["x"] * 45) == {}
+
+
 def test_hamming_blocks_miss_nothing_within_the_radius():
     rng = np.random.default_rng(1)
     sized = contamination.SizeClass(list(range(50)), [rng.integers(0, 2**63, 20).astype(np.uint64) for _ in range(50)])

@@ -7,7 +7,9 @@ block of ``BLOCK_BITS`` bits but for ``FLIPS``: with 16 blocks, every fingerprin
 within ``RADIUS`` bits is found. The weighted shingles decide.
 
 A window can only reach the similarity if enough of its shingles stand in items of
-its size; counting those first is exact, as the similarity of others is lower.
+its size; counting those first is exact, as the similarity of others is lower. A
+text with fewer shingles than an item, but enough for the similarity, is one window
+for the item: it may be the item without some of its words.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ class SizeClass:
         self.prints = simhash(self.values)
         size = self.values.shape[1]
         # Two windows of one size share at least so many shingles.
-        self.least = int(np.ceil(2 * SIMILARITY * size / (1 + SIMILARITY) - 1e-9))
+        self.least = self.shared(size)
         blocks = BITS // BLOCK_BITS
         nibble = np.arange(1 << BLOCK_BITS)
         distance = np.array([bin(i).count("1") for i in nibble])
@@ -86,6 +88,10 @@ class SizeClass:
             own = (self.prints >> np.uint64(b * BLOCK_BITS)).astype(np.int64) & ((1 << BLOCK_BITS) - 1)
             self.tables.append(distance[nibble[:, None] ^ own[None, :]] <= FLIPS)
 
+    def shared(self, n: int) -> int:
+        """The fewest shingles that a window of ``n`` shares with an item like it."""
+        return int(np.ceil(SIMILARITY * (n + self.values.shape[1]) / (1 + SIMILARITY) - 1e-9))
+
     def near(self, fingerprint: int) -> np.ndarray:
         """Items within ``RADIUS`` bits of a fingerprint."""
         hit = np.zeros(len(self.ids), bool)
@@ -131,19 +137,22 @@ class Index:
         if not len(maybe):
             return best
         for size, sized in self.sizes.items():
-            if len(found) < size or len(maybe) < sized.least:
+            # A text shorter than the items is one window as a whole.
+            width = min(size, len(found))
+            least = sized.least if width == size else sized.shared(width)
+            if width < least or len(maybe) < least:
                 continue
             own = maybe[among(found[maybe], sized.known)]
-            if len(own) < sized.least:
+            if len(own) < least:
                 continue
             marks = np.zeros(len(found) + 1, np.int64)
             marks[own + 1] = 1
             total = np.cumsum(marks)
-            starts = np.flatnonzero(total[size:] - total[:-size] >= sized.least)
+            starts = np.flatnonzero(total[width:] - total[:-width] >= least)
             # Equal windows are judged once, so a passage repeated many times costs little.
             judged: dict[bytes, list[tuple[int, float]]] = {}
             for part in np.array_split(starts, len(starts) // 4096 + 1):
-                rows = found[part[:, None] + np.arange(size)]
+                rows = found[part[:, None] + np.arange(width)]
                 for start, row, fingerprint in zip(part.tolist(), rows, simhash(rows).tolist()):
                     name = row.tobytes()
                     if name not in judged:
@@ -151,7 +160,7 @@ class Index:
                     for i, similarity in judged[name]:
                         item = sized.ids[i]
                         if similarity >= SIMILARITY and (item not in best or similarity > best[item][0]):
-                            best[item] = (similarity, start, size + SHINGLE - 1)
+                            best[item] = (similarity, start, width + SHINGLE - 1)
         return best
 
 
