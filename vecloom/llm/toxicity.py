@@ -2,10 +2,10 @@
 
 A word enters as the states of a small recurrent network over its characters (its
 UTF-8 bytes) at both ends, and as a vector by hash of the word. Windows of ``WINDOW``
-words, each overlapping the next by a quarter, go through the word network; attention
-pools its states into the window's score. A document's score is the greatest of its
-windows, which is also how the network learns from labels of whole documents: the
-windows share the gradient by a softmax of their scores.
+words, one from every word on, go through the word network; attention pools its states
+into the window's score. A document's score is the greatest of its windows, which is
+also how the network learns from labels of whole documents: the windows share the
+gradient by a softmax of their scores. The fit takes windows that overlap by half.
 """
 
 from __future__ import annotations
@@ -27,20 +27,25 @@ from vecloom.llm.registry import FOLDS, query
 from vecloom.plans.catalog import table
 
 WINDOW = 32
-STRIDE = 24
+STRIDE = 1
+FIT_STRIDE = 16
 CHAR_HIDDEN = 6
 WORD_HIDDEN = 8
 BUCKETS = 4096
 WORD_BYTES = 24
-# The fit sees at most so many documents of each label, and so many characters of each.
+# The fit sees at most so many documents of each label; a text of more characters than
+# ``FIT_CHARS`` gives it pieces from end to end.
 FIT_DOCS = 1200
-FIT_CHARS = 2000
-STEPS = 300
-BATCH = 24
+FIT_CHARS = 100_000
+FIT_PIECES = 64
+# Windows of a document that a step of the fit sees, drawn from all of them.
+FIT_WINDOWS = 512
+STEPS = 400
+BATCH = 32
 RATE = 0.04
 # Distinct words a task keeps, and windows it scores at a time.
 WORDS_KEPT = 300_000
-WINDOWS_AT_ONCE = 4096
+WINDOWS_AT_ONCE = 2048
 
 PAD = 0
 WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
@@ -54,9 +59,9 @@ def words(text: str | None) -> list[bytes]:
     return out
 
 
-def window_starts(n: int) -> range:
+def window_starts(n: int, stride: int = STRIDE) -> range:
     """First words of windows; the last reaches the end, a text without words has one of padding."""
-    return range(0, max(n - WINDOW + STRIDE, 1), STRIDE)
+    return range(0, max(n - WINDOW + stride, 1), stride)
 
 
 def _init(seed: int) -> net.Params:
@@ -103,13 +108,33 @@ def window_logits(p: net.Params, tables: list[np.ndarray], ids: np.ndarray, keep
     mask = (ids != PAD).astype(np.float32)
     runs = [net.run(tables[i], p["wu" + d], ids, mask, d == "b", keep=keep) for i, d in enumerate("fb")]
     h = np.concatenate([r[0] if keep else r for r in runs], axis=1)
-    tanh = np.tanh(np.matmul(p["aw"], h))
-    energy = np.matmul(p["av"], tanh)[:, 0] + (mask - 1) * 1e4
+    logits, pooling = _pooled(p, h, mask)
+    return (logits, (mask, [r[1] for r in runs], h, *pooling)) if keep else logits
+
+
+def sliding_logits(p: net.Params, tables: list[np.ndarray], run: np.ndarray) -> np.ndarray:
+    """Logit of the window from each place of a run of columns on, as far as whole windows go."""
+    out = np.empty(len(run) - WINDOW + 1)
+    for a in range(0, len(out), WINDOWS_AT_ONCE):
+        part = run[a : a + WINDOWS_AT_ONCE + WINDOW - 1]
+        h = np.empty((WINDOW, 2 * WORD_HIDDEN, len(part) - WINDOW + 1), np.float32)
+        for i, d in enumerate("fb"):
+            net.slide(tables[i][:, part], p["wu" + d], d == "b", h[:, i * WORD_HIDDEN : (i + 1) * WORD_HIDDEN])
+        out[a : a + WINDOWS_AT_ONCE], _ = _pooled(p, h, None)
+    return out
+
+
+def _pooled(p: net.Params, h: np.ndarray, mask: np.ndarray | None):
+    """Logits of windows of states ``(WINDOW, 2 * WORD_HIDDEN, n)`` by attention, and what the gradients need."""
+    tanh = np.matmul(p["aw"], h)
+    np.tanh(tanh, out=tanh)
+    energy = np.matmul(p["av"], tanh)[:, 0]
+    if mask is not None:
+        energy += (mask - 1) * 1e4
     energy = np.exp(energy - energy.max(axis=0))
     share = energy / energy.sum(axis=0)
     pooled = (h * share[:, None]).sum(axis=0)
-    logits = (p["o"] @ pooled + p["c"])[0]
-    return (logits, (mask, [r[1] for r in runs], h, tanh, share, pooled)) if keep else logits
+    return (p["o"] @ pooled + p["c"])[0], (tanh, share, pooled)
 
 
 def _sigmoid(x):
@@ -150,15 +175,17 @@ def _gradients(p: net.Params, items: list[bytes], ids: np.ndarray, owner: np.nda
     return g
 
 
-def _windows(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _windows(docs: list[list[bytes]], rng: np.random.Generator | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, windows of their columns, and each window's document."""
     index = Numbered()
     columns, owner = [], []
     for i, found in enumerate(docs):
         at = np.fromiter(map(index.__getitem__, found), np.int64, len(found)) + 1
-        starts = window_starts(len(at))
-        padded = np.concatenate([at, np.full(WINDOW + STRIDE, PAD)])
-        columns.append(padded[np.arange(WINDOW)[:, None] + np.array(starts)])
+        starts = np.array(window_starts(len(at), FIT_STRIDE))
+        if rng is not None and len(starts) > FIT_WINDOWS:
+            starts = rng.choice(starts, FIT_WINDOWS, replace=False)
+        padded = np.concatenate([at, np.full(WINDOW + FIT_STRIDE, PAD)])
+        columns.append(padded[np.arange(WINDOW)[:, None] + starts])
         owner += [i] * len(starts)
     return list(index) or [b""], np.concatenate(columns, axis=1), np.array(owner)
 
@@ -167,7 +194,8 @@ def train(texts: list[str], labels: list[int], seed: int = 11, steps: int = STEP
     """Parameters; a batch has as many toxic documents as others."""
     p = _init(seed)
     rng = np.random.default_rng(seed)
-    docs = [words(t) for t in texts]
+    known: dict[bytes, bytes] = {}
+    docs = [[known.setdefault(w, w) for w in words(t)] for t in texts]
     sides = [[i for i, x in enumerate(labels) if (x == 1) == side and docs[i]] for side in (False, True)]
     if not all(sides):
         p["o"][:] = 0
@@ -175,7 +203,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11, steps: int = STEP
     adam = net.Adam(p, RATE)
     for step in range(steps):
         chosen = [side[i] for side in sides for i in rng.integers(0, len(side), BATCH // 2)]
-        items, ids, owner = _windows([docs[i] for i in chosen])
+        items, ids, owner = _windows([docs[i] for i in chosen], rng)
         y = np.array([labels[i] == 1 for i in chosen], np.float64)
         adam.step(_gradients(p, items, ids, owner, y), 1 - 0.9 * step / steps)
     return p
@@ -203,16 +231,21 @@ class Scorer:
                 for grid, part in zip(grown, word_tables(self.p, [new[k] for k in at])):
                     grid[:, at] = part[:, 1:]
             self.tables = [np.concatenate([t, g], axis=1) for t, g in zip(self.tables, grown)]
-        columns, owner = [], []
-        for i, at in docs:
-            starts = np.array(window_starts(len(at)))
-            padded = np.concatenate([at, np.full(WINDOW + STRIDE, PAD)])
-            columns.append(padded[np.arange(WINDOW)[:, None] + starts])
-            owner.append(np.full(len(starts), i))
-        columns, owner = np.concatenate(columns, axis=1), np.concatenate(owner)
-        for a in range(0, len(owner), WINDOWS_AT_ONCE):
-            logits = window_logits(self.p, self.tables, np.ascontiguousarray(columns[:, a : a + WINDOWS_AT_ONCE]))
-            np.maximum.at(out, owner[a : a + WINDOWS_AT_ONCE], logits)
+        short = [(i, at) for i, at in docs if len(at) <= WINDOW]
+        for a in range(0, len(short), WINDOWS_AT_ONCE):
+            part = short[a : a + WINDOWS_AT_ONCE]
+            columns = np.full((WINDOW, len(part)), PAD)
+            for k, (_, at) in enumerate(part):
+                columns[: len(at), k] = at
+            out[[i for i, _ in part]] = window_logits(self.p, self.tables, columns)
+        # The others stand in one run; windows across their borders belong to none.
+        long = [(i, at) for i, at in docs if len(at) > WINDOW]
+        if long:
+            logits = sliding_logits(self.p, self.tables, np.concatenate([at for _, at in long]))
+            first = 0
+            for i, at in long:
+                out[i] = logits[first : first + len(window_starts(len(at)))].max()
+                first += len(at)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), -np.inf)
@@ -240,11 +273,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars:
     marks = marks.filter(~held_out("doc_id", folds))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = marks.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= fit_docs)
+    piece = f"substring(text, int(1 + i * bigint(length(text)) div {FIT_PIECES}), {fit_chars // FIT_PIECES})"
+    pieces = f"array_join(transform(sequence(0, {FIT_PIECES - 1}), i -> {piece}), ' ')"
     # At most two bounded groups, so the choice may go to every task.
     rows = (
         docs.join(F.broadcast(chosen), "doc_id")
         .filter("text is not null")
-        .select("doc_id", F.substring("text", 1, fit_chars).alias("text"), "toxic")
+        .select("doc_id", F.expr(f"if(length(text) <= {fit_chars}, text, {pieces})").alias("text"), "toxic")
         .orderBy("doc_id", "text")
         .toPandas()
     )
