@@ -53,6 +53,20 @@ def run(table: np.ndarray, u: np.ndarray, ids: np.ndarray, mask: np.ndarray | No
     return (states, kept) if keep else states
 
 
+def slide(x: np.ndarray, u: np.ndarray, reverse: bool, out: np.ndarray) -> None:
+    """States ``(steps, hidden, n)`` of one direction over the windows from each column of ``x`` on, into ``out``."""
+    steps, hidden, n = out.shape
+    h = np.zeros((hidden, n), np.float32)
+    gh = np.empty((3 * hidden, n), np.float32)
+    for t in range(steps - 1, -1, -1) if reverse else range(steps):
+        np.matmul(u, h, out=gh)
+        rz, cand = _gates(x[:, t : t + n], gh, hidden)
+        h -= cand
+        h *= rz[hidden:]
+        h += cand
+        out[t] = h
+
+
 def back(u: np.ndarray, mask: np.ndarray | None, kept: list, d_states: np.ndarray):
     """Back through time: gradients of the inputs ``(steps, 3 * hidden, n)`` and of ``u``."""
     hidden = u.shape[1]
