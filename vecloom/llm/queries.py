@@ -1,12 +1,15 @@
 """Importing this module registers the queries of this subpackage."""
 
 from vecloom.llm import (  # noqa: F401
+    bpe,
     contamination,
+    conversations,
     html_text,
     language,
     near,
     order_minhash,
     packing,
+    phrases,
     repeats,
     rollup,
     toxicity,
