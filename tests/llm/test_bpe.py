@@ -71,21 +71,17 @@ TEXTS = [
 
 
 def test_texts_as_the_library_encodes_them(vocab, library, monkeypatch):
-    one = bpe.Encoder(vocab)
-    for text in TEXTS:
-        assert _ids(one(text)) == library.encode_ordinary(text or "")
     rng = random.Random(1)
     letters = "abcXYZ 0'.,\n\t\r\x1céあ🙂́ "
-    for _ in range(300):
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 80)))
-        assert _ids(one(text)) == library.encode_ordinary(text)
+    texts = TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    want = [library.encode_ordinary(text or "") for text in texts]
+    assert [_ids(found) for found in bpe.Encoder(vocab)(texts)] == want
     # Long texts go in parts, and a full memory is emptied, without a change.
     monkeypatch.setattr(bpe, "LONG", 100)
     monkeypatch.setattr(bpe, "PIECES", 7)
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
-    one = bpe.Encoder(vocab)
-    for text in TEXTS:
-        assert _ids(one(text)) == library.encode_ordinary(text or "")
+    monkeypatch.setattr(bpe, "WAITING", 20)
+    assert [_ids(found) for found in bpe.Encoder(vocab)(texts)] == want
 
 
 def test_columns_ids_and_bytes(spark, library):

@@ -43,6 +43,8 @@ TRIES = 256
 # Pre-tokens taken from a text at once, and distinct ones a task remembers.
 PIECES = 1 << 16
 REMEMBERED = 500_000
+# Pre-tokens whose ids are looked up together.
+WAITING = 1 << 19
 # Longer texts are not cut into pre-tokens in one go.
 LONG = 1 << 20
 
@@ -113,6 +115,7 @@ class Vocabulary:
         self.tokens = list(ranks)
         self.ids = np.fromiter(ranks.values(), np.int64, len(ranks))
         self.places = PerfectHash(self.tokens)
+        self.pairs = {(a, b): ranks.get(bytes((a, b))) for a in range(256) for b in range(256)}
         self.by_id = {i: t for t, i in ranks.items()}
 
     def whole(self, pieces: list[bytes]) -> np.ndarray:
@@ -125,28 +128,34 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a piece by merging neighbours of least rank, the leftmost first."""
-        ranks, n = self.ranks, len(piece)
+        rank_of, pairs, n = self.ranks.get, self.pairs, len(piece)
         ends, before = list(range(1, n + 1)), list(range(-1, n))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        # An entry is one number: rank, start, end.
+        width = n + 1
+        square = width * width
+        heap = [r * square + i * width + i + 2 for i, r in enumerate(map(pairs.__getitem__, zip(piece, piece[1:]))) if r is not None]
         heapify(heap)
         while heap:
-            _, i, end = heappop(heap)
+            i, end = divmod(heappop(heap) % square, width)
             right = ends[i]
             # A part that is gone ends at 0; one that has grown no longer gives this merge.
             if not right or right == n or ends[right] != end:
                 continue
-            ends[i], ends[right] = end, 0
+            ends[i] = end
+            ends[right] = 0
             if end < n:
                 before[end] = i
-                if (r := ranks.get(piece[i : ends[end]])) is not None:
-                    heappush(heap, (r, i, ends[end]))
+                far = ends[end]
+                if (r := rank_of(piece[i:far])) is not None:
+                    heappush(heap, r * square + i * width + far)
             left = before[i]
-            if left >= 0 and (r := ranks.get(piece[left:end])) is not None:
-                heappush(heap, (r, left, end))
+            if left >= 0 and (r := rank_of(piece[left:end])) is not None:
+                heappush(heap, r * square + left * width + end)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : ends[i]]])
-            i = ends[i]
+            end = ends[i]
+            out.append(self.ranks[piece[i:end]])
+            i = end
         return out
 
     def text(self, ids: np.ndarray) -> bytes:
@@ -205,19 +214,32 @@ class Encoder:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, flat])
 
-    def __call__(self, text: str | None) -> bytes:
-        """Ids as 32-bit numbers, little-endian."""
-        parts = []
-        for pieces in self._pieces(text) if text else ():
-            if len(self.known) > REMEMBERED:
-                self._forget()
-            codes = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers, little-endian."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, np.ndarray]] = []
+        held = 0
+
+        def settle() -> None:
             self._resolve()
-            sizes = self.sizes[codes]
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1]) + np.repeat(self.starts[codes] - (ends - sizes), sizes)
-            parts.append(self.flat[at].astype("<u4").tobytes())
-        return b"".join(parts)
+            for i, codes in waiting:
+                sizes = self.sizes[codes]
+                ends = np.cumsum(sizes)
+                at = np.arange(ends[-1]) + np.repeat(self.starts[codes] - (ends - sizes), sizes)
+                out[i].append(self.flat[at].astype("<u4").tobytes())
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            for pieces in self._pieces(text) if text else ():
+                waiting.append((i, np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))))
+                held += len(pieces)
+                if held > WAITING or len(self.known) > REMEMBERED:
+                    settle()
+                    held = 0
+                    if len(self.known) > REMEMBERED:
+                        self._forget()
+        settle()
+        return [b"".join(parts) for parts in out]
 
 
 def encoded(docs: DataFrame, keep: list[str], text: str = "text", ids: str = "ids", name: str = VOCABULARY) -> DataFrame:
@@ -229,7 +251,7 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", ids: str = "id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Encoder(vocab)
         for batch in batches:
-            found = pa.array([one(t.as_py()) for t in batch.column(len(keep))], pa.binary())
+            found = pa.array(one(batch.column(len(keep)).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "ids"])
 
     kinds = [f"k{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(keep))]
