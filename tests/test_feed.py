@@ -210,12 +210,41 @@ def test_retention_per_run_with_one_huge_run(spark):
     assert retention_deletes(rows, 5, 2500, ["run"]).count() == 2000 - 7
 
 
-def test_take_first_of_many(spark, monkeypatch):
-    from vecloom.operators import rows
+@pytest.mark.parametrize("n", [0, 1, 25, 59, 60, 1000])
+def test_take_first_is_sorted_whatever_the_number(spark, n):
+    rows = spark.range(60).select((59 - F.col("id")).alias("id"), F.lit(1).alias("_row")).repartition(5)
+    got = take_first(rows, n, "id")
+    assert got.columns == ["id", "_row"] and [r.id for r in got.collect()] == list(range(min(n, 60)))
 
-    monkeypatch.setattr(rows, "MAX_TOP", 10)
-    got = take_first(spark.range(60).repartition(5), 25, "id")
-    assert got.columns == ["id"] and sorted(r.id for r in got.collect()) == list(range(25))
+
+@pytest.mark.parametrize("n", [99_999, 100_001])
+def test_take_first_of_many_is_spread(spark, n):
+    rows = spark.range(150_000).select((149_999 - F.col("id")).alias("id"))
+    got = take_first(rows, n, "id").withColumn("part", F.spark_partition_id())
+    assert got.agg(F.count("*"), F.max("id")).head() == (n, n - 1)
+    assert "Limit" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_index_runs_nothing_beforehand(spark):
+    rows = spark.range(10).select(F.when(F.raise_error(F.lit("ran")).isNull(), F.col("id")).alias("id"))
+    for build in (lambda: global_index(rows, "id"), lambda: take_first(rows, 3, "id")):
+        with pytest.raises(Exception, match="ran"):
+            build().collect()
+
+
+def test_an_index_of_nulls_nans_and_repeats(spark):
+    nan = float("nan")
+    rows = [(None, 1.0), (2, nan), (None, None), (2, 0.5), (1, 7.0), (1, 7.0), (1, 7.0)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(3)
+    got = global_index(df, "k", "v").orderBy("idx").collect()
+    assert [(r.k, str(r.v)) for r in got] == [(None, "None"), (None, "1.0"), *[(1, "7.0")] * 3, (2, "0.5"), (2, "nan")]
+    assert [r.idx for r in got] == list(range(7))
+
+
+def test_an_index_by_narrow_ties(spark):
+    rows = spark.range(500).select((F.col("id") % 100).alias("k"), F.col("id"))
+    got = global_index(rows.repartition(7), "k", ties=[]).collect()
+    assert [r.k for r in sorted(got)] == [i // 5 for i in range(500)] and sorted(r.idx for r in got) == list(range(500))
 
 
 def test_shuffle_by_two_columns(spark):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,10 +75,45 @@ def test_moments_with_null_groups(spark):
     assert {(r.g, r.n, r.mean[0]) for r in vector_moments(df, "v", ["g"]).collect()} == {(None, 2, 2.0), ("a", 1, 5.0)}
 
 
-def test_too_wide_vectors_are_refused(vectors, monkeypatch):
-    monkeypatch.setattr(stats, "MAX_DIM", 4)
-    with pytest.raises(Exception, match="too wide"):
-        vector_moments(vectors[0], "v").collect()
+def test_blocks_and_merges_of_tasks(vectors, monkeypatch):
+    df, data, groups = vectors
+    monkeypatch.setattr(stats, "MERGED", 2)
+    states = stats.moment_states(df, ["v"], ["g"], side=4)
+    assert states.filter("g = 0").select("i", "j").distinct().count() == 3
+    assert states.filter("g = 0").groupBy("i", "j").count().filter("count > 1").count() == 3
+    assert "Generate" not in states._jdf.queryExecution().optimizedPlan().toString()
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widths, m = stats.whole_moments(batches, 4)
+        yield pa.RecordBatch.from_arrays([pa.array([widths]), pa.array([(m.products / (m.n - 1)).reshape(-1)])], ["w", "c"])
+
+    row = states.filter("g = 0").groupBy().applyInArrow(wide, "w array<bigint>, c array<double>").head()
+    assert row.w == [6] and np.allclose(np.reshape(row.c, (6, 6)), np.cov(data[groups == 0], rowvar=False), rtol=1e-9)
+
+
+def test_wide_vectors(spark):
+    rng = np.random.default_rng(0)
+    data = rng.normal(size=(12, 4200))
+    df = spark.createDataFrame([(v.tolist(),) for v in data], "v array<double>").repartition(3)
+    row = vector_moments(df, "v").select("n", "mean", F.slice("cov", 4100, 2).alias("some")).head()
+    assert row.n == 12 and np.allclose(row["mean"], data.mean(axis=0))
+    assert np.allclose(row.some, np.cov(data[:, 4099:4101], data, rowvar=False)[:2, 2:])
+
+
+def test_moments_run_nothing_beforehand(spark, vectors):
+    df = vectors[0].withColumn("v", F.when(F.raise_error(F.lit("ran")).isNull(), F.col("v")))
+    for build in (lambda: vector_moments(df, "v"), lambda: frechet_distance(df, df, "v"), lambda: fit_velocity(df, ["v"], "v")):
+        with pytest.raises(Exception, match="ran"):
+            build().collect()
+
+
+def test_moments_far_from_zero(spark):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(4000, 3)) + 1e8
+    df = spark.createDataFrame([(i % 40, v.tolist()) for i, v in enumerate(data)], "g int, v array<double>").repartition(16)
+    assert np.allclose(vector_moments(df, "v").head().cov, np.cov(data, rowvar=False), rtol=1e-6, atol=1e-6)
+    row = tensor_stats(df, ["v"]).head()
+    assert row["std"] == pytest.approx(data.std(ddof=1), rel=1e-6) and row["mean"] == pytest.approx(data.mean(), rel=1e-14)
 
 
 def general_frechet(a: np.ndarray, b: np.ndarray) -> float:
@@ -109,6 +147,18 @@ def test_tensor_stats(spark):
     assert got[1, "b"] == (5.0, 5.0, 5.0, None) and got[2, "a"][:3] == (7.0, 7.0, 7.0)
 
 
+def test_tensor_stats_of_odd_arrays(spark):
+    nan = float("nan")
+    rows = [(None, [1.0, None, 3.0]), (None, []), (1, [nan, 2.0]), (1, None), (2, None), (3, [nan])]
+    df = spark.createDataFrame(rows, "g int, a array<double>").repartition(3)
+    stat = tensor_stats(df, ["a"], ["g"])
+    got = {r.g: (r["min"], r["mean"], r["max"], r["std"]) for r in stat.collect()}
+    assert set(got) == {None, 1, 3} and got[None] == pytest.approx((1.0, 2.0, 3.0, 2**0.5))
+    assert got[1][0] == 2.0 and all(np.isnan(x) for x in got[1][1:]) and np.isnan(got[3][0]) and got[3][3] is None
+    assert tensor_stats(df.limit(0), ["a"], ["g"]).count() == tensor_stats(df.limit(0), ["a"]).count() == 0
+    assert "Generate" not in stat._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mean_vector(vectors):
     df, data, groups = vectors
     for row in mean_vector(df, "v", ["g"]).collect():

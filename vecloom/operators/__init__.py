@@ -36,7 +36,7 @@ from vecloom.operators.stats import (
     evaluate,
     frechet_diagonal,
     frechet_distance,
-    gram,
+    moment_states,
     mean_vector,
     tensor_stats,
     vector_moments,
@@ -63,7 +63,7 @@ __all__ = [
     "frechet_diagonal",
     "frechet_distance",
     "global_index",
-    "gram",
+    "moment_states",
     "latest_checkpoint",
     "linear_field",
     "map_fields",

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecloom.functions.draws import rank_word
-from vecloom.scratch import fresh_path
 
 # Rows in a shard, and digits of a sample key.
 SAMPLES_PER_SHARD = 10_000
@@ -18,42 +17,72 @@ KEY_DIGITS = 8
 # Slices of a hashed order per shuffle partition: with several, the partitions even out.
 SLICES_PER_PARTITION = 8
 
+# Sampled rows a range of an index has on average, and columns that ranging adds.
+SAMPLES_PER_RANGE = 16
+RANGE_COLUMNS = ("_tie", "_range", "_start")
+
 # Offset tables have one row per slice of the shuffle; larger ones are not broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def global_index(df: DataFrame, *order: str, idx: str = "idx", key: str = "key") -> DataFrame:
-    """Add a gapless running index in ``order`` and its zero-padded key.
+def in_ranges(df: DataFrame, order: Sequence[str], ties: Sequence[str] | None = None) -> DataFrame:
+    """Add ``_tie``, ``_range`` and ``_start``: ranges of about equally many rows in ``order``, and the rows before each.
 
-    Rows that tie in ``order`` go by a hash of the whole row, so a value that very
-    many rows share is spread over ranges, and only equal rows have an open order.
-    The rows are range-partitioned and sorted once and written to
-    the shared folder, since two runs of one sort may cut the ranges differently.
-    Row numbers inside a range then only need the sizes of the ranges before it.
+    The borders are quantiles of a sample that only the rows decide: for every value of
+    a hash the row of least hash in full. So every pass, and every retry, cuts alike.
+    Rows that tie in ``order`` go by a hash of ``ties`` (by default all columns but maps),
+    so a value that very many rows share is spread over ranges. Nothing runs before the
+    result is asked for; the sample and the offsets have a row per range, not per row.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, "global-index")
-    row_in_part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    # Maps cannot be hashed.
-    whole = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
-    tied = df.withColumn("_tie", F.xxhash64(*whole) if whole else F.lit(0))
-    (
-        tied.repartitionByRange(*order, "_tie")
-        .sortWithinPartitions(*order, "_tie")
-        .select(*df.columns, F.spark_partition_id().alias("_part"), row_in_part.alias("_row"))
-        .write.parquet(path)
-    )
-    written = spark.read.parquet(path)
-    sizes = written.groupBy("_part").agg((F.max("_row") + 1).alias("n")).orderBy("_part").collect()
-    offsets, before = [], 0
-    for size in sizes:
-        offsets.append((size["_part"], before))
-        before += size["n"]
-    starts = spark.createDataFrame(offsets, "_part int, _start bigint")
-    number = F.col("_start") + F.col("_row")
-    return written.join(F.broadcast(starts), "_part").select(
-        number.alias(idx), sample_key(number).alias(key), *df.columns
+    ranges = SLICES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashable = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    names = hashable if ties is None else [*order, *ties]
+    tie = F.xxhash64(*names) if names else F.lit(0).cast("bigint")
+    keyed = df.withColumn("_tie", tie).withColumn("_key", F.struct(*order, "_tie"))
+    spot = F.pmod(F.xxhash64("_key"), F.lit(ranges * SAMPLES_PER_RANGE))
+    fields = keyed.schema["_key"].dataType.names
+    least = [F.min_by(f"_key.{f}", F.xxhash64("_key", F.lit(1))).alias(f) for f in fields]
+    sample = keyed.groupBy(spot.alias("_spot")).agg(*least)
+    every = F.ceil(F.size("_found") / ranges)
+    borders = (
+        sample.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_found"))
+        .select(F.filter("_found", lambda _, i: (i > 0) & (i % every == 0)))
+        .scalar()
     )
+    # Borders at most the key, by binary search; one projection a step keeps it in generated code.
+    cut = keyed.withColumn("_borders", borders).withColumn("_range", F.lit(0))
+    for width in (1 << k for k in range(ranges.bit_length() - 1, -1, -1)):
+        above = F.get("_borders", F.col("_range") + (width - 1)) <= F.col("_key")
+        cut = cut.withColumn("_range", F.col("_range") + F.when(above, width).otherwise(0))
+    cut = cut.drop("_borders", "_key")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("_range").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    starts = starts.drop("count")
+    # Every range has its offset; an inner join would compute the range again to look for nulls.
+    return cut.join(F.broadcast(starts) if ranges <= MAX_BROADCAST_ROWS else starts, "_range", "left")
+
+
+def numbered(ranged: DataFrame, order: Sequence[str]) -> Column:
+    """The running number, from 0, of a row of ``in_ranges``; equal rows have an open order."""
+    hashable = [f.name for f in ranged.schema if "map<" not in f.dataType.simpleString() and f.name not in RANGE_COLUMNS]
+    whole = F.xxhash64(*hashable) if hashable else F.lit(0)
+    inside = Window.partitionBy("_range").orderBy(*order, "_tie", whole)
+    return F.col("_start") + F.row_number().over(inside) - 1
+
+
+def global_index(
+    df: DataFrame, *order: str, idx: str = "idx", key: str = "key", ties: Sequence[str] | None = None
+) -> DataFrame:
+    """Add a gapless running index in ``order`` and its zero-padded key.
+
+    Rows are cut into ranges by fixed borders, counted, and numbered inside their range
+    after one shuffle; see ``in_ranges`` for ties. Only equal rows have an open order,
+    and all copies of one row meet in one range. Nothing is written or run beforehand.
+    """
+    ranged = in_ranges(df, order, ties)
+    out = ranged.withColumn("_number", numbered(ranged, order))
+    return out.select(F.col("_number").alias(idx), sample_key(F.col("_number")).alias(key), *df.columns)
 
 
 def sample_key(idx: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from vecloom.functions.text import MAX_LENGTH, hash_embed, tokenize_pad
 from vecloom.operators.sampling import VelocityField
-from vecloom.operators.stats import full_matrix, gram, packed
+from vecloom.operators.stats import moment_states, whole_moments
 
 # Rows handed to a model at once, and length of a text vector.
 MODEL_BATCH = 32
@@ -80,31 +81,24 @@ def fit_velocity(
     ridge: float = 0.0,
     partials: int | None = None,
 ) -> DataFrame:
-    """Least-squares weights from array columns, and a constant, to the target vector.
+    """Least-squares weights from array columns, and a constant without penalty, to the target vector.
 
-    One row per weight: ``feature`` 0 is the constant, ``output`` counts from 0.
+    The moments of features and target together decide them. One row per weight: ``feature`` 0 is the constant, ``output`` counts from 0.
     """
-    size = F.lit(1)
-    for name in features:
-        size = size + F.size(name)
-    known = df.dropna(subset=[*features, target]).select(size.alias("p")).head(1)
-    p = known[0]["p"] if known else 0
-
-    @F.pandas_udf("array<struct<feature: int, output: int, weight: double>>")
-    def solve(matrices: pd.Series, widths: pd.Series) -> pd.Series:
-        models = []
-        for matrix, n in zip(matrices, widths):
-            m = full_matrix(matrix, n)
-            penalty = np.eye(p) * ridge
-            penalty[0, 0] = 0.0
-            weights = np.linalg.solve(m[:p, :p] + penalty, m[:p, p:])
-            models.append([
-                {"feature": i, "output": j, "weight": weights[i, j]} for i, j in np.ndindex(*weights.shape)
-            ])
-        return pd.Series(models)
-
-    whole = packed(gram(df, [*features, target], partials=partials))
-    return whole.select(F.inline(solve.asNondeterministic()("_rows", "_width")))
+    states = moment_states(df, [*features, target], partials=partials)
+    known = len(features)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widths, m = whole_moments(batches)
+        p = sum(widths[:known])
+        penalty = np.eye(p) * ridge
+        slopes = np.linalg.solve(m.products[:p, :p] + penalty, m.products[:p, p:])
+        weights = np.vstack([m.mean[p:] - m.mean[:p] @ slopes, slopes])
+        places = np.indices(weights.shape, dtype=np.int32).reshape(2, -1)
+        arrays = [pa.array(places[0]), pa.array(places[1]), pa.array(weights.reshape(-1))]
+        yield pa.RecordBatch.from_arrays(arrays, ["feature", "output", "weight"])
+
+    return states.groupBy().applyInArrow(solve, "feature int, output int, weight double")
 
 
 def linear_field(weights: Iterable, n_features: int, n_outputs: int) -> VelocityField:

@@ -7,14 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.operators.feed import global_index
+from vecloom.operators.feed import in_ranges, numbered
 
 # Fixed value: any character that is not white space, in the Unicode sense.
 NOT_BLANK = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-# More rows than this are not gathered in one task.
-MAX_TOP = 100_000
-
 
 def drop_blank(df: DataFrame, col: str) -> DataFrame:
     """Drop rows whose text is null, empty or only white space."""
@@ -22,14 +19,16 @@ def drop_blank(df: DataFrame, col: str) -> DataFrame:
 
 
 def take_first(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first ``n`` rows in ``order``.
+    """The first ``n`` rows in ``order``, sorted.
 
-    A small ``n`` is a top-n in every task and then of the tasks. A limit of many
-    rows would bring them all to one task, so those are cut by a running index.
+    The rows are counted by range; the range that holds the n-th is found from the
+    counts, ranges beyond it are dropped before the shuffle, and rows are numbered in
+    their range. So no task gathers the result, whatever ``n``, and nothing runs
+    beforehand. Rows that tie at the n-th place are chosen by a hash of the row.
     """
-    if n <= MAX_TOP:
-        return df.orderBy(*order).limit(n)
-    return global_index(df, *order, idx="_idx", key="_key").filter(F.col("_idx") < n).select(*df.columns)
+    ranged = in_ranges(df, order).filter(F.col("_start") < n)
+    first = ranged.withColumn("_number", numbered(ranged, order)).filter(F.col("_number") < n)
+    return first.orderBy("_number").select(*df.columns)
 
 
 def take_images(df: DataFrame, k: int = 32, *order: str) -> DataFrame:

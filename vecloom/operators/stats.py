@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -17,25 +18,84 @@ from vecloom.functions.arrow import to_matrix
 from vecloom.functions.draws import sample_noise
 from vecloom.operators.sampling import INFERENCE_STEPS, VelocityField, euler_sample, velocity_loss
 
-# One moment matrix has to fit in a task, whatever the number of rows.
-MAX_DIM = 4096
+# Rows and columns of a block of a moment matrix, and tasks whose blocks meet first.
+BLOCK = 1024
+MERGED = 128
 # Entries of all matrices a task holds before it passes them on (1 GiB of doubles).
 MAX_HELD = 1 << 27
 
 
-def tensor_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """min, mean, max and sample deviation over all elements, one row per tensor and group."""
-    named = F.explode(F.array(*[F.struct(F.lit(c).alias("t"), doubles(c).alias("v")) for c in cols]))
-    elements = (
-        df.select(*by, named.alias("_s"))
-        .select(*by, F.col("_s.t").alias("tensor"), F.explode("_s.v").alias("_x"))
+def _groups(table: pa.Table, names: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The values of ``names`` in a table, each with the rows that have them."""
+    if not names:
+        yield (), np.arange(table.num_rows)
+        return
+    labels = table.select(list(names))
+    codes = labels.to_pandas().groupby(list(names), dropna=False, sort=False).ngroup().to_numpy()
+    first = np.unique(codes, return_index=True)[1]
+    for code, row in enumerate(labels.take(pa.array(first)).to_pylist()):
+        yield tuple(row.values()), np.flatnonzero(codes == code)
+
+
+def _number_state(x: np.ndarray) -> tuple:
+    """Count, mean, sum of squared deviations, least and greatest; NaN is the greatest number."""
+    mean = x.mean()
+    least = np.fmin.reduce(x)
+    return len(x), mean, np.square(x - mean).sum(), least, x.max()
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """The state of two disjoint sets of numbers from theirs."""
+    n = a["n"] + b["n"]
+    apart = b["mean"] - a["mean"]
+    return F.struct(
+        n.alias("n"),
+        (a["mean"] + apart * b["n"] / n).alias("mean"),
+        (a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n).alias("m2"),
     )
-    return elements.groupBy(*by, "tensor").agg(
-        F.min("_x").alias("min"),
-        F.avg("_x").alias("mean"),
-        F.max("_x").alias("max"),
-        F.stddev_samp("_x").alias("std"),
+
+
+def tensor_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """min, mean, max and sample deviation over all elements, one row per tensor and group.
+
+    Null arrays and elements do not count; a tensor without elements in a group has no
+    row, one with a single element no deviation. A batch leaves one state (count, mean,
+    sum of squared deviations, least, greatest) per tensor and group; states of a group
+    are joined one by one, which loses no digits to a mean far from zero.
+    """
+    names = list(by)
+    source = df.select(*by, *[doubles(c).alias(f"_v{n}") for n, c in enumerate(cols)])
+    groups = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names]
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record_batch in batches:
+            table = pa.Table.from_batches([record_batch])
+            types = [table.schema.field(n).type for n in names]
+            found: list[tuple] = []
+            for group, rows in _groups(table, names) if table.num_rows else ():
+                part = table.take(pa.array(rows)) if names else table
+                for n, tensor in enumerate(cols):
+                    numbers = pc.drop_null(pc.list_flatten(part.column(f"_v{n}").combine_chunks()))
+                    if len(numbers):
+                        found.append((*group, tensor, *_number_state(numbers.to_numpy())))
+            columns = list(zip(*found)) if found else [[]] * (len(names) + 6)
+            kinds = [*types, pa.string(), pa.int64(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), type=t) for c, t in zip(columns, kinds)], [*names, "tensor", "n", "mean", "m2", "min", "max"]
+            )
+
+    schema = ", ".join([*groups, "tensor string, n bigint, mean double, m2 double, min double, max double"])
+    parts = source.mapInArrow(states, schema)
+    whole = parts.groupBy(*by, "tensor").agg(
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.sort_array(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), "mean", "m2"))).alias("_states"),
     )
+    first, rest = F.get("_states", F.lit(0)), F.slice("_states", 2, F.greatest(F.size("_states") - 1, F.lit(1)))
+    total = F.when(F.size("_states") == 1, first).otherwise(F.aggregate(rest, first, _joined))
+    joined = whole.withColumn("_total", total)
+    std = F.when(F.col("_total.n") > 1, F.sqrt(F.col("_total.m2") / (F.col("_total.n") - 1)))
+    return joined.select(*by, "tensor", "min", F.col("_total.mean").alias("mean"), "max", std.alias("std"))
 
 
 def batch_mean_loss(
@@ -59,146 +119,200 @@ def mean_vector(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     return vectors.groupBy(*by).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("mean_vector"))
 
 
-def gram(
-    df: DataFrame,
-    cols: Sequence[str],
-    by: Sequence[str] = (),
-    shift: np.ndarray | float = 0.0,
-    partials: int | None = None,
-) -> DataFrame:
-    """Sums of ``x_i * x_j`` over all rows: for each ``i``, from 0, those of j = i, i + 1, ...
+class Moments:
+    """Count, mean and centred products of a set of vectors; sets can be joined."""
+
+    def __init__(self, n: int, mean: np.ndarray, products: np.ndarray) -> None:
+        self.n, self.mean, self.products = n, mean, products
+
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> Moments:
+        mean = matrix.mean(axis=0)
+        centred = matrix - mean
+        return cls(len(matrix), mean, centred.T @ centred)
+
+    def join(self, other: Moments) -> None:
+        """Take in another set. The means' distance joins the two centres, so no digits are lost far from zero."""
+        n = self.n + other.n
+        apart = other.mean - self.mean
+        self.products += other.products
+        self.products += np.outer(apart * (self.n * other.n / n), apart)
+        self.mean = self.mean + apart * (other.n / n)
+        self.n = n
+
+
+class Block:
+    """The part of ``Moments`` in some rows and columns."""
+
+    def __init__(self, n: int, down: np.ndarray, across: np.ndarray, products: np.ndarray) -> None:
+        self.n, self.down, self.across = n, down, across
+        self.products = products.reshape(len(down), len(across))
+
+    def join(self, other: Block) -> None:
+        n = self.n + other.n
+        down, across = other.down - self.down, other.across - self.across
+        self.products = self.products + other.products + np.outer(down * (self.n * other.n / n), across)
+        self.down, self.across = self.down + down * (other.n / n), self.across + across * (other.n / n)
+        self.n = n
 
-    The vector of a row is a constant 1 and then the arrays ``cols`` less ``shift``.
-    Each task adds up its rows' products and passes on one matrix per group, so
-    the shuffle carries matrices instead of vectors and a large group costs no
-    more than a small one. ``partials`` limits the number of tasks, and with it
-    of matrices, when the vectors are wide.
+
+STATE = "widths array<int>, task int, i int, j int, n bigint, down array<double>, across array<double>, products array<double>"
+_NUMBERS = pa.list_(pa.float64())
+
+
+def _state_row(labels: list[pa.Array], names: list[str], widths: list[int], task: int, i: int, j: int, block: Block) -> pa.RecordBatch:
+    numbers = [pa.array([a], _NUMBERS) for a in (block.down, block.across, block.products.reshape(-1))]
+    places = [pa.array([v], pa.int32()) for v in (task, i, j)]
+    arrays = [*labels, pa.array([widths], pa.list_(pa.int32())), *places, pa.array([block.n], pa.int64()), *numbers]
+    return pa.RecordBatch.from_arrays(arrays, [*names, "widths", "task", "i", "j", "n", "down", "across", "products"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, int, Block]]:
+    """Each row of states: its batch, row, place and block."""
+    for batch in batches:
+        values = {c: batch.column(c) for c in ("i", "j", "n")}
+        lists = [batch.column(c) for c in ("down", "across", "products")]
+        for row in range(batch.num_rows):
+            block = Block(values["n"][row].as_py(), *(c[row].values.to_numpy(zero_copy_only=False) for c in lists))
+            yield batch, row, values["i"][row].as_py(), values["j"][row].as_py(), block
+
+
+def moment_states(
+    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), partials: int | None = None, side: int = BLOCK
+) -> DataFrame:
+    """Joint moments of the arrays ``cols``, one after another, as blocks on and above the diagonal.
+
+    Columns: ``by``, ``widths`` of the arrays, block ``i``, ``j``, ``n``, the means ``down``
+    its rows and ``across`` its columns, and ``products``, its centred products row by row.
+    Rows with a null array do not count. A task holds one set of moments a group, so the
+    shuffle carries blocks instead of vectors and a large group costs no more than a
+    small one; blocks of ``MERGED`` tasks meet first, and ``whole_moments`` joins what is
+    left, so no task reads all tasks' matrices. ``partials`` limits the tasks.
     """
+    names = list(by)
     source = df.select(*by, *[doubles(c).alias(f"_v{n}") for n, c in enumerate(cols)])
     source = source.dropna(subset=[f"_v{n}" for n in range(len(cols))])
     if partials is not None:
         source = source.coalesce(partials)
-    names = list(by)
-    group_schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names]
-
-    def rows_by_group(table: pa.Table) -> Iterator[tuple[tuple, np.ndarray | slice]]:
-        if not names:
-            yield (), slice(None)
-            return
-        labels = table.select(names)
-        codes = labels.to_pandas().groupby(names, dropna=False, sort=False).ngroup().to_numpy()
-        first = np.unique(codes, return_index=True)[1]
-        for code, row in enumerate(labels.take(pa.array(first)).to_pylist()):
-            yield tuple(row.values()), codes == code
-
-    def matrix_rows(held: dict[tuple, np.ndarray], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-        for group, matrix in held.items():
-            width = len(matrix)
-            labels = [pa.array([g] * width, type=t) for g, t in zip(group, types)]
-            upper = pa.array([matrix[i, i:] for i in range(width)], type=pa.list_(pa.float64()))
-            numbers = [pa.array(range(width), pa.int32()), upper]
-            yield pa.RecordBatch.from_arrays(labels + numbers, [*names, "i", "part"])
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
-        types: list[pa.DataType] = []
+    source = source.withColumn("_task", F.spark_partition_id())
+    groups = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names]
+    schema = ", ".join([*groups, STATE])
+
+    def rows_of(held: dict[tuple, Moments], types: list[pa.DataType], widths: list[int], task: int) -> Iterator[pa.RecordBatch]:
+        for group, m in held.items():
+            labels = [pa.array([g], type=t) for g, t in zip(group, types)]
+            cuts = [slice(a, a + side) for a in range(0, len(m.mean), side)]
+            for i, down in enumerate(cuts):
+                for j, across in enumerate(cuts[i:], i):
+                    block = Block(m.n, m.mean[down], m.mean[across], m.products[down, across])
+                    yield _state_row(labels, names, widths, task // MERGED, i, j, block)
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Moments] = {}
+        types, widths, task = [], [], 0
         for record_batch in batches:
             table = pa.Table.from_batches([record_batch])
             if not table.num_rows:
                 continue
-            types = [table.schema.field(n).type for n in names]
+            types, task = [table.schema.field(n).type for n in names], table.column("_task")[0].as_py()
             arrays = [to_matrix(table.column(f"_v{n}").combine_chunks())[0] for n in range(len(cols))]
-            matrix = np.hstack([np.ones((table.num_rows, 1)), np.hstack(arrays) - shift])
-            width = matrix.shape[1]
-            if width > MAX_DIM:
-                raise ValueError(f"vectors of {width} are too wide for a moment matrix")
-            for group, rows in rows_by_group(table):
-                part = matrix[rows]
-                held[group] = held.get(group, 0.0) + part.T @ part
-            if len(held) * width**2 > MAX_HELD:
-                yield from matrix_rows(held, types)
-                held.clear()
-        yield from matrix_rows(held, types)
-
-    schema = ", ".join([*group_schema, "i int", "part array<double>"])
-    parts = source.mapInArrow(products, schema).withColumn("part", array_to_vector("part"))
-    return parts.groupBy(*by, "i").agg(vector_to_array(Summarizer.sum(F.col("part"))).alias("sums"))
-
-
-def full_matrix(rows: Sequence[dict], width: int) -> np.ndarray:
-    """The symmetric matrix of the upper rows that ``gram`` gives."""
-    matrix = np.zeros((width, width))
-    for row in rows:
-        i = row["i"]
-        matrix[i, i:] = matrix[i:, i] = row["sums"]
-    return matrix
-
-
-def packed(gram_df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per group holding its whole matrix, at most MAX_DIM rows."""
-    whole = gram_df.groupBy(*by).agg(
-        F.collect_list(F.struct("i", "sums")).alias("_rows"), (F.max("i") + 1).alias("_width")
-    )
-    return whole.filter("_width IS NOT NULL")
+            widths = [a.shape[1] for a in arrays]
+            matrix = np.hstack(arrays)
+            for group, rows in _groups(table, names):
+                new = Moments.of(matrix[rows] if names else matrix)
+                if group in held:
+                    held[group].join(new)
+                else:
+                    held[group] = new
+                if len(held) * matrix.shape[1] ** 2 > MAX_HELD:
+                    yield from rows_of(held, types, widths, task)
+                    held.clear()
+        yield from rows_of(held, types, widths, task)
+
+    def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, labels, widths = None, [], []
+        for batch, row, _, _, block in _blocks(batches):
+            if total is None:
+                total, labels = block, [batch.column(n).slice(row, 1) for n in names]
+                widths = batch.column("widths")[row].as_py()
+            else:
+                total.join(block)
+        *_, task, i, j = (k.as_py() for k in key)
+        yield _state_row(labels, names, widths, task, i, j, total)
+
+    return source.mapInArrow(states, schema).groupBy(*by, "task", "i", "j").applyInArrow(merged, schema)
+
+
+def whole_moments(batches: Iterator[pa.RecordBatch], side: int = BLOCK) -> tuple[list[int], Moments]:
+    """Widths and moments of one group from its states, inside a task: one matrix, and a block at a time."""
+    total: dict[tuple[int, int], Block] = {}
+    widths: list[int] = []
+    for batch, row, i, j, block in _blocks(batches):
+        widths = batch.column("widths")[row].as_py()
+        if (i, j) in total:
+            total[i, j].join(block)
+        else:
+            total[i, j] = block
+    width = sum(widths)
+    mean, products = np.zeros(width), np.zeros((width, width))
+    for (i, j), block in total.items():
+        down, across = slice(i * side, i * side + len(block.down)), slice(j * side, j * side + len(block.across))
+        mean[down] = block.down
+        products[down, across] = block.products
+        products[across, down] = block.products.T
+    return widths, Moments(total[0, 0].n if total else 0, mean, products)
 
 
 def vector_moments(
     df: DataFrame, col: str, by: Sequence[str] = (), partials: int | None = None
 ) -> DataFrame:
-    """Row count, mean vector and sample covariance, one row per group.
-
-    Vectors are shifted by one of them first: covariance does not change by that,
-    and products of numbers far from zero would lose digits.
-    """
-    sample = df.filter(F.col(col).isNotNull()).select(doubles(col).alias("v")).head(1)
-    shift = np.asarray(sample[0]["v"] if sample else [], dtype=np.float64)
+    """Row count, mean vector and sample covariance (NaN for one row), one row per group."""
+    names = list(by)
+    states = moment_states(df, [col], by, partials)
+    groups = [f"`{f.name}` {f.dataType.simpleString()}" for f in states.schema if f.name in names]
 
-    @F.pandas_udf("n bigint, mean array<double>, cov array<array<double>>")
-    def finish(matrices: pd.Series, widths: pd.Series) -> pd.DataFrame:
-        rows = []
-        for matrix, width in zip(matrices, widths):
-            m = full_matrix(matrix, width)
-            n = m[0, 0]
-            mean = m[0, 1:] / n
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cov = (m[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
-            rows.append((int(round(n)), mean + shift, list(cov)))
-        return pd.DataFrame(rows, columns=["n", "mean", "cov"])
+    def finish(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        _, m = whole_moments(chain([first], batches))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = m.products / (m.n - 1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cov) + 1, dtype=np.int32) * len(cov)), pa.array(cov.reshape(-1)))
+        whole = pa.ListArray.from_arrays(pa.array([0, len(cov)], pa.int32()), lists)
+        labels = [first.column(n).slice(0, 1) for n in names]
+        yield pa.RecordBatch.from_arrays([*labels, pa.array([m.n], pa.int64()), pa.array([m.mean], _NUMBERS), whole], [*names, "n", "mean", "cov"])
 
-    whole = packed(gram(df, [col], by, shift, partials), by)
-    return whole.select(*by, finish.asNondeterministic()("_rows", "_width").alias("_m")).select(*by, "_m.*")
+    schema = ", ".join([*groups, "n bigint, mean array<double>, cov array<array<double>>"])
+    return states.groupBy(*by).applyInArrow(finish, schema)
 
 
 def frechet_distance(
     df1: DataFrame, df2: DataFrame, col: str, partials: int | None = None
 ) -> DataFrame:
-    """Fréchet distance of the normal distributions fitted to two sets of vectors.
+    """Fréchet distance of the normal distributions fitted to two sets of vectors; null if one has no row.
 
     The trace of the root of S1 S2 is that of R S2 R with R the root of S1, which
     is symmetric, so its eigenvalues are real.
     """
     sides = df1.select(F.lit(1).alias("_side"), col).unionByName(df2.select(F.lit(2).alias("_side"), col))
-    moments = vector_moments(sides, col, ["_side"], partials)
 
-    def pick(side: int, field: str) -> Column:
-        return F.first(F.when(F.col("_side") == side, F.col(field)), ignorenulls=True)
-
-    @F.pandas_udf("double")
-    def distance(mu1: pd.Series, cov1: pd.Series, mu2: pd.Series, cov2: pd.Series) -> pd.Series:
-        out = []
-        for a, s1, b, s2 in zip(mu1, cov1, mu2, cov2):
-            if a is None or b is None:
-                out.append(None)
-                continue
-            s1, s2 = np.stack(s1), np.stack(s2)
-            values, vectors = np.linalg.eigh(s1)
-            root = (vectors * np.sqrt(values.clip(min=0.0))) @ vectors.T
-            cross = np.sqrt(np.linalg.eigvalsh(root @ s2 @ root).clip(min=0.0)).sum()
-            out.append(np.sum((a - b) ** 2) + np.trace(s1) + np.trace(s2) - 2.0 * cross)
-        return pd.Series(out, dtype="float64")
-
-    both = moments.agg(*[pick(s, f).alias(f"{f}{s}") for s in (1, 2) for f in ("mean", "cov")])
-    return both.select(distance("mean1", "cov1", "mean2", "cov2").alias("frechet_distance"))
+    def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[pa.RecordBatch]] = {1: [], 2: []}
+        for batch in batches:
+            marks = batch.column("_side").to_numpy()
+            for mark, own in parts.items():
+                own.append(batch.filter(pa.array(marks == mark)))
+        if not all(sum(b.num_rows for b in own) for own in parts.values()):
+            return
+        (a, s1), (b, s2) = ((m.mean, m.products / (m.n - 1)) for m in (whole_moments(iter(own))[1] for own in parts.values()))
+        values, vectors = np.linalg.eigh(s1)
+        root = (vectors * np.sqrt(values.clip(min=0.0))) @ vectors.T
+        cross = np.sqrt(np.linalg.eigvalsh(root @ s2 @ root).clip(min=0.0)).sum()
+        value = np.sum((a - b) ** 2) + np.trace(s1) + np.trace(s2) - 2.0 * cross
+        yield pa.RecordBatch.from_arrays([pa.array([value])], ["frechet_distance"])
+
+    states = moment_states(sides, [col], ["_side"], partials)
+    found = states.groupBy().applyInArrow(distance, "frechet_distance double")
+    return found.agg(F.first("frechet_distance").alias("frechet_distance"))
 
 
 def frechet_diagonal(df1: DataFrame, df2: DataFrame, col: str) -> DataFrame:
