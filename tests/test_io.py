@@ -10,23 +10,27 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom import scratch
-from vecloom.functions import velocity_mse
-from vecloom.plans.prepare import prepare_shards
+from vecloom.functions import once, quantize_f16, velocity_mse
+from vecloom.plans.prepare import SAMPLE_FIELDS, feed, prepare_samples, prepare_shards
 from vecloom.sources import (
     decode_fields,
     encode_npy,
     expand_braces,
     expand_shards,
+    index_members,
+    list_files,
     list_manifest,
     log_metrics,
     lookup_rows,
+    read_members,
     scan_eval_shard,
     scan_shards,
     tar_sink,
     tar_source,
     write_shards,
 )
-from vecloom.streaming import stream_prepare, stream_shards
+from vecloom.sources import tars
+from vecloom.streaming import scan_indexed, stream_indexed, stream_prepare, stream_shards
 
 
 @pytest.fixture(scope="module")
@@ -81,7 +85,7 @@ def test_lookup_rows(spark, samples):
 
 
 @pytest.fixture(scope="module")
-def tars(spark, samples, tmp_path_factory):
+def tar_folder(spark, samples, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tars") / "out")
     rows = samples.select(
         "idx",
@@ -92,8 +96,8 @@ def tars(spark, samples, tmp_path_factory):
     return path
 
 
-def test_tar_round_trip(spark, samples, tars):
-    source = tar_source(spark, tars)
+def test_tar_round_trip(spark, samples, tar_folder):
+    source = tar_source(spark, tar_folder)
     assert {(r.shard, r["count"]) for r in source.groupBy("shard").count().collect()} == {(0, 10), (1, 10), (2, 5)}
     spec = {"v": ("latents.npy", "array<float>"), "label": ("label.cls", "int")}
     got = sorted(decode_fields(source, spec).collect(), key=lambda r: r.key)
@@ -102,11 +106,11 @@ def test_tar_round_trip(spark, samples, tars):
     assert [r.label for r in got] == [i if i != 4 else None for i in range(25)]
 
 
-def test_tar_paths(spark, tars):
-    assert tar_source(spark, f"{tars}/shard-{{000001..000002}}.tar").count() == 15
-    assert tar_source(spark, f"{tars}/*-00000?.tar").count() == 25
-    assert tar_source(spark, f"{tars}/shard-000000.tar").count() == 10
-    assert tar_source(spark, f"file:{tars}").count() == tar_source(spark, f"file://{tars}").count() == 25
+def test_tar_paths(spark, tar_folder):
+    assert tar_source(spark, f"{tar_folder}/shard-{{000001..000002}}.tar").count() == 15
+    assert tar_source(spark, f"{tar_folder}/*-00000?.tar").count() == 25
+    assert tar_source(spark, f"{tar_folder}/shard-000000.tar").count() == 10
+    assert tar_source(spark, f"file:{tar_folder}").count() == tar_source(spark, f"file://{tar_folder}").count() == 25
 
 
 def test_tar_modes(spark, tmp_path):
@@ -116,7 +120,7 @@ def test_tar_modes(spark, tmp_path):
     with pytest.raises(Exception, match="overwrite"):
         tar_sink(rows, path, {"txt": "x"}, samples_per_shard=2)
     tar_sink(rows.filter("idx < 3"), path, {"txt": "x"}, samples_per_shard=2, mode="overwrite")
-    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["shard-000000.tar", "shard-000001.tar"]
+    assert sorted(p.name for p in (tmp_path / "t").glob("*.tar")) == ["shard-000000.tar", "shard-000001.tar"]
     assert tar_source(spark, path).count() == 3
 
 
@@ -222,3 +226,185 @@ def test_encoded_arrays_are_npy_files(spark):
     arrays = [None if b is None else np.load(io.BytesIO(b)) for b in got]
     assert arrays[2] is None and all(a.dtype == np.float16 for a in arrays if a is not None)
     assert [None if a is None else a.tolist() for a in arrays] == [[1.5, 2.0], [], None, [3.0]]
+
+
+def archived(spark, shard, *keys):
+    """What a task is given for a shard."""
+    fields = F.create_map(F.lit("txt"), F.encode(F.lit("x"), "UTF-8"))
+    rows = spark.createDataFrame([(k,) for k in keys], "key string").select(F.lit(shard).alias("shard"), "key", fields.alias("fields"))
+    return rows.toArrow().to_batches()
+
+
+def test_a_write_that_stops_leaves_nothing_to_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(40).select(F.col("id").alias("idx"), F.encode(F.lit("x"), "UTF-8").alias("x"))
+    # The task is done, its archive is in place, and the commit never comes.
+    tars.TarWriter(path, False).write(iter(archived(spark, 7, "a", "b")))
+    assert (tmp_path / "t" / "shard-000007.tar").exists() and tar_source(spark, path).count() == 0
+    with pytest.raises(Exception, match="not among the archives"):
+        tar_source(spark, f"{path}/shard-000007.tar").count()
+    tar_sink(rows, path, {"txt": "x"}, samples_per_shard=10)
+    assert tar_source(spark, path).count() == 40
+    more = rows.withColumn("idx", F.col("idx") + 70)
+    tar_sink(more, path, {"txt": "x"}, samples_per_shard=10)
+    assert tar_source(spark, path).count() == 80 and tar_source(spark, f"{path}/shard-{{000002..000003}}.tar").count() == 20
+    with pytest.raises(Exception, match="overwrite"):
+        tar_sink(more, path, {"txt": "x"}, samples_per_shard=10)
+    assert tar_source(spark, path).count() == 80
+    # Overwriting takes the old archives out of sight before it starts.
+    writer = tars.TarWriter(path, True)
+    done = writer.write(iter(archived(spark, 3, "a")))
+    assert tar_source(spark, path).count() == 0
+    writer.commit([done, None])
+    assert tar_source(spark, path).count() == 1 and [p.name for p in (tmp_path / "t").glob("*.tar")] == ["shard-000003.tar"]
+    writer = tars.TarWriter(path, False)
+    done = [writer.write(iter(archived(spark, 5, "a"))) for _ in range(2)]
+    with pytest.raises(ValueError, match="two tasks"):
+        writer.commit(done)
+    writer.abort(done)
+    assert tar_source(spark, path).count() == 1 and not list((tmp_path / "t").glob("*.part"))
+
+
+def test_archives_of_others_are_read_and_kept(spark, tmp_path):
+    with tarfile.open(tmp_path / "other-3.tar", "w") as tar:
+        add(tar, "a.txt")
+    rows = spark.range(4).select(F.col("id").alias("idx"), F.encode(F.lit("x"), "UTF-8").alias("x"))
+    assert tar_source(spark, str(tmp_path)).count() == 1
+    tar_sink(rows, str(tmp_path), {"txt": "x"}, samples_per_shard=2)
+    assert tar_source(spark, str(tmp_path)).count() == 5
+
+
+def test_a_large_archive_is_read_by_several_tasks(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    content = {f"d{i % 3}/s{i:04d}": rng.bytes(int(rng.integers(0, 4000))) for i in range(300)}
+    with tarfile.open(tmp_path / "big-12.tar", "w") as tar:
+        for name, data in sorted(content.items()):
+            add(tar, f"{name}.bin", data)
+            add(tar, f"{name}.TXT", name.encode())
+    members = index_members(spark, str(tmp_path))
+    assert members.count() == 600
+    found = read_members(members, bytes_per_task=50_000).withColumn("task", F.spark_partition_id())
+    rows = found.collect()
+    assert {r.key: bytes(r.fields["bin"]) for r in rows} == content and len({r.task for r in rows}) > 3
+    assert {r.shard for r in rows} == {12} and all(r.fields["txt"].decode() == r.key for r in rows)
+    whole = {(r.key, tuple(sorted((k, bytes(v)) for k, v in r.fields.items()))) for r in tar_source(spark, str(tmp_path)).collect()}
+    assert whole == {(r.key, tuple(sorted((k, bytes(v)) for k, v in r.fields.items()))) for r in rows}
+    some = read_members(lookup_rows(members.filter("extension = 'txt'"), "key", ["d0/s0000", "d1/s0001", "none"])).collect()
+    assert sorted((r.key, sorted(r.fields)) for r in some) == [("d0/s0000", ["txt"]), ("d1/s0001", ["txt"])]
+
+
+def test_samples_that_share_a_key_stay_apart(spark, tmp_path):
+    with tarfile.open(tmp_path / "a-7.tar", "w") as tar:
+        for name in ("d/a.JPG", "d/a.seg.png", "e/a.jpg", "README", "d/a.jpg"):
+            add(tar, name)
+    rows = read_members(index_members(spark, str(tmp_path))).collect()
+    assert sorted((r.shard, r.key, sorted(r.fields)) for r in rows) == [
+        (7, "d/a", ["jpg"]), (7, "d/a", ["jpg", "seg.png"]), (7, "e/a", ["jpg"]),
+    ]
+
+
+def test_tensors_keep_their_shape(spark, tmp_path):
+    rows = [(0, [[1.0, 2.0, 3.0], [4.0, 5.0, 6.1]]), (1, None), (2, []), (3, [[0.5]]), (4, [[], []])]
+    df = spark.createDataFrame(rows, "idx bigint, v array<array<double>>").repartition(2)
+    kept = df.withColumn("v", quantize_f16("v", depth=2)).select("idx", encode_npy("v", depth=2).alias("v"))
+    tar_sink(kept.filter("v IS NOT NULL"), str(tmp_path / "t"), {"v.npy": "v"})
+    got = {int(r.key): r for r in decode_fields(tar_source(spark, str(tmp_path / "t")), {
+        "v": ("v.npy", "array<array<float>>"), "flat": ("v.npy", "array<double>")}).collect()}
+    assert got[0].v == [[1.0, 2.0, 3.0], [4.0, 5.0, float(np.float16(6.1))]] and got[3].v == [[0.5]]
+    assert got[2].v == [] and got[4].v == [[], []] and len(got[0].flat) == 6
+    raw = {r.idx: r.v for r in kept.collect()}
+    assert raw[1] is None and np.load(io.BytesIO(raw[0])).shape == (2, 3) and np.load(io.BytesIO(raw[0])).dtype == np.float16
+    deep = spark.createDataFrame([([[[1.0, 2.0]], [[3.0, 4.0]]],)], "v array<array<array<double>>>")
+    assert deep.select(quantize_f16("v", depth=3)).head()[0] == [[[1.0, 2.0]], [[3.0, 4.0]]]
+    ragged = spark.createDataFrame([([[1.0], [2.0, 3.0]],)], "v array<array<double>>")
+    with pytest.raises(Exception, match="equal length"):
+        ragged.select(encode_npy("v", depth=2)).collect()
+
+
+def test_filters_pass_through_the_functions(spark, samples, tmp_path):
+    samples.write.parquet(str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p")).withColumn("h", quantize_f16("v"))
+    plan = rows.filter("idx = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(idx,3)" in plan
+    write_shards(samples, str(tmp_path / "s"), samples_per_shard=10)
+    shards = spark.read.parquet(str(tmp_path / "s")).withColumn("n", encode_npy("v")).filter("shard = 1")
+    assert "PartitionFilters: [isnotnull(shard" in shards._jdf.queryExecution().executedPlan().toString()
+    exploded = rows.select("idx", F.explode(once("h")))
+    assert exploded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert exploded.count() == rows.select(F.explode("h")).count() == 100
+
+
+def test_listing_by_tasks(spark, tmp_path):
+    for name in ("a/checkpoint_step_5.pt", "a/x.pt", "b/checkpoint_step_7.pt", "b/checkpoint_step_8.pt.part"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).touch()
+    rows = [(1, str(tmp_path / "a")), (2, f"file://{tmp_path}/b"), (3, str(tmp_path / "none")), (4, None)]
+    found = list_manifest(spark, spark.createDataFrame(rows, "run int, place string"), "place")
+    assert sorted((r.run, r.path.rpartition("/")[2], r.step) for r in found.collect()) == [(1, "checkpoint_step_5.pt", 5), (2, "checkpoint_step_7.pt", 7)]
+    assert list_files(found.select("run").limit(0).withColumn("f", F.lit("x")), "f", "*").count() == 0
+
+
+def test_a_stream_goes_on_with_its_index(spark, tmp_path):
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+
+    def add_rows(first, n):
+        spark.range(first, first + n).select((1000 - F.col("id")).alias("k"), F.lit("x").alias("t")).coalesce(1).write.mode("append").parquet(source)
+
+    def go():
+        stream = stream_shards(spark, source, "k bigint, t string", max_files=1)
+        stream_indexed(stream, lambda df: df.filter("k <> 995"), ["k"], sink, checkpoint, 8).awaitTermination()
+        return sorted(tuple(r) for r in scan_indexed(spark, sink).select("idx", "key", "k", "shard", "batch").collect())
+
+    add_rows(0, 10)
+    add_rows(10, 5)
+    first = go()
+    assert [r[0] for r in first] == list(range(14)) and all(r[3] == r[0] // 8 and int(r[1]) == r[0] for r in first)
+    assert go() == first
+    add_rows(20, 7)
+    second = go()
+    assert second[:14] == first and [r[0] for r in second] == list(range(21)) and len({r[4] for r in second}) == 3
+    # What a batch that stopped has written does not count, and is written anew.
+    (tmp_path / "out" / "notes" / "batch=2").rename(tmp_path / "gone")
+    assert sorted(r[0] for r in scan_indexed(spark, sink).select("idx").collect()) == list(range(14))
+
+
+def gray(n, value):
+    return (n, n, 1, bytes([value]) * (n * n))
+
+
+def test_samples_of_images_and_captions(spark, tmp_path):
+    kind = "id int, image struct<height: int, width: int, nChannels: int, data: binary>, text string"
+    rows = [(i, gray(3 + i % 4, 10 * i), f"word {i}") for i in range(12)] + [(50, None, "no image"), (51, gray(2, 1), " ")]
+    pairs = spark.createDataFrame(rows, kind).repartition(3)
+
+    def images():
+        return lambda x: x.reshape(len(x), 3, -1).mean(axis=2)
+
+    def words():
+        def predict(texts):
+            mask = np.array([[1] * len(t.split()) + [0] * (3 - len(t.split())) for t in texts])
+            return np.arange(3)[None, :, None] * np.ones((len(texts), 3, 2)) * mask[:, :, None], mask
+
+        return predict
+
+    path = str(tmp_path / "s")
+    prepare_samples(pairs, "image", "text", ["id"], path, images, words, size=4, samples_per_shard=5)
+    got = {int(r.key): r for r in decode_fields(tar_source(spark, path), SAMPLE_FIELDS).collect()}
+    assert sorted(got) == list(range(12)) and {r.shard for r in got.values()} == {0, 1, 2}
+    for i, r in got.items():
+        assert r.latents == pytest.approx([(10 * i / 256 * 2 - 1) * 0.18215] * 3, abs=2e-4)
+        assert r.embeds == [[0.0, 0.0], [1.0, 1.0], [0.0, 0.0]] and r["mask"] == [1, 1, 0]
+
+
+def test_a_feed_serves_every_sample_once(spark, tar_folder):
+    spec, names = {"n": ("label.cls", "int")}, {"n": ("n", "int"), "key": ("key", "string")}
+    readers = [feed(spark, tar_folder, spec, names, 4, seed=1, rank=r, world=2).collect() for r in range(2)]
+    seen = [s.key for rows in readers for b in rows for s in b.samples]
+    assert sorted(seen) == [f"{i:08d}" for i in range(25)]
+    first = sorted(readers[0])
+    later = sorted(feed(spark, tar_folder, spec, names, 4, seed=1, rank=0, world=2, step=2).collect())
+    assert later == first[2:]
+    other = feed(spark, tar_folder, spec, names, 4, seed=1, epoch=1, rank=0, world=2).collect()
+    assert [s.key for b in sorted(other) for s in b.samples] != [s.key for b in first for s in b.samples]
+    few = feed(spark, tar_folder, spec, names, 4, seed=1, limit=6).collect()
+    assert sum(b.n for b in few) == 6

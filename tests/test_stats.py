@@ -13,6 +13,7 @@ from vecloom.functions import quantize_f16, sample_noise
 from vecloom.operators import (
     embed_images,
     embed_text,
+    embed_tokens,
     euler_fold,
     euler_sample,
     euler_snapshots,
@@ -234,6 +235,31 @@ def test_user_models(spark):
     assert embed_images(df, "v", image_model, (2, 2)).head().features == [10.0]
 
 
+def token_model():
+    def predict(texts):
+        tokens = max(len(t) for t in texts)
+        mask = np.array([[1] * len(t) + [0] * (tokens - len(t)) for t in texts])
+        return np.array([[[ord(c), i] for i, c in enumerate(t.ljust(tokens))] for t in texts], float), mask
+
+    return predict
+
+
+def test_vectors_of_tokens_with_the_model_s_own_mask(spark):
+    rows = [(i, t) for i, t in enumerate(["abcd", "x", None, "yz", ""])]
+    df = spark.createDataFrame(rows, "mask int, t string").coalesce(1)
+    got = {r["mask"]: r for r in embed_tokens(df, "t", token_model, batch_size=3, mask="own").collect()}
+    assert got[0].embeds == [[97.0, 0.0], [98.0, 1.0], [99.0, 2.0], [100.0, 3.0]] and got[0].own == [1, 1, 1, 1]
+    assert got[1].own == [1, 0, 0, 0] and got[3].own == [1, 1] and got[4].own == [0, 0]
+    assert got[2].embeds is None and got[2].own is None
+    assert embed_tokens(df.limit(0), "t", token_model).count() == 0
+
+    def wrong():
+        return lambda texts: (np.zeros((len(texts), 2, 3)), np.zeros((len(texts), 4)))
+
+    with pytest.raises(Exception, match="gave vectors"):
+        embed_tokens(df, "t", wrong).collect()
+
+
 def test_default_text_vector(spark):
     df = spark.createDataFrame([("a a b",), ("",), (None,)], "t string")
     rows = [r.embeds for r in embed_text(df, "t", dim=16).collect()]
@@ -286,6 +312,18 @@ def test_prepare_images(spark, tmp_path):
     assert (got["photo"] == expected).all()
 
 
+def test_many_images_that_grow(spark, monkeypatch):
+    from vecloom.operators import images
+
+    monkeypatch.setattr(images, "MAX_PIXELS", 5000)
+    kind = "id int, image struct<height: int, width: int, nChannels: int, data: binary>"
+    rows = [(i, None if i % 7 == 0 else (2 + i % 3, 3, 1, bytes([i % 256]) * (3 * (2 + i % 3)))) for i in range(60)]
+    got = prepare_images(spark.createDataFrame(rows, kind).coalesce(1), size=30).collect()
+    assert len(got) == 60
+    for r in got:
+        assert r.pixels is None if r.id % 7 == 0 else set(r.pixels) == {float(r.id)} and len(r.pixels) == 2700
+
+
 def test_resize_planes(spark):
     df = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0],), (None,)], "v array<double>")
     rows = [r[0] for r in df.select(resize_planes(F.col("v"), 1, 2, 4)).collect()]

@@ -12,6 +12,7 @@ from vecloom.functions.arrays import (
     scale_pixels,
     squeeze,
 )
+from vecloom.functions.arrow import once
 from vecloom.functions.draws import hash_word, sample_noise, sample_time
 from vecloom.functions.flow import (
     interpolate,
@@ -34,6 +35,7 @@ __all__ = [
     "let",
     "linear_project",
     "lr_schedule",
+    "once",
     "quantize_f16",
     "recover_latent",
     "sample_noise",

@@ -6,11 +6,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecloom.functions.arrow import list_offsets, to_lists, to_matrix, vector_udf
+from vecloom.functions.arrow import list_type, map_leaves, to_lists, to_matrix, vector_udf
 
 # Latent scale and layer-norm epsilon.
 LATENT_SCALE = 0.18215
@@ -49,21 +48,22 @@ def squeeze(col: Column | str) -> Column:
     )
 
 
-def quantize_f16(col: Column | str) -> Column:
+def quantize_f16(col: Column | str, depth: int = 1) -> Column:
     """Round every element to the nearest half-precision value, ties to even.
 
+    ``depth`` is the number of axes: 2 for an array of arrays. The shape stays.
     Spark has no half type. On 100,000 vectors of 64 numpy's rounding of whole Arrow
     batches took 0.3 s, the same rule as a lambda over the elements 1.1 s.
     """
 
-    @vector_udf("array<float>")
+    @vector_udf(list_type("float", depth))
     def halve(vectors: pa.Array) -> pa.Array:
-        flat = vectors.flatten()
-        with np.errstate(over="ignore"):
-            halves = flat.to_numpy(zero_copy_only=False).astype(np.float16)
-        rounded = pa.array(halves.astype(np.float32), mask=np.asarray(flat.is_null()))
-        lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
-        return pa.ListArray.from_arrays(list_offsets(np.cumsum(lengths)), rounded, mask=vectors.is_null())
+        def round_all(flat: pa.Array) -> pa.Array:
+            with np.errstate(over="ignore"):
+                halves = flat.to_numpy(zero_copy_only=False).astype(np.float16)
+            return pa.array(halves.astype(np.float32), mask=np.asarray(flat.is_null()))
+
+        return map_leaves(vectors, round_all)
 
     return halve(_col(col))
 

@@ -18,7 +18,7 @@ from vecloom.operators.manifest import (
     retention,
     retention_deletes,
 )
-from vecloom.operators.models import embed_images, embed_text, fit_velocity, linear_field, map_rows
+from vecloom.operators.models import embed_images, embed_text, embed_tokens, fit_velocity, linear_field, map_rows
 from vecloom.operators.rows import (
     cadence,
     drop_blank,
@@ -54,6 +54,7 @@ __all__ = [
     "drop_blank",
     "embed_images",
     "embed_text",
+    "embed_tokens",
     "euler_fold",
     "euler_sample",
     "euler_snapshots",

@@ -25,17 +25,16 @@ RANGE_COLUMNS = ("_tie", "_range", "_start")
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def in_ranges(df: DataFrame, order: Sequence[str], ties: Sequence[str] | None = None) -> DataFrame:
-    """Add ``_tie``, ``_range`` and ``_start``: ranges of about equally many rows in ``order``, and the rows before each.
+def cut_ranges(df: DataFrame, order: Sequence[str], ties: Sequence[str] | None = None) -> DataFrame:
+    """Add ``_tie`` and ``_range``: ranges of about equally many rows in ``order``.
 
     The borders are quantiles of a sample that only the rows decide: for every value of
     a hash the row of least hash in full. So every pass, and every retry, cuts alike.
     Rows that tie in ``order`` go by a hash of ``ties`` (by default all columns but maps),
     so a value that very many rows share is spread over ranges. Nothing runs before the
-    result is asked for; the sample and the offsets have a row per range, not per row.
+    result is asked for; the sample has some rows per range, whatever the number of rows.
     """
-    spark = df.sparkSession
-    ranges = SLICES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = _ranges(df)
     hashable = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
     names = hashable if ties is None else [*order, *ties]
     tie = F.xxhash64(*names) if names else F.lit(0).cast("bigint")
@@ -55,12 +54,21 @@ def in_ranges(df: DataFrame, order: Sequence[str], ties: Sequence[str] | None =
     for width in (1 << k for k in range(ranges.bit_length() - 1, -1, -1)):
         above = F.get("_borders", F.col("_range") + (width - 1)) <= F.col("_key")
         cut = cut.withColumn("_range", F.col("_range") + F.when(above, width).otherwise(0))
-    cut = cut.drop("_borders", "_key")
+    return cut.drop("_borders", "_key")
+
+
+def _ranges(df: DataFrame) -> int:
+    return SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_ranges(df: DataFrame, order: Sequence[str], ties: Sequence[str] | None = None) -> DataFrame:
+    """``cut_ranges`` with ``_start``, the rows in the ranges before."""
+    cut = cut_ranges(df, order, ties)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy("_range").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
     starts = starts.drop("count")
     # Every range has its offset; an inner join would compute the range again to look for nulls.
-    return cut.join(F.broadcast(starts) if ranges <= MAX_BROADCAST_ROWS else starts, "_range", "left")
+    return cut.join(F.broadcast(starts) if _ranges(df) <= MAX_BROADCAST_ROWS else starts, "_range", "left")
 
 
 def numbered(ranged: DataFrame, order: Sequence[str]) -> Column:
@@ -77,7 +85,7 @@ def global_index(
     """Add a gapless running index in ``order`` and its zero-padded key.
 
     Rows are cut into ranges by fixed borders, counted, and numbered inside their range
-    after one shuffle; see ``in_ranges`` for ties. Only equal rows have an open order,
+    after one shuffle; see ``cut_ranges`` for ties. Only equal rows have an open order,
     and all copies of one row meet in one range. Nothing is written or run beforehand.
     """
     ranged = in_ranges(df, order, ties)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +17,9 @@ from vecloom.functions.arrow import to_lists, to_matrix, vector_udf
 IMAGE_SIZE = 64
 LANCZOS_REACH = 3.0
 
+# Numbers of pixels held at once.
+MAX_PIXELS = 1 << 24
+
 
 def resize_weights(size: int, target: int, method: str) -> np.ndarray:
     """Matrix of ``target`` x ``size`` that resamples one axis."""
@@ -61,27 +64,44 @@ def _resizer(target: int, method: str) -> Callable[[np.ndarray], np.ndarray]:
     return resize
 
 
-def _rgb_planes(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
-    """Channel-first red, green, blue. The image source stores blue, green, red (, alpha)."""
-    pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+def _rgb_planes(data: list[bytes], height: int, width: int, channels: int) -> np.ndarray:
+    """Channel-first red, green, blue of equally large images. The image source stores blue, green, red (, alpha)."""
+    pixels = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(len(data), height, width, channels)
     if channels == 1:
-        pixels = np.repeat(pixels, 3, axis=2)
-    return pixels[:, :, 2::-1].transpose(2, 0, 1).astype(np.float64)
+        pixels = np.repeat(pixels, 3, axis=3)
+    return pixels[..., 2::-1].transpose(0, 3, 1, 2).astype(np.float64)
 
 
 def prepare_images(
     df: DataFrame, image: str = "image", size: int = IMAGE_SIZE, method: str = "lanczos", name: str = "pixels"
 ) -> DataFrame:
-    """Add the image as RGB of ``size`` x ``size``: a flat, channel-first array."""
+    """Add the image as RGB of ``size`` x ``size``: a flat, channel-first array of floats.
 
-    @vector_udf("array<double>")
-    def resize(height: pa.Array, width: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
+    Images of one size are resized together, at most ``MAX_PIXELS`` numbers of them or of
+    their results at a time, so a batch of small images that grow does not fill a task.
+    """
+
+    @F.arrow_udf("array<float>")
+    def resize(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         fit = _resizer(size, method)
-        rows = [
-            None if d is None else fit(_rgb_planes(h, w, c, d)).reshape(-1)
-            for h, w, c, d in zip(*(a.to_pylist() for a in (height, width, channels, data)))
-        ]
-        return pa.array(rows, type=pa.list_(pa.float64()))
+        rows = max(1, MAX_PIXELS // (3 * size * size))
+        for batch in batches:
+            for first in range(0, len(batch[0]), rows):
+                yield resize_some(fit, *(a.slice(first, rows).to_pylist() for a in batch))
+
+    def resize_some(fit: Callable, heights: list, widths: list, channels: list, data: list) -> pa.Array:
+        groups: dict[tuple, list[int]] = {}
+        for i, shape in enumerate(zip(heights, widths, channels)):
+            if data[i] is not None:
+                groups.setdefault(shape, []).append(i)
+        out = np.zeros((len(data), 3 * size * size), np.float32)
+        for (h, w, c), own in groups.items():
+            together = max(1, MAX_PIXELS // (3 * max(h, size) * max(w, size)))
+            for at in (own[i : i + together] for i in range(0, len(own), together)):
+                planes = _rgb_planes([data[i] for i in at], h, w, c).reshape(-1, h, w)
+                out[at] = fit(planes).reshape(len(at), -1)
+        present = np.array([d is not None for d in data])
+        return to_lists(out[present], present, pa.float32())
 
     fields = [F.col(f"{image}.{f}") for f in ("height", "width", "nChannels", "data")]
     return df.withColumn(name, resize(*fields))

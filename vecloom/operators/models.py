@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecloom.functions.arrow import tensor_lists
 from vecloom.functions.text import MAX_LENGTH, hash_embed, tokenize_pad
 from vecloom.operators.sampling import VelocityField
 from vecloom.operators.stats import moment_states, whole_moments
@@ -33,7 +34,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructTy
 
 
 def _model(make_predict_fn: Callable, batch_size: int, **shapes):
-    """A user's model as a function of columns, run once for a row like ``vector_udf``."""
+    """A user's model as a function of columns, run once for a row."""
     vector = T.ArrayType(T.FloatType())
     udf = predict_batch_udf(make_predict_fn, return_type=vector, batch_size=batch_size, **shapes)
     return udf.asNondeterministic()
@@ -50,8 +51,9 @@ def embed_text(
 ) -> DataFrame:
     """Add a text vector and ``mask``.
 
-    ``make_predict_fn`` loads a user's model once in each Python worker. Without
-    one the vector holds signed counts of hashed tokens.
+    ``make_predict_fn`` loads a user's model once in each Python worker; the mask is that
+    of the default tokens. For a model with tokens of its own see ``embed_tokens``.
+    Without a model the vector holds signed counts of hashed tokens.
     """
     tokens = df.withColumn("_tokens", tokenize_pad(col, max_length))
     if make_predict_fn is None:
@@ -61,6 +63,44 @@ def embed_text(
     return tokens.withColumn(name, vector).withColumn("mask", F.col("_tokens.mask")).drop("_tokens")
 
 
+def embed_tokens(
+    df: DataFrame,
+    col: str,
+    make_predict_fn: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]],
+    batch_size: int = MODEL_BATCH,
+    name: str = "embeds",
+    mask: str = "mask",
+) -> DataFrame:
+    """Add the vectors of a text's tokens and the mask, both as the model's own tokenizer has them.
+
+    ``make_predict_fn`` loads the model once in a task; called with texts it gives
+    vectors (texts x tokens x dim) and the mask (texts x tokens). The number of tokens
+    may differ between calls. A null text has neither. ``batch_size`` texts go to the
+    model at once, and their vectors leave the task before the next ones are made.
+    """
+    kind = f"struct<{name}: array<array<float>>, {mask}: array<int>>"
+
+    @F.arrow_udf(kind)
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        predict = make_predict_fn()
+        for batch in batches:
+            for first in range(0, len(batch), batch_size):
+                texts = batch.slice(first, batch_size)
+                given = [t for t in texts.to_pylist() if t is not None]
+                vectors, masks = predict(given) if given else (np.zeros((0, 0, 0)), np.zeros((0, 0)))
+                if len(vectors) != len(given) or vectors.shape[:2] != masks.shape:
+                    raise ValueError(f"{len(given)} texts gave vectors {vectors.shape} and a mask {masks.shape}")
+                there, spread, masked = np.asarray(texts.is_valid()), iter(vectors), iter(masks)
+                lists = [
+                    tensor_lists([next(spread) if t else None for t in there], 2, pa.float32()),
+                    tensor_lists([next(masked) if t else None for t in there], 1, pa.int32()),
+                ]
+                yield pa.StructArray.from_arrays(lists, [name, mask])
+
+    embedded = df.withColumn("_embedded", embed.asNondeterministic()(F.col(col)))
+    return embedded.withColumn(name, F.col(f"_embedded.{name}")).withColumn(mask, F.col(f"_embedded.{mask}")).drop("_embedded")
+
+
 def embed_images(
     df: DataFrame,
     col: str,

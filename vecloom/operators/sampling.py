@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrays import doubles
-from vecloom.functions.arrow import list_offsets, scatter, to_lists, to_matrix, vector_udf
+from vecloom.functions.arrow import list_offsets, scatter, to_lists, to_matrix, user_udf
 from vecloom.functions.draws import counter, normals, sample_time
 
 # Inference steps, and steps between two snapshots.
@@ -39,7 +39,7 @@ def velocity_at(
 ) -> Column:
     """A velocity field applied to a column of states, each at its own time."""
 
-    @vector_udf("array<double>")
+    @user_udf("array<double>")
     def velocity(times: pa.Array, *columns: pa.Array) -> pa.Array:
         present = _rows_with_all([times, *columns])
         if not present.any():
@@ -88,7 +88,7 @@ def euler_sample(
 ) -> Column:
     """``z`` after ``n`` Euler steps. ``v_fn`` works on a whole Arrow batch of vectors."""
 
-    @vector_udf("array<double>")
+    @user_udf("array<double>")
     def sample(*columns: pa.Array) -> pa.Array:
         present = _rows_with_all(columns)
         if not present.any():
@@ -112,7 +112,7 @@ def euler_snapshots(
     """One row per sample and snapshot: the state after every ``every`` steps and after the last."""
     kept = [i for i in range(n) if (i + 1) % every == 0 or i == n - 1]
 
-    @vector_udf("array<array<double>>")
+    @user_udf("array<array<double>>")
     def history(*columns: pa.Array) -> pa.Array:
         present = _rows_with_all(columns)
         if not present.any():

@@ -26,7 +26,7 @@ from vecloom.plans.reads import MANIFEST_SQL, manifest
 from vecloom.plans.score import draw
 from vecloom.plans.vectors import DIM, D, E, drawn, towards
 from vecloom.scratch import fresh_path
-from vecloom.streaming import stream_prepare, stream_shards
+from vecloom.streaming import scan_indexed, stream_indexed, stream_prepare, stream_shards
 
 
 @query(
@@ -235,3 +235,19 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _through(spark, _stream(spark, sf_dir, "embeddings"), transform)
     return rows.withColumn("loss", r6(F.col("loss")))
+
+
+@query(
+    "stream_indexed",
+    """select doc_id, idx, lpad(idx::VARCHAR, 8, '0') AS key, idx//200 shard from (
+  select doc_id, row_number() over (order by lang, doc_id) - 1 idx from documents where n_chars > 100)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sink, checkpoint = fresh_path(spark, "indexed"), fresh_path(spark, "indexed-checkpoint")
+    stream = _stream(spark, sf_dir, "documents")
+
+    def transform(df: DataFrame) -> DataFrame:
+        return df.filter("n_chars > 100").select("lang", "doc_id")
+
+    stream_indexed(stream, transform, ["lang", "doc_id"], sink, checkpoint, 200).awaitTermination()
+    return scan_indexed(spark, sink).select("doc_id", "idx", "key", F.col("shard").cast("bigint").alias("shard"))

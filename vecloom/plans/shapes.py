@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import (
     clamp,
     concat_mask,
     layout,
+    once,
     quantize_f16,
     scale_latents,
     scale_pixels,
@@ -68,7 +69,7 @@ from (select vec_id, i, x, power(2.0::DOUBLE, greatest(floor(log2(nullif(abs(x),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.posexplode(quantize_f16("embedding")).alias("at", "h")
+        "vec_id", F.posexplode(once(quantize_f16("embedding"))).alias("at", "h")
     )
     value = F.round(F.col("h").cast("double"), 9) + F.lit(0.0)
     return rows.select("vec_id", (F.col("at") + 1).cast("bigint").alias("i"), value.alias("x"))
@@ -91,9 +92,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # One embedding is a gray image of 8 x 8; shrinking it to 4 x 4 widens the kernel to 6 pixels.
-@query(
-    "prepare_images",
-    f"""with w as (select o, s, wt/sum(wt) over (partition by o) wt from (
+RESIZED_SQL = f"""w as (select o, s, wt/sum(wt) over (partition by o) wt from (
   select o, s, case when s+0.5 = c then 1.0::DOUBLE
     when abs(s+0.5-c)/2 >= 3 then 0
     else sin(pi()*(s+0.5-c)/2)/(pi()*(s+0.5-c)/2) * sin(pi()*(s+0.5-c)/6)/(pi()*(s+0.5-c)/6) end wt
@@ -101,21 +100,29 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
   where s >= greatest(floor(c-6+0.5), 0) and s < least(floor(c+6+0.5), 8))),
 p as (select vec_id, (i-1)//8 y, (i-1)%8 x, floor((x+1)*127)::DOUBLE v from ({E})),
 h as (select vec_id, y, o x, floor(least(greatest(sum(v*wt), 0), 255)+0.5) v from p join w on w.s = p.x group by all),
-q as (select vec_id, o y, x, floor(least(greatest(sum(v*wt), 0), 255)+0.5) v from h join w on w.s = h.y group by all)
-select vec_id, (plane*16+y*4+x)::BIGINT AS pixel, v from q, range(3) c(plane)""",
-)
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    byte = F.transform(doubles("embedding"), lambda x: F.lpad(F.hex(F.floor((x + 1) * 127)), 2, "0"))
-    image = F.struct(
+q as (select vec_id, o y, x, floor(least(greatest(sum(v*wt), 0), 255)+0.5) v from h join w on w.s = h.y group by all)"""
+
+
+def gray_image(embedding: str) -> Column:
+    """An embedding as an image of 8 x 8, as Spark's image source delivers it."""
+    byte = F.transform(doubles(embedding), lambda x: F.lpad(F.hex(F.floor((x + 1) * 127)), 2, "0"))
+    return F.struct(
         F.lit(8).alias("height"),
         F.lit(8).alias("width"),
         F.lit(1).alias("nChannels"),
         F.unhex(F.array_join(byte, "")).alias("data"),
     )
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", image.alias("image"))
+
+
+@query(
+    "prepare_images",
+    f"with {RESIZED_SQL} select vec_id, (plane*16+y*4+x)::BIGINT AS pixel, v from q, range(3) c(plane)",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", gray_image("embedding").alias("image"))
     planes = prepare_images(rows, size=4)
-    pixels = planes.select("vec_id", F.posexplode("pixels").alias("at", "v"))
-    return pixels.select("vec_id", F.col("at").cast("bigint").alias("pixel"), "v")
+    pixels = planes.select("vec_id", F.posexplode(once("pixels")).alias("at", "v"))
+    return pixels.select("vec_id", F.col("at").cast("bigint").alias("pixel"), F.col("v").cast("double").alias("v"))
 
 
 @query(

@@ -20,6 +20,7 @@ from vecloom.functions import (
     velocity_mse,
 )
 from vecloom.functions.arrays import doubles
+from vecloom.functions.arrow import once
 from vecloom.operators import (
     clip_norm,
     embed_images,
@@ -45,7 +46,7 @@ def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_by_one(df: DataFrame, *cols: str, keep: tuple[str, ...] = ("vec_id",)) -> DataFrame:
     """Arrays side by side, one row per element; ``i`` counts from 1."""
-    rows = df.select(*keep, F.posexplode(F.arrays_zip(*cols)).alias("at", "s"))
+    rows = df.select(*keep, F.posexplode(once(F.arrays_zip(*cols))).alias("at", "s"))
     return rows.select(
         *keep, (F.col("at") + 1).cast("bigint").alias("i"), *[r6(F.col(f"s.{c}").cast("double")).alias(c) for c in cols]
     )
@@ -205,7 +206,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = np.sin(np.arange(8 * DIM, dtype=np.float64)).reshape(8, DIM)
     bias, position = np.cos(np.arange(8.0)), np.arange(8) / 100.0
     projected = linear_project("embedding", weight, bias, position)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(projected).alias("at", "v"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(once(projected)).alias("at", "v"))
     return rows.select("vec_id", F.col("at").cast("bigint").alias("output"), r6(F.col("v")).alias("y"))
 
 
@@ -256,7 +257,7 @@ group by all having v <> 0""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embed_text(table(spark, sf_dir, "conversations"), "text", dim=32)
-    long = rows.select("conv_id", "turn", F.posexplode("embeds").alias("at", "v"))
+    long = rows.select("conv_id", "turn", F.posexplode(once("embeds")).alias("at", "v"))
     return long.filter("v <> 0").select(
         "conv_id", "turn", F.col("at").cast("bigint").alias("bucket"), F.col("v").cast("double").alias("v")
     )

@@ -1,6 +1,6 @@
 """Sources and sinks."""
 
-from vecloom.sources.metrics import list_manifest, log_metrics
+from vecloom.sources.metrics import list_files, list_manifest, log_metrics
 from vecloom.sources.pairs import lookup_rows, read_pairs
 from vecloom.sources.shards import (
     expand_braces,
@@ -13,6 +13,8 @@ from vecloom.sources.tars import (
     TarShards,
     decode_fields,
     encode_npy,
+    index_members,
+    read_members,
     register_tars,
     tar_sink,
     tar_source,
@@ -24,9 +26,12 @@ __all__ = [
     "encode_npy",
     "expand_braces",
     "expand_shards",
+    "index_members",
+    "list_files",
     "list_manifest",
     "log_metrics",
     "lookup_rows",
+    "read_members",
     "read_pairs",
     "register_tars",
     "scan_eval_shard",

@@ -18,7 +18,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 def lookup_rows(df: DataFrame, idx_col: str, ids: Iterable[int] | DataFrame) -> DataFrame:
     """Rows by position. A short list is pushed into the scan; a table is semi-joined."""
     if isinstance(ids, DataFrame):
-        wanted = ids.select(F.col(ids.columns[0]).alias(idx_col)).distinct()
+        wanted = ids.select(F.col(ids.columns[0]).alias(idx_col))
         return df.join(wanted, idx_col, "left_semi")
     listed = list(ids)
     if len(listed) > MAX_LISTED:

@@ -1,25 +1,27 @@
 """Tar shards: members whose names share a prefix make one sample.
 
-Each archive is read by one task, as its writer bounds its size. Files are opened
-through ``pyarrow.fs``, so paths may be URIs of a shared store.
+Each archive is read by one task, as its writer bounds its size; larger ones have a
+member index, by which many tasks read one. Files are opened through ``pyarrow.fs``, so paths may be URIs of a shared store.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import os
 import posixpath
 import re
 import tarfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from fnmatch import fnmatch
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,15 +34,23 @@ from pyspark.sql.datasource import (
 )
 
 from vecloom.functions.arrays import _col
-from vecloom.functions.arrow import vector_udf
+from vecloom.functions.arrow import tensor_lists, tensor_rows, vector_udf
 from vecloom.operators.feed import SAMPLES_PER_SHARD, assign_shard, sample_key
 from vecloom.sources.shards import expand_braces
 
 # Format name, archive name pattern, and row layout.
 FORMAT = "wdstar"
 ARCHIVE = "shard-{:06d}.tar"
+MARKER = "_archives.json"
 SCHEMA = "shard int, key string, fields map<string, binary>"
 
+# Members told at once, bytes of contents handed on at once, and of an archive read by one task.
+MEMBERS_AT_ONCE = 10_000
+MEMBER_BYTES = 32 << 20
+BYTES_PER_TASK = 128 << 20
+# Old archives taken away at once.
+DELETES = 16
+
 
 def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and inner path; Spark's ``file:`` and ``s3a:`` are told by other names here."""
@@ -49,9 +59,39 @@ def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
+def _marked(files: pafs.FileSystem, folder: str) -> set[str] | None:
+    """Names of the archives in a folder that count, None if it has no marker."""
+    marker = posixpath.join(folder, MARKER)
+    if files.get_file_info(marker).type != pafs.FileType.File:
+        return None
+    with files.open_input_stream(marker) as stream:
+        return set(json.loads(stream.read())["archives"])
+
+
+def _mark(files: pafs.FileSystem, folder: str, names: set[str]) -> None:
+    """Say which archives count: one small file, put in place whole."""
+    marker = posixpath.join(folder, MARKER)
+    fresh = f"{marker}.{uuid.uuid4().hex}"
+    with files.open_output_stream(fresh) as stream:
+        stream.write(json.dumps({"archives": sorted(names)}).encode())
+    files.move(fresh, marker)
+
+
 def _archives(path: str) -> list[str]:
-    """Archives a folder, a glob or a brace range stands for."""
+    """Archives a folder, a glob or a brace range stands for.
+
+    In a folder with a marker only those it lists are there: what a writer left before
+    it committed is not read.
+    """
     found = []
+    known: dict[tuple[str, str], set[str] | None] = {}
+
+    def counted(files: pafs.FileSystem, folder: str) -> set[str] | None:
+        place = (files.type_name, folder)
+        if place not in known:
+            known[place] = _marked(files, folder)
+        return known[place]
+
     for one in expand_braces(path):
         files, inner = _open_fs(one)
         name = posixpath.basename(inner)
@@ -60,15 +100,51 @@ def _archives(path: str) -> list[str]:
         elif files.get_file_info(inner).type == pafs.FileType.Directory:
             folder, pattern = inner, "*.tar"
         else:
+            names = counted(files, posixpath.dirname(inner))
+            if names is not None and name not in names:
+                raise FileNotFoundError(f"{one} is not among the archives that count in its folder")
             found.append(one)
             continue
+        names = counted(files, folder)
         store = one.removesuffix(inner) if "://" in one else ""
         for info in files.get_file_info(pafs.FileSelector(folder)):
-            if info.type == pafs.FileType.File and fnmatch(info.base_name, pattern):
+            counts = names is None or info.base_name in names
+            if info.type == pafs.FileType.File and fnmatch(info.base_name, pattern) and counts:
                 found.append(store + info.path)
     return sorted(found)
 
 
+def shard_number(path: str) -> int | None:
+    number = re.search(r"(\d+)\.tar$", path)
+    return int(number.group(1)) if number else None
+
+
+def _samples(path: str, with_content: bool) -> Iterator[tuple[str, list[tuple[str, bytes | None, int, int]]]]:
+    """Each sample's key and members: extension, content, and where the content begins and how long it is."""
+    files, inner = _open_fs(path)
+    # Contents that nobody asks for are sought past.
+    opened = files.open_input_stream(inner, buffer_size=1 << 20) if with_content else files.open_input_file(inner)
+    with opened as stream, tarfile.open(fileobj=stream, mode="r|" if with_content else "r:") as tar:
+        key, members = None, []
+        for member in tar:
+            tar.members = []
+            folder, _, name = member.name.rpartition("/")
+            stem, dot, extension = name.partition(".")
+            if not member.isfile() or not stem or not dot:
+                continue
+            prefix = f"{folder}/{stem}" if folder else stem
+            if prefix != key:
+                if members:
+                    yield key, members
+                key, members = prefix, []
+            if any(extension.lower() == e for e, _, _, _ in members):
+                raise ValueError(f"{path}: {member.name} stands twice in sample {prefix}")
+            content = tar.extractfile(member).read() if with_content else None
+            members.append((extension.lower(), content, member.offset_data, member.size))
+        if members:
+            yield key, members
+
+
 @dataclass
 class Archive(InputPartition):
     path: str
@@ -81,62 +157,65 @@ class TarReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [Archive(p) for p in _archives(self.path)]
 
-    def read(self, partition: Archive) -> Iterator[tuple]:
-        number = re.search(r"(\d+)\.tar$", partition.path)
-        shard = int(number.group(1)) if number else None
-        files, inner = _open_fs(partition.path)
-        with files.open_input_stream(inner, buffer_size=1 << 20) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
-            key, fields = None, {}
-            for member in tar:
-                tar.members = []
-                folder, _, name = member.name.rpartition("/")
-                stem, dot, extension = name.partition(".")
-                if not member.isfile() or not stem or not dot:
-                    continue
-                prefix = f"{folder}/{stem}" if folder else stem
-                if prefix != key:
-                    if fields:
-                        yield shard, key, fields
-                    key, fields = prefix, {}
-                if extension.lower() in fields:
-                    raise ValueError(f"{partition.path}: {member.name} stands twice in sample {prefix}")
-                fields[extension.lower()] = tar.extractfile(member).read()
-            if fields:
-                yield shard, key, fields
+    def read(self, partition: Archive | None) -> Iterator[tuple]:
+        # Spark asks for one part where there is none.
+        if partition is None:
+            return
+        shard = shard_number(partition.path)
+        for key, members in _samples(partition.path, with_content=True):
+            yield shard, key, {extension: content for extension, content, _, _ in members}
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    renames: list[tuple[str, str]]
+    names: list[str]
 
 
 class TarWriter(DataSourceArrowWriter):
-    """Tasks write under temporary names; the commit gives finished archives their own."""
+    """Tasks give finished archives their own names; the commit lists what counts in a marker.
+
+    The folder has a marker before the first task starts, so a write that stops leaves
+    nothing that is read. An archive is moved into place by the task that wrote it, as
+    soon as it is whole; the driver writes one small file. One write at a time may go to
+    a folder. Appending never touches an archive that counts.
+    """
 
     def __init__(self, path: str, overwrite: bool):
         self.path = path
         self.overwrite = overwrite
+        files, folder = _open_fs(path)
+        files.create_dir(folder, recursive=True)
+        marked = _marked(files, folder)
+        infos = files.get_file_info(pafs.FileSelector(folder))
+        self.present = {i.base_name for i in infos if i.type == pafs.FileType.File and i.base_name.endswith(".tar")}
+        self.kept: set[str] = set() if overwrite else self.present if marked is None else marked
+        _mark(files, folder, self.kept)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, folder = _open_fs(self.path)
-        files.create_dir(folder, recursive=True)
-        renames: list[tuple[str, str]] = []
-        current, stream, tar = None, None, None
+        names: list[str] = []
+        current, fresh, stream, tar = None, None, None, None
+
+        def finish() -> None:
+            tar.close()
+            stream.close()
+            files.move(fresh, posixpath.join(folder, names[-1]))
+
         try:
             for batch in iterator:
                 columns = [batch.column(name).to_pylist() for name in ("shard", "key", "fields")]
                 for shard, key, fields in zip(*columns):
                     if tar is None or shard != current:
                         if tar is not None:
-                            tar.close()
-                            stream.close()
-                        current = shard
-                        final = posixpath.join(folder, ARCHIVE.format(shard))
-                        if any(final == done for _, done in renames):
+                            finish()
+                        current, name = shard, ARCHIVE.format(shard)
+                        if name in names:
                             raise ValueError(f"rows of shard {shard} do not follow each other")
-                        temporary = posixpath.join(folder, f".{uuid.uuid4().hex}.part")
-                        renames.append((temporary, final))
-                        stream = files.open_output_stream(temporary, buffer_size=1 << 20)
+                        if name in self.kept:
+                            raise ValueError(f"{name} is there already; use mode overwrite")
+                        names.append(name)
+                        fresh = posixpath.join(folder, f".{uuid.uuid4().hex}.part")
+                        stream = files.open_output_stream(fresh, buffer_size=1 << 20)
                         tar = tarfile.open(fileobj=stream, mode="w|")
                     for extension, content in sorted(fields):
                         info = tarfile.TarInfo(f"{key}.{extension}")
@@ -144,41 +223,32 @@ class TarWriter(DataSourceArrowWriter):
                         tar.addfile(info, io.BytesIO(content))
                         tar.members = []
             if tar is not None:
-                tar.close()
-                stream.close()
+                finish()
         except BaseException:
             if stream is not None:
                 stream.close()
-            self.abort([Written(renames)])
+                if files.get_file_info(fresh).type == pafs.FileType.File:
+                    files.delete_file(fresh)
             raise
-        return Written(renames)
+        return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
-        files, folder = _open_fs(self.path)
-        renames = [pair for m in messages if m is not None for pair in m.renames]
-        finals = {final for _, final in renames}
-        if len(finals) < len(renames):
-            self.abort(messages)
+        names = [name for m in messages if m is not None for name in m.names]
+        if len(set(names)) < len(names):
             raise ValueError("two tasks wrote the same shard; repartition by shard first")
-        present = {
-            i.path
-            for i in files.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
-            if i.path.endswith(".tar")
-        }
-        if not self.overwrite and present & finals:
-            self.abort(messages)
-            raise ValueError("some shards are there already; use mode overwrite")
-        for temporary, final in renames:
-            files.move(temporary, final)
-        if self.overwrite:
-            for stale in present - finals:
-                files.delete_file(stale)
+        files, folder = _open_fs(self.path)
+        _mark(files, folder, self.kept | set(names))
+        # What no longer counts is not read; taking it away only frees space.
+        stale = self.present - self.kept - set(names)
+        with ThreadPoolExecutor(DELETES) as pool:
+            list(pool.map(lambda name: files.delete_file(posixpath.join(folder, name)), stale))
 
     def abort(self, messages: list[Written | None]) -> None:
-        files, _ = _open_fs(self.path)
-        for temporary in [t for m in messages if m is not None for t, _ in m.renames]:
-            if files.get_file_info(temporary).type == pafs.FileType.File:
-                files.delete_file(temporary)
+        files, folder = _open_fs(self.path)
+        for name in {name for m in messages if m is not None for name in m.names} - self.kept:
+            place = posixpath.join(folder, name)
+            if files.get_file_info(place).type == pafs.FileType.File:
+                files.delete_file(place)
 
 
 class TarShards(DataSource):
@@ -238,18 +308,17 @@ def _npy_start(shape: tuple[int, ...], dtype: str) -> bytes:
     return buffer.getvalue()[: buffer.tell() - np.dtype(dtype).itemsize * int(np.prod(shape))]
 
 
-def encode_npy(col: Column | str, dtype: str = "float16") -> Column:
-    """A flat array column as ``.npy`` bytes."""
+def encode_npy(col: Column | str, dtype: str = "float16", depth: int = 1) -> Column:
+    """An array column as ``.npy`` bytes; ``depth`` is the number of axes, and the shape stays."""
 
     @vector_udf("binary")
     def encode(rows: pa.Array) -> pa.Array:
-        values = rows.flatten().to_numpy(zero_copy_only=False).astype(dtype)
-        lengths = np.asarray(pc.fill_null(pc.list_value_length(rows), 0))
-        ends = np.cumsum(lengths)
-        start = lru_cache(lambda n: _npy_start((n,), dtype))
+        flat, found = tensor_rows(rows)
+        values = flat.astype(dtype)
+        start = lru_cache(lambda shape: _npy_start(shape, dtype))
         out = [
-            start(int(n)) + values[end - n : end].tobytes() if present else None
-            for present, n, end in zip(np.asarray(rows.is_valid()), lengths, ends)
+            None if row is None else start(row[1]) + values[row[0] : row[0] + int(np.prod(row[1]))].tobytes()
+            for row in found
         ]
         return pa.array(out, type=pa.binary())
 
@@ -275,28 +344,29 @@ def _load_npy(content: bytes, layout_of: Callable) -> np.ndarray:
 
 
 def _decode_npy(col: Column, kind: str) -> Column:
+    """Arrays as lists of ``kind``'s depth; axes beyond it are laid out in the last."""
     value_type = {"float": pa.float32(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
-    element = kind.removeprefix("array<").removesuffix(">")
-    nested = element.startswith("array<")
-    scalar = value_type[element.removeprefix("array<").removesuffix(">")]
-    out_type = pa.list_(pa.list_(scalar)) if nested else pa.list_(scalar)
+    depth = kind.count("array<")
+    scalar = value_type[kind.replace("array<", "").rstrip(">")]
+
+    def shaped(content: bytes, layout_of: Callable) -> np.ndarray:
+        array = _load_npy(content, layout_of).astype(scalar.to_pandas_dtype(), copy=False)
+        if array.ndim < depth and depth > 1:
+            raise ValueError(f"an array of {array.ndim} axes is no {kind}")
+        last = int(np.prod(array.shape[depth - 1 :]))
+        return array.reshape(*array.shape[: depth - 1], last)
 
     @vector_udf(kind)
     def decode(rows: pa.Array) -> pa.Array:
-        out, layout_of = [], lru_cache(_npy_layout)
-        for content in rows.to_pylist():
-            if content is None:
-                out.append(None)
-                continue
-            array = _load_npy(content, layout_of).astype(scalar.to_pandas_dtype())
-            out.append(list(array.reshape(array.shape[0], -1)) if nested else array.reshape(-1))
-        return pa.array(out, type=out_type)
+        layout_of = lru_cache(_npy_layout)
+        arrays = [None if content is None else shaped(content, layout_of) for content in rows.to_pylist()]
+        return tensor_lists(arrays, depth, scalar)
 
     return decode(col)
 
 
 def decode_fields(df: DataFrame, spec: Mapping[str, tuple[str, str]], fields: str = "fields") -> DataFrame:
-    """Add typed columns: ``{"latents": ("latents.npy", "array<float>")}``.
+    """Add typed columns: ``{"latents": ("latents.npy", "array<float>")}``, of any depth for ``.npy``.
 
     The last part of a member's extension says how to read it: npy, json and txt
     (text), cls (a whole number). Pickles can run code and are refused.
@@ -313,3 +383,81 @@ def decode_fields(df: DataFrame, spec: Mapping[str, tuple[str, str]], fields: st
             raise ValueError(f"members of type .{last} are not decoded")
         out = out.withColumn(name, column)
     return out
+
+
+MEMBERS = "path string, shard int, key string, first bigint, extension string, offset bigint, length bigint"
+
+
+def index_members(spark: SparkSession, path: str) -> DataFrame:
+    """Where each member of the archives of ``path`` lies: path, shard, key, extension, offset, length.
+
+    ``first`` is the offset of the sample's first member and tells its samples apart. A task goes over the headers of an archive and skips the contents. Kept as a table,
+    the index lets many tasks read one large archive, or find samples by key.
+    """
+    archives = _archives(path)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive in batch.column(0).to_pylist():
+                found = (
+                    (archive, shard_number(archive), key, members[0][2], extension, offset, length)
+                    for key, members in _samples(archive, with_content=False)
+                    for extension, _, offset, length in members
+                )
+                while some := list(islice(found, MEMBERS_AT_ONCE)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds)], names)
+
+    names = ["path", "shard", "key", "first", "extension", "offset", "length"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    rows = spark.createDataFrame([(a,) for a in archives], "path string")
+    return rows.repartition(max(len(archives), 1), "path").mapInArrow(walk, MEMBERS)
+
+
+def read_members(members: DataFrame, bytes_per_task: int = BYTES_PER_TASK) -> DataFrame:
+    """Samples (shard, key, fields) of rows of a member index, by range reads.
+
+    Members are dealt by stretches of ``bytes_per_task`` of their archive, so a large
+    archive is read by several tasks; a task reads its members in the order of their
+    place. A sample stays together: its stretch is that of its first member. Rows may be
+    filtered beforehand, by key or by extension; the rest of an archive is not read.
+    """
+    names = [c.split()[0] for c in MEMBERS.split(", ")]
+    # A fixed number of partitions: the index is small, what it points to is not.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select(*names).repartition(tasks, "path", F.floor(F.col("first") / bytes_per_task))
+    ordered = dealt.sortWithinPartitions("path", "first", "offset")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, pa.NativeFile] = {}
+        current, shard, fields, size = None, None, [], 0
+        done: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.string(), pa.map_(pa.string(), pa.binary())))]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, ["shard", "key", "fields"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["path"] not in opened:
+                    for file in opened.values():
+                        file.close()
+                    files, inner = _open_fs(row["path"])
+                    opened = {row["path"]: files.open_input_file(inner)}
+                if current != (row["path"], row["first"], row["key"]):
+                    if current is not None:
+                        done.append((shard, current[2], fields))
+                        if size > MEMBER_BYTES:
+                            yield flush()
+                            size = 0
+                    current, shard, fields = (row["path"], row["first"], row["key"]), row["shard"], []
+                content = opened[row["path"]].read_at(row["length"], row["offset"])
+                size += len(content)
+                fields.append((row["extension"], content))
+        if current is not None:
+            done.append((shard, current[2], fields))
+            yield flush()
+        for file in opened.values():
+            file.close()
+
+    return ordered.mapInArrow(fetch, SCHEMA)

@@ -1,5 +1,5 @@
 """Shards that arrive over time."""
 
-from vecloom.streaming.shards import stream_prepare, stream_shards
+from vecloom.streaming.shards import scan_indexed, stream_indexed, stream_prepare, stream_shards
 
-__all__ = ["stream_prepare", "stream_shards"]
+__all__ = ["scan_indexed", "stream_indexed", "stream_prepare", "stream_shards"]
