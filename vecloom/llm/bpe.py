@@ -24,12 +24,12 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.functions.arrow import vector_udf
 from vecloom.llm.frames import Numbered, mixed
 from vecloom.llm.registry import query
 from vecloom.llm.tokens import NOT_SIMPLE, SIMPLE
@@ -44,7 +44,10 @@ TRIES = 256
 PIECES = 1 << 16
 REMEMBERED = 500_000
 # Pre-tokens whose ids are looked up together.
-WAITING = 1 << 19
+WAITING = 1 << 17
+# Bytes of text, and rows of ids, that leave a task together.
+PART_BYTES = 4 << 20
+ROWS_AT_ONCE = 512
 # Longer texts are not cut into pre-tokens in one go.
 LONG = 1 << 20
 
@@ -115,8 +118,7 @@ class Vocabulary:
         self.tokens = list(ranks)
         self.ids = np.fromiter(ranks.values(), np.int64, len(ranks))
         self.places = PerfectHash(self.tokens)
-        self.pairs = {(a, b): ranks.get(bytes((a, b))) for a in range(256) for b in range(256)}
-        self.by_id = {i: t for t, i in ranks.items()}
+        self.pairs = [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
 
     def whole(self, pieces: list[bytes]) -> np.ndarray:
         """Ids of the pieces that are tokens, -1 for the others."""
@@ -133,7 +135,7 @@ class Vocabulary:
         # An entry is one number: rank, start, end.
         width = n + 1
         square = width * width
-        heap = [r * square + i * width + i + 2 for i, r in enumerate(map(pairs.__getitem__, zip(piece, piece[1:]))) if r is not None]
+        heap = [r * square + i * width + i + 2 for i in range(n - 1) if (r := pairs[piece[i] << 8 | piece[i + 1]]) is not None]
         heapify(heap)
         while heap:
             i, end = divmod(heappop(heap) % square, width)
@@ -158,9 +160,6 @@ class Vocabulary:
             i = end
         return out
 
-    def text(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.by_id.__getitem__, ids.tolist()))
-
 
 @lru_cache(maxsize=4)
 def vocabulary(name: str = VOCABULARY) -> Vocabulary:
@@ -242,6 +241,16 @@ class Encoder:
         return [b"".join(parts) for parts in out]
 
 
+def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PART_BYTES`` of text, one text at least."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
+    part = (np.cumsum(lengths) - lengths) // PART_BYTES
+    starts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(lengths)]
+    for a, b in zip(starts, starts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def encoded(docs: DataFrame, keep: list[str], text: str = "text", ids: str = "ids", name: str = VOCABULARY) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``ids``: 32-bit little-endian numbers, in the text's order."""
     vocab = vocabulary(name)
@@ -251,8 +260,9 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", ids: str = "id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Encoder(vocab)
         for batch in batches:
-            found = pa.array(one(batch.column(len(keep)).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "ids"])
+            for some in _parts(batch, len(keep)):
+                found = pa.array(one(some.column(len(keep)).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], found], names=[*some.schema.names[:-1], "ids"])
 
     kinds = [f"k{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(keep))]
     out = inner.mapInArrow(encode, ", ".join([*kinds, "ids binary"]))
@@ -261,15 +271,19 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", ids: str = "id
 
 def decoded(ids: Column | str, name: str = VOCABULARY) -> Column:
     """The bytes that packed ids stand for. An id outside the vocabulary is an error."""
-    vocab = vocabulary(name)
+    tokens = {i: t for t, i in vocabulary(name).ranks.items()}
 
-    @vector_udf("binary")
-    def decode(packed: pa.Array) -> pa.Array:
+    @F.arrow_udf("binary")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def one(value: bytes) -> bytes:
             numbers = np.frombuffer(value, "<u4")
-            return b"".join(vocab.text(numbers[i : i + PIECES]) for i in range(0, len(numbers), PIECES))
+            some = (numbers[i : i + PIECES].tolist() for i in range(0, len(numbers), PIECES))
+            return b"".join(b"".join(map(tokens.__getitem__, part)) for part in some)
 
-        return pa.array([one(v.as_py()) if v.is_valid else None for v in packed], pa.binary())
+        for batch in batches:
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                some = batch.slice(first, ROWS_AT_ONCE)
+                yield pa.array([one(v.as_py()) if v.is_valid else None for v in some], pa.binary())
 
     return decode(F.col(ids) if isinstance(ids, str) else ids)
 
