@@ -5,7 +5,9 @@ the plan is made from a histogram: large lengths are rounded up to the greatest
 their group, groups having equally many pieces; a linear program over configurations
 of these few sizes, its columns found by a knapsack, says how often to use each;
 actual pieces take the places, and what is left is put where it fits best, the
-longest first. The plan is a table of runs: pieces of a length, by rank, go to
+longest first. What rounding up wastes is won back by repairs: the least filled
+sequences are emptied, others swap pieces for longer ones of these, and the rest is
+filled in again. The plan is a table of runs: pieces of a length, by rank, go to
 consecutive sequences. Its size depends on the capacity, not on the corpus.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,9 @@ GROUPS = 128
 LARGE = CAPACITY // 8
 # The linear program ends within this share of its optimum.
 GAP = 0.002
+# Rounds of repair, and shares of the sequences that they empty in turn.
+REPAIRS = 48
+SHARES = (0.01, 0.03, 0.1, 0.3)
 # Pieces of one length and slice, ranked in one task.
 SLICE_ROWS = 50_000
 
@@ -99,41 +105,46 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return [(int(x + 1e-6), basis[:, i].astype(np.int64)) for i, x in enumerate(use) if x >= 1 - 1e-6]
 
 
+class Pool:
+    """Pieces that wait for a place: how many there are of each length."""
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.n = [0] * (capacity + 1)
+        self.sorted: list[int] = []
+        for length, count in counts.items():
+            self.add(length, count)
+
+    def add(self, length: int, count: int) -> None:
+        if count and not self.n[length]:
+            bisect.insort(self.sorted, length)
+        self.n[length] += count
+
+    def take(self, length: int, count: int) -> None:
+        self.n[length] -= count
+        if not self.n[length]:
+            del self.sorted[bisect.bisect_left(self.sorted, length)]
+
+    def longest(self, most: int) -> int:
+        """The longest piece of at most ``most``; 0 if there is none."""
+        at = bisect.bisect_right(self.sorted, most)
+        return self.sorted[at - 1] if at else 0
+
+
 class Plan:
-    """Runs of pieces in sequences, made from the number of pieces of each length."""
+    """Sequences by content, made from the number of pieces of each length."""
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: int = LARGE) -> None:
         self.capacity = capacity
-        self.runs: list[Run] = []
-        self.sequences = 0
-        self.taken = dict.fromkeys(counts, 0)
-        self.free: dict[int, list[tuple[int, int]]] = {}
-        self.rooms: list[int] = []
-        full = counts.get(capacity, 0)
-        if full:
-            self._put(capacity, full, self._open(full), 0)
-        left = {n: c for n, c in counts.items() if n < capacity and c}
-        self._group({n: c for n, c in left.items() if n > large}, groups)
-        for n in sorted(left, reverse=True):
-            self._best_fit(n, left[n] - self.taken[n])
-
-    def _open(self, count: int) -> int:
-        first = self.sequences
-        self.sequences += count
-        return first
-
-    def _put(self, length: int, count: int, sequence: int, offset: int) -> None:
-        self.runs.append((length, self.taken[length], count, sequence, offset))
-        self.taken[length] += count
-
-    def _release(self, room: int, sequence: int, count: int) -> None:
-        if room and count:
-            if room not in self.free:
-                bisect.insort(self.rooms, room)
-                self.free[room] = []
-            self.free[room].append((sequence, count))
-
-    def _group(self, counts: dict[int, int], groups: int) -> None:
+        self.counts = {n: c for n, c in counts.items() if c}
+        # How many sequences hold which lengths.
+        self.kinds: Counter[tuple[int, ...]] = Counter()
+        pool = Pool(self.counts, capacity)
+        self._group({n: c for n, c in self.counts.items() if large < n}, groups, pool)
+        self._fill(pool)
+        self._repair()
+        self.sequences = sum(self.kinds.values())
+
+    def _group(self, counts: dict[int, int], groups: int, pool: Pool) -> None:
         total = sum(counts.values())
         if not total:
             return
@@ -157,48 +168,146 @@ class Plan:
         sizes = np.array(sorted(by_size, reverse=True))
         demand = np.array([sum(c for _, c in by_size[int(s)]) for s in sizes], float)
         for times, column in configurations(sizes, demand, self.capacity):
-            spans = [(self._open(times), times, 0)]
+            spans: list[tuple[tuple[int, ...], int]] = [((), times)]
             for k in np.repeat(np.arange(len(sizes)), column):
                 queue = by_size[int(sizes[k])]
                 after = []
-                for sequence, count, used in spans:
+                for held, count in spans:
                     while count and queue:
-                        take = min(count, queue[0][1])
-                        self._put(queue[0][0], take, sequence, used)
-                        after.append((sequence, take, used + queue[0][0]))
+                        length, there = queue[0]
+                        take = min(count, there)
+                        pool.take(length, take)
+                        after.append(((*held, length), take))
                         queue[0][1] -= take
                         if not queue[0][1]:
                             queue.pop(0)
-                        sequence, count = sequence + take, count - take
+                        count -= take
                     if count:
-                        after.append((sequence, count, used))
+                        after.append((held, count))
                 spans = after
-            for sequence, count, used in spans:
-                self._release(self.capacity - used, sequence, count)
-
-    def _best_fit(self, length: int, count: int) -> None:
-        while count:
-            at = bisect.bisect_left(self.rooms, length)
-            if at == len(self.rooms):
+            for held, count in spans:
+                self._add(held, count)
+
+    def _add(self, held: tuple[int, ...], count: int) -> None:
+        if held and count:
+            self.kinds[tuple(sorted(held, reverse=True))] += count
+
+    def _fill(self, pool: Pool) -> None:
+        """Put all that waits where it fits best, the longest first; open sequences for what fits nowhere."""
+        open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+        for held, count in self.kinds.items():
+            open_.setdefault(self.capacity - sum(held), []).append((held, count))
+        rooms = sorted(open_)
+
+        def release(held: tuple[int, ...], count: int) -> None:
+            room = self.capacity - sum(held)
+            if room not in open_:
+                bisect.insort(rooms, room)
+                open_[room] = []
+            open_[room].append((held, count))
+
+        while length := pool.longest(self.capacity):
+            count = pool.n[length]
+            pool.take(length, count)
+            while count:
+                at = bisect.bisect_left(rooms, length)
+                if at == len(rooms):
+                    each = self.capacity // length
+                    if count >= each:
+                        release((length,) * each, count // each)
+                    if count % each:
+                        release((length,) * (count % each), 1)
+                    break
+                room = rooms[at]
+                held, n = open_[room].pop()
+                take = min(n, count)
+                release((*held, length), take)
+                if take < n:
+                    open_[room].append((held, n - take))
+                if not open_[room]:
+                    del open_[room]
+                    rooms.remove(room)
+                count -= take
+        self.kinds = Counter()
+        for found in open_.values():
+            for held, count in found:
+                self._add(held, count)
+
+    def _swap(self, pool: Pool) -> None:
+        """Give sequences longer pieces for shorter ones, as far as there is room: what waits gets shorter."""
+        found = sorted(self.kinds.items(), key=lambda kind: sum(kind[0]))
+        self.kinds = Counter()
+        while found:
+            held, count = found.pop()
+            room = self.capacity - sum(held)
+            gain, out, into = 0, 0, 0
+            for length in {0, *held} if room else ():
+                longer = pool.longest(length + room)
+                if longer - length > gain:
+                    gain, out, into = longer - length, length, longer
+            if not gain:
+                self._add(held, count)
+                continue
+            take = min(count, pool.n[into])
+            pool.take(into, take)
+            if out:
+                pool.add(out, take)
+            changed = list(held)
+            if out:
+                changed.remove(out)
+            found.append((tuple(sorted((*changed, into), reverse=True)), take))
+            if take < count:
+                found.append((held, count - take))
+
+    def _waste(self, kinds: Counter) -> tuple[int, int]:
+        """Sequences, and how evenly their room is spread: room in one place is worth more than a little everywhere."""
+        return sum(kinds.values()), -sum(count * (self.capacity - sum(held)) ** 2 for held, count in kinds.items())
+
+    def _repair(self) -> None:
+        """Empty sequences, swap what they held for shorter pieces elsewhere and fill again, and keep what is better.
+
+        Rounds empty growing shares, of those with most room or nearly so, and end at the
+        least possible number of sequences. The choice is seeded: equal counts give equal plans.
+        """
+        least = -(-sum(n * c for n, c in self.counts.items()) // self.capacity)
+        best, chance = self.kinds, np.random.default_rng(0)
+        for trial in range(REPAIRS):
+            if sum(best.values()) <= least:
                 break
-            room = self.rooms[at]
-            sequence, n = self.free[room].pop()
-            take = min(n, count)
-            self._put(length, take, sequence, self.capacity - room)
-            self._release(room - length, sequence, take)
-            if take < n:
-                self.free[room].append((sequence + take, n - take))
-            if not self.free[room]:
-                del self.free[room]
-                self.rooms.remove(room)
-            count -= take
-        each = self.capacity // length
-        for layers, opened in ((each, count // each), (count % each, 1)):
-            if layers and opened:
-                sequence = self._open(opened)
-                for i in range(layers):
-                    self._put(length, opened, sequence, i * length)
-                self._release(self.capacity - layers * length, sequence, opened)
+            share = SHARES[trial % len(SHARES)]
+            pool = Pool({}, self.capacity)
+            found = sorted(best)
+            blur = chance.random(len(found)) * (self.capacity * share * (trial % 2))
+            order = np.argsort([sum(held) for held in found] + blur, kind="stable")
+            emptied = max(2, int(share * sum(best.values())))
+            self.kinds = Counter(best)
+            for held in map(found.__getitem__, order.tolist()):
+                gone = min(best[held], emptied)
+                emptied -= gone
+                self.kinds[held] -= gone
+                for length in held if gone else ():
+                    pool.add(length, gone)
+            self.kinds = Counter({held: count for held, count in self.kinds.items() if count})
+            self._swap(pool)
+            self._fill(pool)
+            if self._waste(self.kinds) < self._waste(best):
+                best = self.kinds
+        self.kinds = best
+
+    @property
+    def runs(self) -> list[Run]:
+        """Pieces of a length, by rank, in consecutive sequences."""
+        out: list[Run] = []
+        taken = dict.fromkeys(self.counts, 0)
+        first = 0
+        for held, count in sorted(self.kinds.items()):
+            offset = 0
+            for length in held:
+                out.append((length, taken[length], count, first, offset))
+                taken[length] += count
+                offset += length
+            first += count
+        return out
 
 
 def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
