@@ -245,14 +245,25 @@ def brute_fingerprint(text: str) -> str:
         seen[h] += 1
         g = xxhash.xxh64_intdigest(number.to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)) & high
         chosen[g >> 58].append((g, place))
-    out = ["-" * 16] * 64
+    out = []
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    for b, items in chosen.items():
-        least = sorted(items, key=lambda x: signed(x[0] | x[1]))[:2]
-        acc = 42
-        for g, _ in sorted(least, key=lambda x: x[1]):
-            acc = xxhash.xxh64_intdigest(g.to_bytes(8, "little"), xxhash.xxh64_intdigest(acc.to_bytes(8, "little"), 42))
-        out[b] = f"{acc:016x}"
+    number = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+    every = sorted((item for items in chosen.values() for item in items), key=lambda x: signed(x[0] | x[1]))
+    for b in range(64):
+        if len(chosen[b]) >= 2:
+            least = sorted(chosen[b], key=lambda x: signed(x[0] | x[1]))[:2]
+            acc = 42
+            for g, _ in sorted(least, key=lambda x: x[1]):
+                acc = number(g, number(acc, 42))
+        else:
+            # The two least of all runs by a hash of the bin's own; a single run is its own pair.
+            own = sorted(signed(number(b, number(g, 42))) for g, _ in every)
+            first = lambda h: next(p for g, p in every if signed(number(b, number(g, 42))) == h)
+            pair = sorted({own[0], *[h for h in own if h != own[0]][:1]}, key=first)
+            acc = 42
+            for h in pair:
+                acc = number(wrap(h), acc)
+        out.append(f"{acc:016x}")
     return "".join(out)
 
 
@@ -309,8 +320,8 @@ def test_order_of_passages_matters_in_short_texts(spark):
             # A unit ends with its space, so the last word has one, too.
             rows.append((n, "".join(w + " " for w in words), "".join(w + " " for w in words[n // 2 :] + words[: n // 2])))
     marked = order_minhash.with_fingerprints(spark.createDataFrame(rows, "n int, x string, y string"), {"x": "fx", "y": "fy"})
-    found = marked.select("n", "fx_ordered", order_minhash.likeness("fx_ordered", "fy_ordered").alias("near")).collect()
-    assert all(len(r["fx_ordered"]) == 64 * 16 and "-" not in r["fx_ordered"] for r in found)
+    found = marked.select("n", "fx", order_minhash.likeness("fx", "fy").alias("near")).collect()
+    assert all(len(r["fx"]) == 64 * 16 for r in found)
     for n in sizes:
         near_ = [r["near"] for r in found if r["n"] == n]
         expected = [independent_likeness(x, y) for m, x, y in rows if m == n]
@@ -321,8 +332,20 @@ def test_likeness_of_short_rows_sees_their_order(documents):
     words = [f"w{i}" for i in range(30)]
     swapped = " ".join(words[15:] + words[:15])
     rows = order_minhash.fingerprints(documents([(1, " ".join(words)), (2, swapped), (3, "one")])).collect()
-    (first,) = [r for r in rows if r["doc_id"] == 1]
-    assert first["near_next"] < 0.65
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[1]["near_next"] < 0.65
+    # The likeness is that of the fingerprints returned.
+    for one, after in ((1, 2), (2, 3), (3, 1)):
+        cut = [[by_id[i]["fingerprint"][k : k + 16] for k in range(0, 1024, 16)] for i in (one, after)]
+        assert by_id[one]["near_next"] == sum(x == y for x, y in zip(*cut)) / 64
+
+
+def test_far_and_missing_ids_are_spread(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t "), F.col("id")).alias("text"))
+    rows = rows.unionByName(spark.sql("select 1L << 60 doc_id, 'far' text"))
+    placed = order_minhash.with_next(rows)
+    assert placed.filter("_copy = 0").count() == 3001
+    assert placed.groupBy("_at").count().agg(F.max("count")).head()[0] < 300
 
 
 # Token counts.

@@ -8,10 +8,9 @@ bin selects its ``TUPLE`` least, puts them back in the order of the text and has
 them as a tuple. Order and number of repeats tell texts apart that hold the same
 runs, so the share of equal tuples falls with the edit distance.
 
-A bin with fewer runs than a tuple keeps no order, and a short text has mostly such
-bins. So a second, ordered fingerprint takes for each of these the least of all runs
-by a hash of the bin's own, as Order MinHash does for every hash; likeness is counted
-on that one.
+A bin with fewer runs than a tuple would keep no order, and a short text has mostly
+such bins. So each of these takes the least of all runs by a hash of the bin's own, as
+Order MinHash does for every hash.
 
 Equal runs are numbered without a scan: their hashes, each with its place in the low
 bits, are sorted; the starts of equal stretches cut the numbering 0, 1, 2, ...
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecloom.llm.registry import query
+from vecloom.operators.feed import cut_ranges
 from vecloom.plans.catalog import table
 
 K = 2
@@ -32,9 +32,6 @@ BINS = 64
 TUPLE = 2
 # A place in the text takes so many low bits, so texts may have 2^31 code points.
 PLACE_BITS = 31
-# Documents of consecutive ids whose successors are found together, and most such groups.
-GROUP_ROWS = 1024
-MOST_GROUPS = 100_000
 
 _PLACE = (1 << PLACE_BITS) - 1
 _BIN_SHIFT = 64 - (BINS.bit_length() - 1)
@@ -126,11 +123,10 @@ def _filled(o: str, d: str) -> str:
 
 
 def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add two fingerprints for each text column: ``{"text": "fingerprint"}`` gives ``fingerprint`` and ``fingerprint_ordered``.
+    """Add a fingerprint for each text column: ``{"text": "fingerprint"}``.
 
-    A fingerprint has 16 hexadecimal digits for each bin, dashes for an empty bin;
-    an empty or null text has none. The ordered one has no empty bin, and a tuple in
-    each bin however short the text.
+    It has 16 hexadecimal digits for each bin, a tuple in each however short the text;
+    an empty or null text has an empty one.
     """
     for text in columns:
         df = df.withColumn(f"_n_{text}", F.length(F.coalesce(text, F.lit(""))))
@@ -155,54 +151,40 @@ def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
         gone = {"g": "st", "o": "gl", "d": "f", "e": "o"}.get(step, "")
         df = df.drop(*[f"_{c}_{text}" for c in gone for text in columns])
     for text, name in columns.items():
-        places = f"map_from_entries(transform(_d_{text}, x -> struct(x.b, lpad(lower(hex(x.h)), 16, '0'))))"
-        each = f"transform(sequence(0L, {BINS - 1}L), b -> coalesce(element_at(v, b), '----------------'))"
-        digits = f"array_join({_bound(places, each)}, '')"
+        digits = f"array_join(transform(_e_{text}, h -> lpad(lower(hex(h)), 16, '0')), '')"
         df = df.withColumn(name, F.expr(f"if(_n_{text} = 0, '', {digits})"))
-        ordered = f"array_join(transform(_e_{text}, h -> lpad(lower(hex(h)), 16, '0')), '')"
-        df = df.withColumn(f"{name}_ordered", F.expr(f"if(_n_{text} = 0, '', {ordered})"))
     return df.drop(*[f"_{c}_{text}" for c in "nde" for text in columns])
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of bins with equal tuples, of the bins that either has; two empty ones are alike."""
+    """Share of bins with equal tuples; two empty texts are alike, an empty one and another are not."""
     parts = [f"regexp_extract_all({c}, '.{{16}}', 0)" for c in (a, b)]
-    dash = "'----------------'"
-    flags = f"zip_with({parts[0]}, {parts[1]}, (x, y) -> case when x = {dash} and y = {dash} then 0 when x = y then 2 else 1 end)"
-    share = _bound(flags, "size(filter(v, z -> z = 2)) / cast(size(filter(v, z -> z > 0)) as double)")
+    share = f"size(filter(zip_with({parts[0]}, {parts[1]}, (x, y) -> x = y), z -> z)) / cast({BINS} as double)"
     return F.expr(f"case when {a} = {b} then 1.0D when {a} = '' or {b} = '' then 0.0D else {share} end")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows with group, order and a copy of each group's first row at the end of the group before.
 
-    Groups are equal ranges of ids, so no window spans the table. Null ids stand
-    first; rows of one id are ordered by their text's hash.
+    Groups are quantiles of id and text, so no window spans the table, and neither far
+    ids nor many rows of one id or without one make a large group. Null ids stand first;
+    rows of one id are ordered by a hash of their text.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).head()
-    rows = max(GROUP_ROWS, n // MOST_GROUPS)
-    span = 0 if low is None else high - low
-    width = max(1, -(-(span + 1) * rows // max(n, 1)))
-    if max(span, width) < 1 << 62:
-        place = F.expr(f"(doc_id - {low or 0}L) div {width}L")
-    else:
-        # Beyond long integers; rounding keeps the order of groups.
-        place = F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(width)))
-    group = F.coalesce(place, F.lit(-1))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_group", group).withColumn("_tie", F.xxhash64("text"))
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = cut_ranges(plain, ["doc_id"], ["text"]).withColumnRenamed("_range", "_group")
     groups = dealt.groupBy("_group").agg(F.min(F.struct("doc_id", "_tie")).alias("_least"))
     ring = Window.orderBy("_group")
     last = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("_group").over(ring), F.last("_group").over(last))
-    # At most one row per group of ids, and their number has a bound.
+    # One row per quantile, of which there are some per shuffle partition.
     firsts = F.broadcast(groups.select("_group", "_least", before.alias("_before")))
     first = (F.col("doc_id").eqNullSafe(F.col("_least.doc_id"))) & (F.col("_tie") == F.col("_least._tie"))
     places = F.when(first, F.array("_group", "_before")).otherwise(F.array("_group"))
-    return dealt.join(firsts, "_group").select("doc_id", "text", "_tie", F.posexplode(places).alias("_copy", "_at"))
+    return dealt.join(firsts, "_group", "left").select("doc_id", "text", "_tie", F.posexplode(places).alias("_copy", "_at"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited form, with the likeness of their ordered ones.
+    """Fingerprints of each text and of its edited form, and how alike they are.
 
     Null texts are empty. The edited text has its second half replaced by the start
     of the next document's; a single document follows itself. Repeated rows follow
@@ -216,17 +198,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", n.cast("bigint")).withColumn("_edited", edited).drop("_next")
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
     rows = with_fingerprints(rows, {"text": "fingerprint", "_edited": "edited_fingerprint"}).drop("text", "_edited")
-    rows = rows.withColumn("_next", F.lead("fingerprint_ordered").over(order)).filter("_copy = 0")
+    rows = rows.withColumn("_next", F.lead("fingerprint").over(order)).filter("_copy = 0")
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        "fingerprint_ordered",
-        "edited_fingerprint_ordered",
-        likeness("fingerprint_ordered", "edited_fingerprint_ordered").alias("near_edited"),
-        F.coalesce(likeness("fingerprint_ordered", "_next"), F.lit(1.0)).alias("near_next"),
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        F.coalesce(likeness("fingerprint", "_next"), F.lit(1.0)).alias("near_next"),
     )
 
 
