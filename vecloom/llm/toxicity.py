@@ -41,6 +41,8 @@ FIT_PIECES = 64
 # Windows of a document that a step of the fit sees, drawn from all of them.
 FIT_WINDOWS = 512
 STEPS = 400
+# Share of words that a step of the fit knows by their characters alone.
+UNKNOWN = 0.5
 BATCH = 32
 RATE = 0.04
 # Distinct words a task keeps, and windows it scores at a time.
@@ -84,8 +86,11 @@ def buckets(items: list[bytes]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w) % BUCKETS for w in items), np.int64, len(items))
 
 
-def word_tables(p: net.Params, items: list[bytes], keep: bool = False):
-    """Input columns of distinct words for both directions; column 0 is padding."""
+def word_tables(p: net.Params, items: list[bytes], keep: bool = False, known: np.ndarray | None = None):
+    """Input columns of distinct words for both directions; column 0 is padding.
+
+    ``known`` weighs the vectors by hash; a word without one is known by its characters alone.
+    """
     ids, mask = net.padded(items)
     kept, ends = [], []
     for d in "fb":
@@ -98,7 +103,8 @@ def word_tables(p: net.Params, items: list[bytes], keep: bool = False):
     at = buckets(items)
     tables = []
     for d in "fb":
-        columns = p["wc" + d] @ vectors + p["we" + d][:, at]
+        own = p["we" + d][:, at]
+        columns = p["wc" + d] @ vectors + (own if known is None else own * known)
         tables.append(np.concatenate([np.zeros((3 * WORD_HIDDEN, 1), np.float32), columns], axis=1))
     return (tables, (ids, mask, kept, vectors, at)) if keep else tables
 
@@ -141,9 +147,11 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _gradients(p: net.Params, items: list[bytes], ids: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> net.Params:
+def _gradients(
+    p: net.Params, items: list[bytes], ids: np.ndarray, owner: np.ndarray, labels: np.ndarray, known: np.ndarray | None = None
+) -> net.Params:
     """Gradients of the cross entropy of documents, each the soft maximum of its windows."""
-    tables, (cids, cmask, ckept, vectors, at) = word_tables(p, items, keep=True)
+    tables, (cids, cmask, ckept, vectors, at) = word_tables(p, items, keep=True, known=known)
     logits, (mask, kept, h, tanh, share, pooled) = window_logits(p, tables, ids, keep=True)
     top = np.full(len(labels), -np.inf)
     np.maximum.at(top, owner, logits)
@@ -165,7 +173,7 @@ def _gradients(p: net.Params, items: list[bytes], ids: np.ndarray, owner: np.nda
         d_x, g["wu" + d] = net.back(p["wu" + d], mask, kept[i], part)
         columns = net.scatter(d_x, ids, tables[i].shape[1])[:, 1:]
         g["wc" + d] = columns @ vectors.T
-        g["we" + d] = net.scatter(columns[None], at[None], BUCKETS)
+        g["we" + d] = net.scatter((columns if known is None else columns * known)[None], at[None], BUCKETS)
         d_vectors += p["wc" + d].T @ columns
     for i, d in enumerate("fb"):
         states = np.zeros((len(cids), CHAR_HIDDEN, cids.shape[1]), np.float32)
@@ -205,7 +213,9 @@ def train(texts: list[str], labels: list[int], seed: int = 11, steps: int = STEP
         chosen = [side[i] for side in sides for i in rng.integers(0, len(side), BATCH // 2)]
         items, ids, owner = _windows([docs[i] for i in chosen], rng)
         y = np.array([labels[i] == 1 for i in chosen], np.float64)
-        adam.step(_gradients(p, items, ids, owner, y), 1 - 0.9 * step / steps)
+        # Vectors of random words are left out, so that their characters have to tell; the rest make up for it.
+        known = ((rng.random(len(items)) >= UNKNOWN) / (1 - UNKNOWN)).astype(np.float32)
+        adam.step(_gradients(p, items, ids, owner, y, known), 1 - 0.9 * step / steps)
     return p
 
 
