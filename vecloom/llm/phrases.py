@@ -56,9 +56,9 @@ SEGMENT_BITS = 1 << 16
 SIDE_BITS = 10
 DENSE = 1 << 16
 # Pairs a task counts at once, bytes of text it splits at once, words it remembers.
-AT_ONCE = 1 << 22
-BLOB = 1 << 22
-REMEMBERED = 1_000_000
+AT_ONCE = 1 << 20
+BLOB = 1 << 20
+REMEMBERED = 400_000
 # Slices of a language in the choice of its first rows.
 SLICES = 64
 # Hashes of units to try until one tells all apart.
