@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -99,6 +100,53 @@ def test_buckets_without_a_link_and_long_chains(documents, spark):
     assert near.linked(documents([]), 2).count() == 0
 
 
+def family(edits: list[int], size: int = 160, shared: int = 0) -> list[tuple]:
+    """Copies of one text with so many own edits each; some edits are drawn from a few that copies share."""
+    base = [f"b{i}" for i in range(size)]
+    rows = [(1000, " ".join(base))]
+    for n, count in enumerate(edits):
+        words = list(base)
+        for at in RNG.sample(range(size), count):
+            words[at] = f"s{at}" if shared and RNG.randrange(100) < shared else f"e{n}x{at}"
+        rows.append((n, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("shared", [0, 60, 95])
+def test_families_around_the_similarity(documents, shared):
+    rows = family([RNG.randrange(1, 60) for _ in range(160)], shared=shared)
+    found = near.linked(documents(rows), 2).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(rows, 2)
+
+
+def test_a_family_without_links_hardly_meets(documents, spark, monkeypatch):
+    met = []
+    plain = near.candidates
+    monkeypatch.setattr(near, "candidates", lambda *a: met.append(plain(*a)) or met[-1])
+    sizes = []
+    for n in (100, 400):
+        rows = family([24 + i % 8 for i in range(n)])
+        assert len({r["component_id"] for r in near.linked(documents(rows), 2).collect()}) > n // 2
+        sizes.append(met[-1].count())
+    assert sizes[1] <= 400 and sizes[0] <= 100
+
+
+def test_differences_are_exact(spark):
+    sets = [sorted(RNG.sample(range(60), RNG.randrange(20, 40))) for _ in range(40)]
+    pack = lambda v: bytearray(np.array(v, np.uint64).tobytes())
+    name = lambda i: bytearray(f"{i:02d}".encode())
+    table_ = spark.createDataFrame([(name(i), pack(v)) for i, v in enumerate(sets)], "node binary, elements binary")
+    pairs = spark.createDataFrame([(name(0), name(i)) for i in range(1, 40)], "a binary, b binary")
+    for similarity in (40, 60, 80):
+        got = near.measured(pairs, table_, similarity)
+        alike = lambda i, j: 100 * len(set(sets[i]) & set(sets[j])) >= similarity * len(set(sets[i]) | set(sets[j]))
+        assert {int(bytes(r["b"])): r["linked"] for r in got.collect()} == {i: alike(0, i) for i in range(1, 40)}
+        met = near.candidates(got.withColumn("comp", F.when(F.col("linked"), F.lit(b"00")).otherwise(F.col("b"))), similarity)
+        found = {(int(bytes(r["a"])), int(bytes(r["b"]))) for r in met.collect()}
+        wanted = {(i, j) for i in range(1, 40) for j in range(i + 1, 40) if alike(i, j) and not (alike(0, i) and alike(0, j))}
+        assert wanted <= found
+
+
 def test_components_of_paths_and_stars(spark):
     name = lambda i: bytearray(f"{i:04d}".encode())
     pairs = [(name(i), name(i + 1)) for i in range(40)] + [(name(100), name(100 + i)) for i in range(1, 30)] + [(name(3), name(3))]

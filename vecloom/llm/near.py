@@ -6,10 +6,10 @@ on, round by round one given bin takes the least element, so every bin fills. Mo
 sets are full after a few rounds, and then stop.
 
 Texts with equal sets become one class before any banding. Bands of ``ROWS``
-coordinates make buckets of classes. A bucket is never multiplied out: pivots are
-compared with the members that are not yet in their component, further pivots
-follow while a bucket holds several components, and each is retired once it has
-met all others. So every pair of a bucket ends in one component or was compared.
+coordinates make buckets of classes. A bucket is never multiplied out: all members
+are compared with its pivot, and written as differences from it. Two that are not
+both linked to the pivot can only be linked if they share many of these, so members
+are joined by the first elements of their differences, under a bound that is exact.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vecloom.llm.frames import mixed, stored
 from vecloom.llm.registry import query
@@ -33,8 +32,8 @@ COORDS = 128
 ROWS = 4
 SIMILARITY = 80
 ROUND_BITS = 20
-# A bucket has so many times more pivots in each further round.
-MORE_PIVOTS = 16
+# Steps from a bucket to its pivot.
+CLIMBS = 2
 
 
 def sketch_sets(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
@@ -142,46 +141,108 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
+def stars(shared: DataFrame) -> DataFrame:
+    """Each class with the pivots of its buckets: ``(a, b)``.
+
+    A bucket's pivot is found by climbing: from its class that shares buckets with most
+    to the like class of any bucket of that one, ``CLIMBS`` times. An original shares more
+    with its copies than they do with each other, so a family has one pivot or few. There
+    is at most a pair for each row of a bucket, however large it is.
+    """
+    best = F.max(F.struct("crowd", "node"))
+    peaks = shared.groupBy("bucket").agg(best.alias("peak"))
+    homes = stored(
+        shared.join(peaks, "bucket").groupBy("node").agg(F.max("peak")["node"].alias("home")), "homes"
+    )
+    pivots = peaks.select("bucket", F.col("peak.node").alias("a"))
+    for _ in range(CLIMBS):
+        pivots = pivots.join(homes, pivots["a"] == homes["node"]).select("bucket", F.col("home").alias("a"))
+    pairs = shared.join(pivots, "bucket").select("a", F.col("node").alias("b")).filter("a <> b")
+    return pairs.distinct()
+
+
+def measured(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Each pair ``(a, b)`` with the size of ``b``, whether it is linked, and how ``b`` differs from ``a``.
+
+    ``apart`` counts the elements that only one of them has, ``elements`` holds as many of
+    them as ``candidates`` may need: those that the pivot lacks, which few others share,
+    before those that it alone has, each kind by value.
+    """
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            found = []
+            for packed_x, packed_y in zip(frame["x"], frame["y"]):
+                x, y = np.frombuffer(packed_x, np.uint64), np.frombuffer(packed_y, np.uint64)
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                both = x[at] == y
+                only_x = np.ones(len(x), bool)
+                only_x[at[both]] = False
+                apart = np.concatenate([y[~both], x[only_x]])
+                size, n = len(x) + len(y), len(apart)
+                most = len(y) * (100 - similarity) // similarity + 1
+                found.append((len(y), 100 * (size - n) >= similarity * (size + n), n, apart[:most].view(np.int64)))
+            out = pd.DataFrame(found, columns=["size", "linked", "apart", "elements"])
+            yield pd.concat([frame[["a", "b"]].reset_index(drop=True), out], axis=1)
+
+    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
+    kind = "a binary, b binary, size bigint, linked boolean, apart bigint, elements array<bigint>"
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(measure, kind)
+
+
+def candidates(family: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of classes around one pivot that may be linked, though not both are linked to it.
+
+    ``family`` has the rows of ``measured`` with ``comp``. Let X and Y differ from the
+    pivot by dX and dY elements and have S together. They are linked if at most
+    s = S(100-p)/(100+p) elements are in one of them only, so if they share at least
+    t = (dX+dY-s)/2 of their differences. If one of them is not linked to the pivot then
+    t > 0. In any order of the elements the first shared one then has a place of at most
+    dX-t in X's and dY-t in Y's, places counted from 0; their sum is at most s, so one of
+    them lies in the first half of what a class may show. Nothing else is joined, and
+    where copies have edits of their own, which come first, hardly anything meets.
+    """
+    open_ = family.groupBy("a").agg(F.bool_and("linked").alias("all_linked")).filter("not all_linked").select("a")
+    shown = family.join(open_, "a", "left_semi").select("a", "b", "size", "apart", "comp", F.posexplode("elements").alias("at", "e"))
+    first = shown.filter(F.col("at") * (2 * similarity) <= F.col("size") * (100 - similarity))
+    other = shown.select("a", "e", *[F.col(c).alias(f"{c}_") for c in ("b", "size", "apart", "comp", "at")])
+    room = (F.col("size") + F.col("size_")) * (100 - similarity)
+    near_x = F.col("at") * (2 * (100 + similarity)) <= (F.col("apart") - F.col("apart_")) * (100 + similarity) + room
+    near_y = F.col("at_") * (2 * (100 + similarity)) <= (F.col("apart_") - F.col("apart")) * (100 + similarity) + room
+    alike = 100 * F.least("size", "size_") >= similarity * F.greatest("size", "size_")
+    met = first.join(other, ["a", "e"]).filter((F.col("comp") != F.col("comp_")) & alike & near_x & near_y)
+    return met.select(F.least("b", "b_").alias("a"), F.greatest("b", "b_").alias("b")).distinct()
+
+
 def class_links(shared: DataFrame, sets: DataFrame, similarity: int) -> DataFrame | None:
-    """Components of the linked classes, or None; ``shared`` has ``(bucket, node, size, crowd)``.
+    """Components of the linked classes, or None; ``shared`` has ``(bucket, node, crowd)``.
 
-    Pivots are taken by ``crowd``, how many share buckets with a class: an original
-    shares more with its copies than they do with each other, and settles a bucket.
+    Every class is compared with the pivots of its buckets. Two classes of a bucket that
+    are not joined by that differ from one pivot in elements they must share.
     """
-    rank = Window.partitionBy("bucket").orderBy(F.desc("crowd"), "node")
-    links = comps = compared = None
-    first, width = 0, 1
-    while True:
-        now = shared.withColumn("comp", F.col("node"))
-        if comps is not None:
-            now = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-        unsettled = now.join(split.filter(f"lo < hi and n > {first + 1}").select("bucket"), "bucket")
-        # A bucket's pivots by rank; those before ``first`` have met all its members.
-        pivots = (
-            unsettled.withColumn("at", F.row_number().over(rank))
-            .filter((F.col("at") <= first + width) & (F.col("at") > first))
-            .select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), F.col("crowd").alias("wa"))
-        )
-        similar_size = 100 * F.least("size", "sa") >= similarity * F.greatest("size", "sa")
-        # Those before a pivot in the order have met it as pivots themselves.
-        later = (F.col("crowd") < F.col("wa")) | ((F.col("crowd") == F.col("wa")) & (F.col("node") > F.col("a")))
-        pairs = (
-            unsettled.join(pivots, "bucket")
-            .filter((F.col("comp") != F.col("ca")) & similar_size & later)
-            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-            .distinct()
-        )
-        pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        if not pairs.isEmpty():
-            new = stored(confirmed(pairs, sets, similarity), "links")
-            if not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
-                comps = components(links)
-        elif unsettled.isEmpty():
-            return comps
-        first, width = first + width, width * MORE_PIVOTS
+    family = stored(measured(stars(shared), sets, similarity), "stars")
+    links = family.filter("linked").select("a", "b")
+    if links.isEmpty():
+        comps = None
+        named = family.withColumn("comp", F.col("b"))
+    else:
+        comps = stored(components(links), "components")
+        named = family.join(comps, family["b"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "b")).drop("node")
+    more = stored(confirmed(stored(candidates(named, similarity), "pairs"), sets, similarity), "links")
+    if more.isEmpty():
+        return comps
+    if comps is None:
+        return components(more)
+    # The components found so far are the nodes of the second round.
+    ends = [comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab"]
+    joined = more.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    between = joined.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).filter("a <> b")
+    outer = components(stored(between.distinct(), "between")).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    inner = comps.join(outer, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
+    alone = outer.join(comps, outer["comp"] == comps["node"], "left_anti").select(F.col("comp").alias("node"), F.col("whole").alias("comp"))
+    return inner.unionByName(alone)
 
 
 def linked(docs: DataFrame, k: int, similarity: int = SIMILARITY) -> DataFrame:
@@ -197,13 +258,13 @@ def linked(docs: DataFrame, k: int, similarity: int = SIMILARITY) -> DataFrame:
         F.min("doc_id").alias("least_id"), F.count("*").alias("copies")
     )
     buckets = seen.filter("set_name is not null").select(
-        F.col("set_name").alias("node"), F.col("n_shingles").alias("size"), F.explode("band_keys").alias("bucket")
+        F.col("set_name").alias("node"), F.explode("band_keys").alias("bucket")
     ).distinct()
     several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stored(buckets.join(several, "bucket"), "buckets")
     crowds = shared.groupBy("node").agg(F.sum("n").alias("crowd"))
-    shared = stored(shared.drop("n").join(crowds, "node"), "buckets")
-    least = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("least_id").alias("doc_id"))
+    shared = shared.select("bucket", "node").join(crowds, "node")
+    least = classes.join(crowds.select("node").distinct(), "node", "left_semi").select("node", F.col("least_id").alias("doc_id"))
     sets = stored(set_bytes(docs.join(least.select("doc_id").distinct(), "doc_id", "left_semi"), k).join(least.select("node"), "node", "left_semi"), "sets")
     comps = class_links(shared, sets, similarity)
     if comps is None:
