@@ -76,7 +76,7 @@ class Rollup:
             return False
         deltas = counted(changes, self.versions).groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         with freed_shuffles(self.spark):
-            deltas.coalesce(1).write.mode("overwrite").parquet(self._folder(batch))
+            deltas.write.mode("overwrite").parquet(self._folder(batch))
         return True
 
     def totals(self) -> DataFrame:
@@ -104,13 +104,46 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionByName(inserts(new))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """Rows whose text another row of a smaller id has. Null texts are no copies."""
+    named = docs.filter("text is not null").withColumn("_name", F.sha2("text", 256))
+    first = named.groupBy("_name").agg(F.min("doc_id").alias("_first"))
+    return named.join(first, "_name").filter(F.col("doc_id") > F.col("_first")).drop("_name", "_first")
+
+
+def without_stutter(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a line that repeats the line before, and the same rows without such lines."""
+    lines = F.split("text", "\n")
+    kept = F.filter(lines, lambda line, i: (i == 0) | (line != F.get(lines, i - 1)))
+    changed = docs.withColumn("_less", F.array_join(kept, "\n")).filter(F.col("_less") != F.col("text"))
+    return changed.drop("_less"), changed.withColumn("text", F.col("_less")).drop("_less")
+
+
+def maintained(spark: SparkSession, docs: DataFrame, versions: Mapping[str, str | None]) -> DataFrame:
+    """Totals after all documents arrived, exact copies left and stutters were revised; each batch is sent twice."""
+    rollup = Rollup(spark, fresh_path(spark, "rollup"), versions)
+    gone = copies(docs)
+    left = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
+    old, new = without_stutter(left)
+    for _ in range(2):
+        rollup.commit("arrival", inserts(docs))
+        rollup.commit("copies", deletes(gone))
+        rollup.commit("stutters", revisions(old, new))
+    return rollup.totals()
+
+
 @query("op8_token_rollup")
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive; those whose recorded length is wrong are revised; the arrival is sent twice."""
-    docs = table(spark, sf_dir, "documents")
-    rollup = Rollup(spark, fresh_path(spark, "rollup"))
-    wrong = docs.filter(~F.col("n_chars").eqNullSafe(F.length("text")))
-    rollup.commit("arrival", inserts(docs))
-    rollup.commit("lengths", revisions(wrong, wrong))
-    rollup.commit("arrival", inserts(docs))
-    return rollup.totals()
+    return maintained(spark, table(spark, sf_dir, "documents"), VERSIONS)
+
+
+@query(
+    "token_rollup_words",
+    """with k as (select *, row_number() over (partition by text order by doc_id) copy from documents),
+l as (select source, lang, string_split(text, chr(10)) l from k where copy = 1),
+t as (select source, lang, array_to_string(list_filter(l, lambda x, i: i = 1 or x <> l[i-1]), chr(10)) t from l)
+select source, lang, 'words' AS version, count(*)::BIGINT documents, sum(len(regexp_extract_all(t, '\\S+')))::BIGINT tokens
+from t group by all""",
+)
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintained(spark, table(spark, sf_dir, "documents"), {"words": None})
