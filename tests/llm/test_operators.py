@@ -53,9 +53,9 @@ def test_query_against_sql(spark, name):
     assert differences(result, connect(SMALL), ENTRIES[name].sql) == []
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = set(registered.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {name.partition("_")[0] + "_" for name in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {name.partition("_")[0] + "_" for name in names} and "pipeline" in names
 
 
 # Near duplicates.
@@ -511,3 +511,29 @@ def test_stages_keep_the_columns_and_take_effect(documents, spark, tmp_path):
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, f"{tmp_path}/t").drop("sequence_id", "offset").collect()) == Counter(
         tuple(r) for r in docs.drop("sequence_id", "offset").collect()
     )
+
+
+# Columns whose names the stages use themselves.
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES], ids=lambda s: s[0])
+def test_stages_keep_columns_that_clash(spark, documents, stage, tmp_path):
+    name, run = stage
+    names = ["score", "lang_pred", "_copy", "_text", "part", "tag", "node", "bucket", "row", "a", "b", "size", "copy", "text ", "kept", "_n"]
+    plain = documents([(i, sentence(60)) for i in range(20)] + [(30, None), (31, "")])
+    docs = plain.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in names])
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = run(spark, docs, str(tmp_path)).collect()
+    assert len(out) >= 20
+    if name != "packing":
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in out for c in names) and out[0].asDict().keys() == set(docs.columns)
+
+
+def test_rollup_of_copies_and_stutters(spark, documents):
+    docs = documents([(1, "a b\na b\nc"), (2, "x"), (3, "x"), (4, None), (5, "a\n\n\nb"), (6, "x"), (7, "")])
+    assert sorted(r["doc_id"] for r in rollup.copies(docs).collect()) == [3, 6]
+    old, new = rollup.without_stutter(docs)
+    assert {r["doc_id"]: r["text"] for r in new.collect()} == {1: "a b\nc", 5: "a\n\nb"} and old.count() == 2
+    got = rollup.maintained(spark, docs, {"words": None}).agg(F.sum("documents"), F.sum("tokens")).head()
+    assert tuple(got) == (5, 6)
+    assert rollup.maintained(spark, docs.limit(0), {"words": None}).count() == 0

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +36,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, used: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Columns other than ``used`` under names that clash with nothing, and how to give them their own again.
+
+    The second part takes a table that has all columns of the first, and puts them in order.
+    """
+    names = {c: c if c in used else f"aside_{i}__" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in docs.columns])
+    return inner, lambda done: done.select(*[F.col(names[c]).alias(c) for c in docs.columns])
+
+
 def held_out(doc_id: str | Column, folds: int) -> Column:
     """True for the documents no fit may see. A null id is held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecloom.llm import recurrent as net
-from vecloom.llm.frames import Numbered, held_out
+from vecloom.llm.frames import Numbered, held_out, set_aside
 from vecloom.llm.registry import FOLDS, query
 from vecloom.plans.catalog import table
 
@@ -175,13 +175,13 @@ def predict(docs: DataFrame, model: tuple[list[str], net.Params], keep: list[str
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language; the rest carry the predicted one in ``lang``."""
-    model = fit(docs)
-    seen = docs.withColumn("_copy", F.col("text"))
-    names = [c for c in docs.columns if c != "text"]
-    labelled = predict(seen, model, [*names, "_copy"])
+    """Drop documents without a language; the rest carry the predicted one in ``lang``. Other columns stay, whatever their names."""
+    inner, back = set_aside(docs, ["doc_id", "text", "lang"])
+    model = fit(inner)
+    seen = inner.withColumn("_copy", F.col("text"))
+    labelled = predict(seen, model, [*[c for c in inner.columns if c != "text"], "_copy"])
     kept = labelled.filter(F.col("lang_pred") != UNDETERMINED)
-    return kept.select(*[F.col("_copy").alias(c) if c == "text" else F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    return back(kept.withColumnsRenamed({"_copy": "text"}).withColumn("lang", F.col("lang_pred")))
 
 
 @query("op7_language")

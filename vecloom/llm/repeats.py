@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.frames import Numbered, mixed, stored, text_bytes
+from vecloom.llm.frames import Numbered, mixed, set_aside, stored, text_bytes
 from vecloom.llm.registry import query
 from vecloom.plans.catalog import table
 
@@ -443,10 +443,14 @@ def _rewritten(rows: pa.Table, spans: list[list[tuple[int, int]]]) -> pa.Table:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; ``n_chars`` follows the text. A character cut in two goes as a whole."""
-    out = with_spans(docs, _rewritten, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    """Repeated passages go; ``n_chars`` follows the text. A character cut in two goes as a whole.
+
+    Other columns stay as they are, whatever their names.
+    """
+    inner, back = set_aside(docs, ["doc_id", "text", "n_chars"])
+    out = with_spans(inner, _rewritten, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema))
     length = F.length(F.coalesce("text", F.lit(""))).cast(dict(docs.dtypes)["n_chars"])
-    return out.withColumn("n_chars", length).select(*docs.columns)
+    return back(out.withColumn("n_chars", length))
 
 
 SQL = f"""
