@@ -248,3 +248,59 @@ def test_records_survive_the_round_trip():
     fields, body = warc.parsed(warc.record(None, None, payload, 9))
     assert body == b"" and fields["WARC-Refers-To"] == "<urn:page:9>" and fields["WARC-Record-ID"] == "<urn:page:null>"
     assert warc.search_key("https://a.Example.org:80/P?q=\t", 3).startswith("org,example,a:80)/P?q=%09 ")
+
+
+def test_a_body_outside_the_teasers():
+    body = ["Title of it", "Body words go on and on. " * 20, "More of the body text here. " * 15, "Short end."]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    teasers = "".join(f'<article><h2><a href="{i}">Teaser card {i}</a></h2></article>' for i in range(6))
+    want = " ".join(" ".join(x.split()) for x in body)
+    for page in (f'<div id="content">{inner}</div>{teasers}', f'{teasers}<div id="content">{inner}</div>', f'{teasers}<div>{inner}</div>{teasers}'):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_an_article_keeps_its_short_parts():
+    parts = ["Head", "Long text of the article. " * 30, "ok", "Another long part here. " * 30, "End."]
+    page = '<article><div class="advert">Buy this now, it is cheap and very good for you.</div>'.join(f"<p>{x}</p>" if i else f"<article><p>{x}</p>" for i, x in enumerate(parts))
+    assert html_text.main_text(f"<main>{page}</main>") == " ".join(" ".join(x.split()) for x in parts)
+
+
+def plain_main_text(blocks: list[tuple[int, str]]) -> str:
+    """Blocks of (article, text), an empty text for a gap of three lines, by the rule as it is stated."""
+    flat = [line for article, text in blocks for line in ([(article, text)] if text else [(0, "")] * 3)]
+    weigh = lambda line: len(line[1]) * (5 if line[0] else 1)
+    sums = [sum(map(weigh, flat[i : i + 3])) for i in range(len(flat))]
+    sums = [sum(map(weigh, flat[max(i - 2, 0) : i + 1])) for i in range(2, len(flat) + 2)]
+    runs, current = [], []
+    for i, total in enumerate(sums):
+        if total:
+            current.append(i)
+        elif current:
+            runs.append(current)
+            current = []
+    runs += [current] if current else []
+    top = max(sums, default=0)
+    out = []
+    for run in runs:
+        own = {flat[i][0] for i in run if i < len(flat) and flat[i][0]}
+        peak = max(max(sums[i] for i in other) for other in runs if other is run or own & {flat[i][0] for i in other if i < len(flat)})
+        if peak * 5 >= top:
+            out += [flat[i][1] for i in run if i < len(flat) and flat[i][1]]
+    return " ".join(out)
+
+
+def test_pages_of_lines_against_the_rule():
+    rng = random.Random(5)
+    for _ in range(300):
+        blocks, page = [], []
+        for number in range(rng.randint(1, 6)):
+            article = number + 1 if rng.random() < 0.4 else 0
+            texts = ["w" * rng.choice([3, 20, 90, 400]) for _ in range(rng.randint(1, 4))]
+            lines = "".join(f"<p>{t}</p>" for t in texts)
+            if article:
+                page.append(f"<article>{lines}</article>")
+                blocks += [(0, ""), *((article, t) for t in texts), (0, "")]
+            else:
+                page.append(f"<div>{lines}</div><nav>menu</nav>")
+                blocks += [*((0, t) for t in texts), (0, ""), (0, "")]
+        assert html_text.main_text("".join(page)) == plain_main_text(blocks), page

@@ -22,8 +22,10 @@ from vecloom.llm.registry import query
 from vecloom.plans.catalog import table
 
 WINDOW = 3
-# Characters within a window that begin a text; inside a marked article, any do.
-SURGE = 80
+# A run of lines is text if its densest window has this share of the page's densest one, where
+# a line inside a marked article weighs so many times its length.
+SURGE = 1 / 5
+BONUS = 5
 
 # Element names and words in class names, ids and roles.
 RAW = "script style noscript template svg math iframe object head title textarea select button canvas audio video".split()
@@ -72,7 +74,8 @@ class _Lines:
     def __init__(self) -> None:
         self.text: list[str] = []
         self.weight: list[int] = []
-        self.article: list[bool] = []
+        # Number of the outermost article a line stands in, 0 for none.
+        self.article: list[int] = []
         self._parts: list[str] = []
         self._linked = 0
 
@@ -81,27 +84,27 @@ class _Lines:
         if linked:
             self._linked += len(text.strip())
 
-    def end(self, in_article: bool, listed: bool) -> None:
+    def end(self, article: int, listed: bool) -> None:
         if self._parts:
             line = " ".join(html.unescape("".join(self._parts)).split())
             if line:
-                mostly_links = self._linked * 3 > 2 * len(line) and (listed or not in_article)
+                mostly_links = self._linked * 3 > 2 * len(line) and (listed or not article)
                 self.text.append(line)
                 self.weight.append(0 if mostly_links else len(line))
-                self.article.append(in_article)
+                self.article.append(article)
             self._parts, self._linked = [], 0
 
     def gap(self) -> None:
         self.text += [""] * WINDOW
         self.weight += [0] * WINDOW
-        self.article += [False] * WINDOW
+        self.article += [0] * WINDOW
 
 
 def lines(page: str) -> _Lines:
     out = _Lines()
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
-    at, links = 0, 0
-    skipped, articles = 0, 0
+    at, links, skipped = 0, 0, 0
+    articles, met = 0, 0  # how many are around, and the number of the outermost one
     while True:
         tag = MARKUP.search(page, at)
         if not skipped:
@@ -114,7 +117,7 @@ def lines(page: str) -> _Lines:
             continue
         name = name.lower()
         if name in BLOCKS:
-            out.end(articles > 0, any(x[0] in ("ul", "ol", "dl") for x in stack[-3:]))
+            out.end(met if articles else 0, any(x[0] in ("ul", "ol", "dl") for x in stack[-3:]))
         if closing:
             if name == "a":
                 links = max(links - 1, 0)
@@ -123,7 +126,7 @@ def lines(page: str) -> _Lines:
                     top, boilerplate, article = stack.pop()
                     skipped -= boilerplate
                     articles -= article
-                    if boilerplate and not skipped:
+                    if (boilerplate and not skipped) or (article and not articles):
                         out.gap()
                     if top == name:
                         break
@@ -136,38 +139,45 @@ def lines(page: str) -> _Lines:
             boilerplate = _boilerplate(name, attributes, articles > 0)
             if name in CONTAINERS or (boilerplate and name in ("span", "p", "section")):
                 article = name in ("article", "main") and not skipped
-                if boilerplate and not skipped:
-                    out.end(articles > 0, False)
+                if (boilerplate and not skipped) or (article and not articles):
+                    out.end(met if articles else 0, False)
                     out.gap()
                 stack.append((name, boilerplate, article))
                 skipped += boilerplate
+                met += article and not articles
                 articles += article
                 if name in CONTAINERS:
                     links = 0
-    out.end(articles > 0, False)
+    out.end(met if articles else 0, False)
     return out
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page; a null, empty or textless page has none."""
+    """The article of a page; a null, empty or textless page has none.
+
+    Windows of lines slide over the page. A text surges where their sums leave nothing and
+    dives where they fall back to it; boilerplate and the borders of marked articles leave a
+    gap, which parts texts, but not the parts of one article. A run counts by its densest window, measured against
+    the densest of the page; of runs alike all stay, in the order of the page.
+    """
     if not page:
         return ""
     found = lines(page)
-    weight = np.array(found.weight, np.int64)
-    if any(w and a for w, a in zip(found.weight, found.article)):
-        weight = np.where(found.article, weight, 0)
-        surge = 1
-    else:
-        surge = SURGE
+    weight, article = np.array(found.weight, np.int64), np.array(found.article, np.int64)
     if not weight.any():
         return ""
-    sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
-    # A run lasts from line to line while the windows hold text; it counts if one of them surges.
+    sums = np.convolve(np.where(article > 0, BONUS * weight, weight), np.ones(WINDOW, np.int64))[WINDOW - 1 :]
     live = np.concatenate([[0], sums > 0, [0]])
-    begin, end = np.flatnonzero(np.diff(live) == 1), np.flatnonzero(np.diff(live) == -1)
-    peaks = [int(sums[a:b].max()) for a, b in zip(begin, end)]
-    surge = min(surge, max(peaks))
-    kept = [i for a, b, peak in zip(begin, end, peaks) if peak >= surge for i in range(a, b) if weight[i]]
+    surges, dives = np.flatnonzero(np.diff(live) == 1), np.flatnonzero(np.diff(live) == -1)
+    peaks, runs = np.zeros(article.max() + 1), []
+    for a, b in zip(surges, dives):
+        own = np.unique(article[a:b][weight[a:b] > 0])
+        peak = float(sums[a:b].max())
+        runs.append((a, b, peak, own[own > 0]))
+        peaks[own] = np.maximum(peaks[own], peak)
+    peaks[0] = 0
+    least = SURGE * float(sums.max())
+    kept = [i for a, b, peak, own in runs if max(peak, peaks[own].max(initial=0)) >= least for i in range(a, b) if weight[i]]
     return " ".join(found.text[i] for i in kept)
 
 
