@@ -314,9 +314,9 @@ F16_SQL = "(case when {x} = 0 then 0 else round_even({x}/power(2.0::DOUBLE, grea
 SAMPLES_SQL = f"""
 {RESIZED_SQL},
 k as (select vec_id, row_number() over (order by vec_id) - 1 idx from embeddings join documents on doc_id = vec_id where regexp_matches(text, '\\S')),
-l as (select vec_id, y*4+x AS at, (v/256*2-1)::FLOAT::DOUBLE*0.18215::DOUBLE x from q),
+l as (select vec_id, y*4+x AS cell, (v/256*2-1)::FLOAT::DOUBLE*0.18215::DOUBLE x from q),
 t as ({SPELLED_SQL}),
-a as (select idx, sum((at+1)*{F16_SQL.format(x='l.x')}) latents from k join l using (vec_id) group by idx),
+a as (select idx, sum((cell+1)*{F16_SQL.format(x='l.x')}) latents from k join l using (vec_id) group by idx),
 b as (select idx, sum((place+1)*(n+2*e)) embeds, sum(there::BIGINT) AS mask from k join t on doc_id = vec_id group by idx)
 """
 
@@ -324,7 +324,7 @@ b as (select idx, sum((place+1)*(n+2*e)) embeds, sum(there::BIGINT) AS mask from
 @query(
     "prepare_samples",
     f"""with {SAMPLES_SQL} select lpad(idx::VARCHAR, 8, '0') AS key, (idx//{ROWS_PER_SHARD})::INTEGER shard, round(latents, 6)+0.0 latents,
-round(embeds, 6)+0.0 embeds, mask::BIGINT mask from a join b using (idx)""",
+round(embeds::DOUBLE, 6)+0.0 embeds, mask::BIGINT mask from a join b using (idx)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decode_fields(tar_source(spark, _samples(spark, sf_dir)), SAMPLE_FIELDS)
