@@ -100,6 +100,16 @@ def test_buckets_without_a_link_and_long_chains(documents, spark):
     assert near.linked(documents([]), 2).count() == 0
 
 
+def test_a_common_edit_makes_no_pairs(documents, spark, monkeypatch):
+    met = []
+    plain = near.candidates
+    monkeypatch.setattr(near, "candidates", lambda *a: met.append(plain(*a)) or met[-1])
+    rows = [(i, "very common pair very common words here " + t) for i, t in family([24 + i % 8 for i in range(300)])[1:]]
+    rows.append((1000, family([])[0][1]))
+    found = near.linked(documents(rows), 2).collect()
+    assert len({r["component_id"] for r in found}) > 150 and met[-1].count() <= 300
+
+
 def family(edits: list[int], size: int = 160, shared: int = 0) -> list[tuple]:
     """Copies of one text with so many own edits each; some edits are drawn from a few that copies share."""
     base = [f"b{i}" for i in range(size)]
@@ -537,3 +547,22 @@ def test_rollup_of_copies_and_stutters(spark, documents):
     got = rollup.maintained(spark, docs, {"words": None}).agg(F.sum("documents"), F.sum("tokens")).head()
     assert tuple(got) == (5, 6)
     assert rollup.maintained(spark, docs.limit(0), {"words": None}).count() == 0
+
+
+def test_scores_and_languages_of_odd_tables(spark, documents):
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id bigint, toxic int")
+    rows = [(i, ("bad stuff " if i % 2 else "nice thing ") * (1 + i % 5)) for i in range(60)]
+    docs = documents([*rows, (61, None), (62, ""), (63, "x" * 200_000), (64, "nice thing " * 30_000), (65, rows[0][1]), (65, rows[0][1])])
+    params = toxicity.train([t for _, t in rows], [i % 2 for i, _ in rows], steps=3)
+    found = toxicity.scores(docs, params).collect()
+    assert len(found) == 66 and all(0 <= r["score"] <= 1 for r in found)
+    same = {r["score"] for r in found if r["doc_id"] in (0, 65)}
+    assert len(same) == 1
+    assert toxicity.scores(docs.limit(0), params).count() == 0
+    nothing = toxicity.fit(docs.limit(0), labels.limit(0))
+    assert len({r["score"] for r in toxicity.scores(docs, nothing).collect()}) == 1
+    model = language.fit(docs.limit(0))
+    assert {r["lang_pred"] for r in language.predict(docs, model, ["doc_id"]).collect()} == {"und"}
+    assert language.predict(docs.limit(0), model, ["doc_id"]).count() == 0
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None)], "page_id bigint, url string, html string")
+    assert sorted(r["text"] for r in html_text.extract(pages).collect()) == ["", "a", "a"] and html_text.extract(pages.limit(0)).count() == 0

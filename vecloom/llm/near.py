@@ -21,6 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vecloom.llm.frames import mixed, stored
 from vecloom.llm.registry import query
@@ -162,12 +163,7 @@ def stars(shared: DataFrame) -> DataFrame:
 
 
 def measured(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Each pair ``(a, b)`` with the size of ``b``, whether it is linked, and how ``b`` differs from ``a``.
-
-    ``apart`` counts the elements that only one of them has, ``elements`` holds as many of
-    them as ``candidates`` may need: those that the pivot lacks, which few others share,
-    before those that it alone has, each kind by value.
-    """
+    """Each pair ``(a, b)`` with the size of ``b``, whether it is linked, and ``elements`` that only one of them has."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -181,14 +177,13 @@ def measured(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 only_x[at[both]] = False
                 apart = np.concatenate([y[~both], x[only_x]])
                 size, n = len(x) + len(y), len(apart)
-                most = len(y) * (100 - similarity) // similarity + 1
-                found.append((len(y), 100 * (size - n) >= similarity * (size + n), n, apart[:most].view(np.int64)))
-            out = pd.DataFrame(found, columns=["size", "linked", "apart", "elements"])
+                found.append((len(y), 100 * (size - n) >= similarity * (size + n), apart.view(np.int64)))
+            out = pd.DataFrame(found, columns=["size", "linked", "elements"])
             yield pd.concat([frame[["a", "b"]].reset_index(drop=True), out], axis=1)
 
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    kind = "a binary, b binary, size bigint, linked boolean, apart bigint, elements array<bigint>"
+    kind = "a binary, b binary, size bigint, linked boolean, elements array<bigint>"
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(measure, kind)
 
 
@@ -200,12 +195,21 @@ def candidates(family: DataFrame, similarity: int) -> DataFrame:
     s = S(100-p)/(100+p) elements are in one of them only, so if they share at least
     t = (dX+dY-s)/2 of their differences. If one of them is not linked to the pivot then
     t > 0. In any order of the elements the first shared one then has a place of at most
-    dX-t in X's and dY-t in Y's, places counted from 0; their sum is at most s, so one of
-    them lies in the first half of what a class may show. Nothing else is joined, and
-    where copies have edits of their own, which come first, hardly anything meets.
+dX-t in X's and dY-t in Y's, places counted from 0; their sum is at most s, so one of
+    them lies in the first half of what a class may show. Nothing else is joined. The order
+    is by how many of the family have an element, the fewest first, so where copies have
+    edits of their own hardly anything meets, also if all have some edit in common.
     """
     open_ = family.groupBy("a").agg(F.bool_and("linked").alias("all_linked")).filter("not all_linked").select("a")
-    shown = family.join(open_, "a", "left_semi").select("a", "b", "size", "apart", "comp", F.posexplode("elements").alias("at", "e"))
+    spread = family.join(open_, "a", "left_semi").select(
+        "a", "b", "size", "comp", F.size("elements").alias("apart"), F.explode("elements").alias("e")
+    )
+    shares = spread.groupBy("a", "e").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "e")) - 1
+    ranked = spread.join(shares, ["a", "e"]).withColumn("at", place)
+    # An element that no other has takes a place and meets nothing.
+    in_reach = (F.col("n") > 1) & (F.col("at") * similarity <= F.col("size") * (100 - similarity))
+    shown = stored(ranked.filter(in_reach).drop("n"), "differences")
     first = shown.filter(F.col("at") * (2 * similarity) <= F.col("size") * (100 - similarity))
     other = shown.select("a", "e", *[F.col(c).alias(f"{c}_") for c in ("b", "size", "apart", "comp", "at")])
     room = (F.col("size") + F.col("size_")) * (100 - similarity)
