@@ -204,9 +204,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the test data as a file stream."""
+    """A table, one file or a folder of files, as a file stream; all its files come at once, so an index orders them all."""
     schema = table(spark, sf_dir, name).schema
-    return stream_shards(spark, sf_dir, schema, glob=f"{name}.parquet", max_files=1)
+    # Spark streams a lone file only by a path with a wildcard.
+    return stream_shards(spark, f"{sf_dir}/{name}.parque[t]", schema)
 
 
 def _through(spark: SparkSession, stream: DataFrame, transform) -> DataFrame:
