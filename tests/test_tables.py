@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from tests.oracle import differences
+from vecloom.sources import expand_shards
 
 
 @pytest.mark.parametrize("folder", [True, False])
@@ -33,3 +34,34 @@ def test_streams_read_a_table_of_any_files(spark, tmp_path, name, folder):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}{'/*.parquet' if folder else ''}'")
     result = registered.queries()[name](spark, str(tmp_path))
     assert differences(result, connection, registered.oracle_sql()[name]) == []
+
+
+def test_shard_names_are_made_by_many_tasks(spark, tmp_path):
+    parts = [(1, 50), (1, 50), (2, 1), (3, 12), (None, 3), (4, None)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    result = registered.queries()["expand_shards"](spark, str(tmp_path))
+    assert result.rdd.getNumPartitions() > 1
+    # What a pattern is cut into is bound once: no expression holds copies of another.
+    assert result._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") < 20
+    known = [r for r in result.collect() if r.name is not None and r.p_partkey is not None]
+    expected = [f"p{key}-{k:06d}.tar" for key, size in parts if key and size for k in range(1, size + 1)]
+    assert sorted(r.name for r in known) == sorted(expected)
+
+
+@pytest.mark.parametrize(
+    "pattern, names",
+    [
+        ("s-{a{1,2},b}", ["s-a1", "s-b", "s-a2", "s-b"]),
+        ("s-{{1,3}..2}", ["s-1", "s-2", "s-3", "s-2"]),
+        ("{,}{x}{0..1}", ["{x}0", "{x}1", "{x}0", "{x}1"]),
+        (None, [None]),
+    ],
+)
+def test_braces_within_braces(spark, pattern, names):
+    rows = spark.createDataFrame([(pattern,)], "p string")
+    assert rows.select(expand_shards(F.col("p")).alias("n")).head()["n"] == names
+
+
+def test_too_many_braces(spark):
+    with pytest.raises(Exception, match="braces"):
+        spark.range(1).select(expand_shards(F.lit("{a,b}" * 5))).collect()

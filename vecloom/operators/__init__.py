@@ -26,6 +26,7 @@ from vecloom.operators.rows import (
     resume_after,
     split_by_rank,
     split_train_eval,
+    spread,
     take_first,
     take_images,
 )
@@ -83,6 +84,7 @@ __all__ = [
     "shuffle_shards",
     "split_by_rank",
     "split_train_eval",
+    "spread",
     "step_plan",
     "take_first",
     "take_images",

@@ -102,3 +102,11 @@ def require_one_of(df: DataFrame, single: str, group: Sequence[str], mode: str =
         checked = df.filter(F.when(kind.isNotNull(), True).otherwise(F.raise_error(problem).cast("boolean")))
         return checked.withColumn("input_kind", kind)
     raise ValueError(f"unknown mode {mode!r}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly to as many tasks as shuffles have, for work that is large beside the rows.
+
+    A given number of tasks stays: adaptive execution joins small partitions of others again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

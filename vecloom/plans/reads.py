@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import once, quantize_f16
 from vecloom.operators import embed_tokens
 from vecloom.operators.feed import sample_key
+from vecloom.operators.rows import spread
 from vecloom.plans.catalog import elements_sql, query, r6, table, weighted
 from vecloom.plans.prepare import SAMPLE_FIELDS, feed, prepare_samples, prepare_shards
 from vecloom.plans.shapes import RESIZED_SQL, gray_image
@@ -101,7 +102,9 @@ from part, range(1, 1000) r(k) where k <= p_size""",
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.lpad(F.col("p_size").cast("string"), 5, "0")
     pattern = F.concat(F.lit("p"), F.col("p_partkey"), F.lit("-{000001.."), last, F.lit("}.tar"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(expand_shards(pattern)).alias("name"))
+    # A part of few bytes stands for many names.
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
+    return parts.select("p_partkey", F.explode(expand_shards(pattern)).alias("name"))
 
 
 @query(

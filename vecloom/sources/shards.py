@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.functions.arrays import let
 from vecloom.operators.feed import SAMPLES_PER_SHARD, assign_shard, global_index
 
 # A numeric range or a list in braces, as in name-{000001..000230}.tar and {train,eval}.tar.
@@ -20,41 +21,54 @@ MAX_BRACES = 4
 
 def _choices(inside: Column) -> Column:
     """What one pair of braces stands for. Numbers are padded if either bound starts with a zero."""
-    low, high = (F.regexp_extract(inside, BRACE_RANGE, g) for g in (1, 2))
-    padded = low.rlike(r"^0\d") | high.rlike(r"^0\d")
-    width = F.when(padded, F.greatest(F.length(low), F.length(high))).otherwise(0)
 
-    def digits(number: Column) -> Column:
-        text = number.cast("string")
-        return F.lpad(text, F.greatest(F.length(text), width), "0")
+    def numbers(b: Column) -> Column:
+        padded = b.low.rlike(r"^0\d") | b.high.rlike(r"^0\d")
+        width = F.when(padded, F.greatest(F.length(b.low), F.length(b.high))).otherwise(0)
+        ends = F.sequence(*[F.nullif(end, F.lit("")).cast("bigint") for end in (b.low, b.high)])
+
+        def digits(v: Column) -> Column:
+            return F.transform(v.texts, lambda text: F.lpad(text, F.greatest(F.length(text), v.width), "0"))
 
-    bounds = [F.nullif(b, F.lit("")).cast("bigint") for b in (low, high)]
-    return F.coalesce(F.transform(F.sequence(*bounds), digits), F.split(inside, ",", -1))
+        return let(digits, texts=ends.cast("array<string>"), width=width)
+
+    low, high = (F.regexp_extract(inside, BRACE_RANGE, g) for g in (1, 2))
+    return F.coalesce(let(numbers, low=low, high=high), F.split(inside, ",", -1))
 
 
 def expand_shards(pattern: Column) -> Column:
     """Names that ranges and lists in braces stand for, the leftmost changing slowest.
 
     A pattern without braces stands for itself; more than ``MAX_BRACES`` are an error.
+    What a pattern is cut into is found once for it, not once for each of its names.
     """
 
-    def step(names: Column) -> Column:
-        def one(name: Column) -> Column:
-            at = F.regexp_instr(name, F.lit(BRACES))
-            found = F.regexp_extract(name, BRACES, 0)
-            head = F.substring(name, F.lit(1), at - 1)
-            tail = F.substring(name, at + F.length(found), F.length(name))
-            inside = F.substring(found, F.lit(2), F.length(found) - 2)
-            many = F.transform(_choices(inside), lambda x: F.concat(head, x, tail))
-            return F.when(at > 0, many).otherwise(F.array(name))
+    def joined(v: Column) -> Column:
+        return F.transform(v.many, lambda x: F.concat(v.head, x, v.tail))
+
+    def cut(v: Column) -> Column:
+        head = F.substring(v["name"], F.lit(1), v.at - 1)
+        tail = F.substring(v["name"], v.at + F.length(v.found), F.length(v["name"]))
+        inside = F.substring(v.found, F.lit(2), F.length(v.found) - 2)
+        many = let(lambda w: _choices(w.inside), inside=inside)
+        return F.when(v.at > 0, let(joined, many=many, head=head, tail=tail)).otherwise(F.array(v["name"]))
+
+    def one(name: Column) -> Column:
+        parts = let(cut, name=name, at=F.regexp_instr(name, F.lit(BRACES)), found=F.regexp_extract(name, BRACES, 0))
+        return F.when(name.contains("{"), parts).otherwise(F.array(name))
+
+    def step(v: Column) -> Column:
+        braced = F.exists(v.names, lambda name: name.contains("{"))
+        return F.when(braced, F.flatten(F.transform(v.names, one))).otherwise(v.names)
 
-        return F.flatten(F.transform(names, one))
+    def checked(v: Column) -> Column:
+        left = F.exists(v.names, lambda name: name.contains("{") & name.rlike(BRACES))
+        return F.when(left, F.raise_error(F.lit(f"more than {MAX_BRACES} braces")).cast("array<string>")).otherwise(v.names)
 
     names = F.array(pattern)
     for _ in range(MAX_BRACES):
-        names = step(names)
-    left = F.exists(names, lambda name: name.rlike(BRACES))
-    return F.when(left, F.raise_error(F.lit(f"more than {MAX_BRACES} braces")).cast("array<string>")).otherwise(names)
+        names = let(step, names=names)
+    return let(checked, names=names)
 
 
 def expand_braces(pattern: str) -> list[str]:
