@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from tests.oracle import differences
-from vecloom.sources import expand_shards
+from vecloom.sources import expand_shards, list_files
 
 
 @pytest.mark.parametrize("folder", [True, False])
@@ -65,3 +65,18 @@ def test_braces_within_braces(spark, pattern, names):
 def test_too_many_braces(spark):
     with pytest.raises(Exception, match="braces"):
         spark.range(1).select(expand_shards(F.lit("{a,b}" * 5))).collect()
+
+
+def test_folders_are_listed_by_many_tasks(spark, tmp_path):
+    orders = [(i, i % 13, "P" if i % 5 == 0 else "O") for i in range(60)] + [(None, 3, "O"), (70, None, "O"), (71, 3, None)]
+    rows = spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").coalesce(1)
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    result = registered.queries()["list_manifest"](spark, str(tmp_path))
+    assert result.rdd.getNumPartitions() > 1
+    expected = [
+        (c if c % 10 else None, f"run-{c}/checkpoint_step_{o}.pt", o)
+        for o, c, status in orders if o is not None and c is not None and status != "P"
+    ]
+    assert sorted(map(str, map(tuple, result.collect()))) == sorted(map(str, expected))
+    folders = spark.createDataFrame([(str(tmp_path / f"f{i}"),) for i in range(8)], "f string").coalesce(1)
+    assert list_files(folders, "f", "*").rdd.getNumPartitions() > 1

@@ -197,17 +197,23 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_empty(names: DataFrame, root: str) -> None:
-    """An empty file for each path below ``root``, made by tasks."""
+    """An empty file for each path below ``root``, made by tasks; a folder's files by one, as tasks wait for each other in it."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = open_fs(root)
         for one in batches:
             for name in one.column(0).to_pylist():
-                files, inner = open_fs(f"{root}/{name}")
-                files.create_dir(posixpath.dirname(inner), recursive=True)
-                files.open_output_stream(inner).close()
+                path = f"{base}/{name}"
+                try:
+                    files.open_output_stream(path).close()
+                except FileNotFoundError:
+                    files.create_dir(posixpath.dirname(path), recursive=True)
+                    files.open_output_stream(path).close()
             yield one
 
-    names.select("path").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = names.select("path").filter("path is not null").repartition(tasks, F.regexp_extract("path", "^(.*)/", 1))
+    dealt.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
 
 
 @query(

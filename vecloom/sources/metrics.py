@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.operators.manifest import parse_manifest
+from vecloom.operators.rows import spread
 from vecloom.sources.tars import _open_fs as open_fs
 
 
@@ -27,8 +28,8 @@ def log_metrics(df: DataFrame, path: str, step: str, names: Sequence[str], prefi
 def list_files(folders: DataFrame, folder: str, pattern: str) -> DataFrame:
     """Add ``path``: the files of each row's folder whose name fits ``pattern``, one row each.
 
-    Tasks list the folders; names are read, contents are not. A folder that is not
-    there, or is null, has no files.
+    Tasks list the folders, which are dealt out evenly to them; names are read, contents
+    are not. A folder that is not there, or is null, has no files.
     """
     names = folders.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in folders.schema), "path string"])
@@ -48,7 +49,7 @@ def list_files(folders: DataFrame, folder: str, pattern: str) -> DataFrame:
             kept = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(paths, pa.string())], [*names, "path"])
 
-    return folders.mapInArrow(walk, schema)
+    return spread(folders).mapInArrow(walk, schema)
 
 
 def list_manifest(spark: SparkSession, path: str | DataFrame, folder: str = "folder") -> DataFrame:
