@@ -35,8 +35,9 @@ BREAK = 0xFF
 # Bytes of text whose anchors or documents meet in one group.
 GROUP_BYTES = 4 << 20
 MOST_GROUP_BYTES = 64 << 20
-# Bytes of text a task turns into anchors at a time.
-BLOCK = 2 << 20
+# Bytes of text a task turns into anchors at a time, and rows it decodes at a time.
+BLOCK = 1 << 20
+ROWS_AT_ONCE = 256
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -234,7 +235,7 @@ def _find_anchors(buckets: int, length: int) -> Callable[[Iterator[pa.RecordBatc
             yield from pa.Table.from_pylist(rows, ANCHOR).to_batches()
 
         texts, facts, size = [], [], 0
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 data = text.encode("utf-8", "replace")
                 # A long text comes in pieces that share all but one byte of a window.
