@@ -35,6 +35,8 @@ BREAK = 0xFF
 # Bytes of text whose anchors or documents meet in one group.
 GROUP_BYTES = 4 << 20
 MOST_GROUP_BYTES = 64 << 20
+# Buckets of anchors a part of documents: sorting a bucket takes many times its bytes.
+BUCKETS_A_PART = 2
 # Bytes of text a task turns into anchors at a time, and rows it decodes at a time.
 BLOCK = 1 << 20
 ROWS_AT_ONCE = 256
@@ -404,7 +406,7 @@ def with_spans(docs: DataFrame, make: Callable[[pa.Table, list[list[tuple[int, i
     dealt = docs.withColumn("tag", F.xxhash64("text")).withColumn("part", _part(parts))
     texts = dealt.select("doc_id", "tag", "part", "text").filter("doc_id is not null")
     found = (
-        texts.select("doc_id", "text").filter("text is not null").mapInArrow(_find_anchors(parts, length), _ddl(ANCHOR))
+        texts.select("doc_id", "text").filter("text is not null").mapInArrow(_find_anchors(BUCKETS_A_PART * parts, length), _ddl(ANCHOR))
         .groupBy("bucket")
         .applyInArrow(_shared_anchors(parts), _ddl(CANDIDATE))
     )
