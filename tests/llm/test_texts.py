@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -304,3 +305,44 @@ def test_pages_of_lines_against_the_rule():
                 page.append(f"<div>{lines}</div><nav>menu</nav>")
                 blocks += [*((0, t) for t in texts), (0, ""), (0, "")]
         assert html_text.main_text("".join(page)) == plain_main_text(blocks), page
+
+
+def test_sliding_windows_agree_with_one_window_at_a_time(monkeypatch):
+    p = {k: v.astype(np.float64) for k, v in toxicity._init(4).items()}
+    rng = np.random.default_rng(4)
+    tables = [rng.standard_normal((3 * toxicity.WORD_HIDDEN, 50)).astype(np.float32) for _ in "fb"]
+    for table in tables:
+        # Gates and candidates far out of the range of exp.
+        table[:, 7], table[:, 8] = 300, -300
+    run = rng.integers(1, 50, toxicity.WINDOWS_AT_ONCE + 3 * toxicity.WINDOW)
+    run[100:140] = 7
+    run[110] = 8
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+    def logit(window):
+        states = []
+        for table, d in zip(tables, "fb"):
+            h, seen, u = np.zeros(toxicity.WORD_HIDDEN), [], p["wu" + d]
+            for word in window if d == "f" else window[::-1]:
+                (xr, xz, xn), (gr, gz, gn) = np.split(table[:, word].astype(float), 3), np.split(u @ h, 3)
+                z = sigmoid(xz + gz)
+                h = (1 - z) * np.tanh(xn + sigmoid(xr + gr) * gn) + z * h
+                seen.append(h)
+            states.append(seen if d == "f" else seen[::-1])
+        h = np.concatenate([np.array(s) for s in states], axis=1)
+        share = np.exp(np.tanh(h @ p["aw"].T) @ p["av"][0])
+        return p["o"][0] @ (share @ h / share.sum()) + p["c"][0, 0]
+
+    at = [*range(60, 150), *range(toxicity.WINDOWS_AT_ONCE - 5, toxicity.WINDOWS_AT_ONCE + 2 * toxicity.WINDOW + 1)]
+    expected = [logit(run[i : i + toxicity.WINDOW]) for i in at]
+    single = {k: v.astype(np.float32) for k, v in p.items()}
+    # The costliest function of the old way is not called at all, and numbers too great are no trouble.
+    monkeypatch.setattr(np, "tanh", None)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        found = toxicity.sliding_logits(single, tables, run)
+        short = toxicity.sliding_logits(single, tables, run[60 : 60 + toxicity.WINDOW])
+    assert len(found) == len(run) - toxicity.WINDOW + 1 and np.isfinite(found).all()
+    assert np.allclose(found[at], expected, atol=1e-5) and np.allclose(short, expected[:1], atol=1e-5)

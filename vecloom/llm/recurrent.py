@@ -6,6 +6,8 @@ An input is a column of a table ``(3 * hidden, n)``: its share of the three gate
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 Params = dict[str, np.ndarray]
@@ -53,18 +55,41 @@ def run(table: np.ndarray, u: np.ndarray, ids: np.ndarray, mask: np.ndarray | No
     return (states, kept) if keep else states
 
 
-def slide(x: np.ndarray, u: np.ndarray, reverse: bool, out: np.ndarray) -> None:
-    """States ``(steps, hidden, n)`` of one direction over the windows from each column of ``x`` on, into ``out``."""
-    steps, hidden, n = out.shape
-    h = np.zeros((hidden, n), np.float32)
-    gh = np.empty((3 * hidden, n), np.float32)
+def slide(x: np.ndarray, u: np.ndarray, tap: np.ndarray, steps: int, reverse: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Place and ``tap @ state`` of each step of one direction, over the windows of ``steps`` columns from each column of ``x`` on.
+
+    The last ``steps - 1`` columns start no whole window, and what is yielded for them means nothing.
+    What is yielded may be changed, and is good until the next step.
+    """
+    hidden, n = u.shape[1], x.shape[1]
+    size = hidden * n
+    # Gates by exp(-a) and candidates by exp(2 a); numpy's tanh takes twice as long as its exp.
+    scale = np.repeat(np.float32([-1, -1, 2]), hidden)[:, None]
+    one, two = np.array(1, np.float32), np.array(2, np.float32)
+    # Row after row in one run: the windows' next columns are the same run one place on.
+    run = np.zeros(3 * size + steps, np.float32)
+    np.multiply(x, scale, out=run[: 3 * size].reshape(x.shape))
+    both = np.concatenate([u * scale, tap])
+    seen = np.zeros((len(both), n), np.float32)
+    states = np.zeros((hidden, n), np.float32)
+    rz, cand = np.empty(2 * size, np.float32), np.empty(size, np.float32)
+    r, z, h = rz[:size], rz[size:], states.ravel()
+    gates, inputs, tapped = seen.ravel()[: 2 * size], seen.ravel()[2 * size : 3 * size], seen[3 * hidden :]
     for t in range(steps - 1, -1, -1) if reverse else range(steps):
-        np.matmul(u, h, out=gh)
-        rz, cand = _gates(x[:, t : t + n], gh, hidden)
-        h -= cand
-        h *= rz[hidden:]
-        h += cand
-        out[t] = h
+        np.add(gates, run[t : t + 2 * size], out=rz)
+        np.exp(rz, out=rz)
+        np.add(rz, one, out=rz)
+        np.divide(inputs, r, out=cand)
+        np.add(cand, run[t + 2 * size : t + 3 * size], out=cand)
+        np.exp(cand, out=cand)
+        np.add(cand, one, out=cand)
+        np.divide(two, cand, out=cand)
+        np.subtract(one, cand, out=cand)
+        np.subtract(h, cand, out=h)
+        np.divide(h, z, out=h)
+        np.add(h, cand, out=h)
+        np.matmul(both, states, out=seen)
+        yield t, tapped
 
 
 def back(u: np.ndarray, mask: np.ndarray | None, kept: list, d_states: np.ndarray):

@@ -121,12 +121,31 @@ def window_logits(p: net.Params, tables: list[np.ndarray], ids: np.ndarray, keep
 def sliding_logits(p: net.Params, tables: list[np.ndarray], run: np.ndarray) -> np.ndarray:
     """Logit of the window from each place of a run of columns on, as far as whole windows go."""
     out = np.empty(len(run) - WINDOW + 1)
-    for a in range(0, len(out), WINDOWS_AT_ONCE):
-        part = run[a : a + WINDOWS_AT_ONCE + WINDOW - 1]
-        h = np.empty((WINDOW, 2 * WORD_HIDDEN, len(part) - WINDOW + 1), np.float32)
-        for i, d in enumerate("fb"):
-            net.slide(tables[i][:, part], p["wu" + d], d == "b", h[:, i * WORD_HIDDEN : (i + 1) * WORD_HIDDEN])
-        out[a : a + WINDOWS_AT_ONCE], _ = _pooled(p, h, None)
+    # Of the states, attention and output need these products only, which add up over the directions.
+    taps = np.split(np.concatenate([2 * p["aw"], p["o"]]), 2, axis=1)
+    # As tanh(a) is 1 - 2 / (1 + exp(2 a)); what all energies of a window have in common does not count.
+    av = -2 * p["av"]
+    one = np.array(1, np.float32)
+    size = min(WINDOWS_AT_ONCE + WINDOW - 1, len(run))
+    forward = np.empty((WINDOW, WORD_HIDDEN + 1, size), np.float32)
+    energy, value = np.empty((2, WINDOW, size), np.float32)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(out), WINDOWS_AT_ONCE):
+            part = run[a : a + size]
+            n = len(part)
+            for t, seen in net.slide(tables[0][:, part], p["wuf"], taps[0], WINDOW, False):
+                forward[t, :, :n] = seen
+            for t, seen in net.slide(tables[1][:, part], p["wub"], taps[1], WINDOW, True):
+                np.add(seen, forward[t, :, :n], out=seen)
+                tanh = seen[:-1]
+                np.exp(tanh, out=tanh)
+                np.add(tanh, one, out=tanh)
+                np.reciprocal(tanh, out=tanh)
+                energy[t, :n] = (av @ tanh)[0]
+                value[t, :n] = seen[-1]
+            n -= WINDOW - 1
+            share = np.exp(energy[:, :n] - energy[:, :n].max(axis=0))
+            out[a : a + n] = (share * value[:, :n]).sum(axis=0) / share.sum(axis=0) + p["c"][0, 0]
     return out
 
 
