@@ -12,12 +12,15 @@ therefore have equal anchors, and the passes are
 4. the windows with a smaller one go back to their documents as spans of bytes.
 
 Numbers travel as packed arrays, one row per block of text and bucket, or bucket and part.
+Where much repeats, the snippets are several times the texts: steps 2 and 3 then take the
+buckets in rounds, and the snippets of a round leave the disk when it ends.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,11 @@ GROUP_BYTES = 4 << 20
 MOST_GROUP_BYTES = 64 << 20
 # Buckets of anchors a part of documents: sorting a bucket takes many times its bytes.
 BUCKETS_A_PART = 2
+# Bytes of snippets sorted at once, and how many groups of them a bucket can be cut into.
+SORT_BYTES = 4 << 20
+SLICES = 1 << 10
+# Bytes of snippets cut in one round, or as many as the texts have if that is more.
+ROUND_BYTES = 64 << 20
 # Bytes of text a task turns into anchors at a time, and rows it decodes at a time.
 BLOCK = 1 << 20
 ROWS_AT_ONCE = 256
@@ -122,7 +130,7 @@ def two_stage(data: np.ndarray, size: int, depth: int) -> np.ndarray:
     step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1])
     step[-1] = -1
     turn = np.flatnonzero(step)
-    smaller = step[turn[np.searchsorted(turn, np.arange(size))]] > 0
+    smaller = np.repeat(step[turn] > 0, np.diff(turn, prepend=-1))
     chosen = direct_sort(data, np.flatnonzero(smaller), depth)
     borders = np.searchsorted(text[chosen], np.arange(257))
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -158,10 +166,10 @@ def window_classes(snippets: list[bytes], length: int) -> tuple[np.ndarray, np.n
     data = np.frombuffer(joined + bytes(length + 16), np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     counts = np.maximum(sizes - length + 1, 0)
-    owner = np.repeat(np.arange(len(snippets)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    valid = np.full(len(joined), -1, np.int64)
-    valid[begin[owner] + offset] = np.arange(len(owner))
+    owner = np.repeat(np.arange(len(snippets), dtype=np.int32), counts)
+    offset = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
+    valid = np.full(len(joined), -1, np.int32)
+    valid[begin[owner] + offset] = np.arange(len(owner), dtype=np.int32)
     order = two_stage(data, len(joined), length)
     order = order[valid[order] >= 0]
     eight = words_at(data)
@@ -254,8 +262,13 @@ def _find_anchors(buckets: int, length: int) -> Callable[[Iterator[pa.RecordBatc
     return find
 
 
+def _snippet_bytes(members: int, length: int = LENGTH) -> int:
+    """Of so many anchors, each with half as many further windows as it can have."""
+    return members * (length + (length - GRAM) // 2)
+
+
 def _shared_anchors(parts: int) -> Callable[[pa.Table], pa.Table]:
-    """Anchors whose hash stands in two documents."""
+    """Anchors whose hash stands in two documents; many of a bucket are dealt by hash to slices of it."""
 
     def share(group: pa.Table) -> pa.Table:
         h = np.concatenate([np.frombuffer(x, np.uint32) for x in group["hash"].to_pylist()])
@@ -266,11 +279,12 @@ def _shared_anchors(parts: int) -> Callable[[pa.Table], pa.Table]:
         sizes = np.diff(np.concatenate([cuts, [len(h)]]))
         several = np.minimum.reduceat(doc[order], cuts) < np.maximum.reduceat(doc[order], cuts)
         take = order[np.repeat(several, sizes)]
-        doc, lo, more = doc[take], lo[take], more[take]
-        bucket = group["bucket"][0].as_py()
+        h, doc, lo, more = h[take], doc[take], lo[take], more[take]
+        slices = min(SLICES, max(1, -(-_snippet_bytes(len(take)) // SORT_BYTES)))
+        first = group["bucket"][0].as_py() * SLICES
         rows = [
-            {"part": part, "bucket": bucket, "doc": _planes(doc[at]), "lo": _planes(lo[at]), "more": more[at].tobytes()}
-            for part, at in _split(_part_of(doc, parts))
+            {"part": key // slices, "bucket": first + key % slices, "doc": _planes(doc[at]), "lo": _planes(lo[at]), "more": more[at].tobytes()}
+            for key, at in _split(_part_of(doc, parts) * slices + h % np.uint32(slices))
         ]
         return pa.Table.from_pylist(rows, CANDIDATE)
 
@@ -287,12 +301,13 @@ def _cut_snippets(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         rows = []
         if found.num_rows and docs.num_rows:
-            ids, texts = docs["doc_id"].to_pylist(), docs["text"].to_pylist()
+            ids, texts = docs["doc_id"].to_pylist(), docs["text"].cast(pa.binary())
             # A candidate goes to every row of its id that is long enough; the bytes decide.
             own: dict[int, list[tuple[int, bytes]]] = {}
             for row, i in enumerate(_in_order(docs)):
-                if texts[i] is not None:
-                    own.setdefault(ids[i], []).append((row, texts[i].encode("utf-8", "replace")))
+                text = texts[i].as_py()
+                if text is not None:
+                    own.setdefault(ids[i], []).append((row, text))
             by_bucket: dict[int, list[int]] = {}
             for i, bucket in enumerate(found["bucket"].to_pylist()):
                 by_bucket.setdefault(bucket, []).append(i)
@@ -373,13 +388,23 @@ def _repeated(length: int) -> Callable[[pa.Table], pa.Table]:
     return judge
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+def _rounds(found: DataFrame, size: int, length: int) -> int:
+    """Rounds in which the candidates ``found`` in ``size`` bytes of text are judged."""
+    members = found.agg(F.coalesce(F.sum(F.octet_length("more")), F.lit(0))).head()[0]
+    return max(1, -(-_snippet_bytes(members, length) // max(size, ROUND_BYTES)))
+
+
+def merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: int) -> list[list[tuple[int, int]]]:
+    """The spans of each of ``rows`` rows in order, those that meet as one."""
+    order = np.lexsort((lo, row))
+    high = row[order].astype(np.uint64) << np.uint64(32)
+    first, last = high | lo[order], np.maximum.accumulate(high | hi[order])
+    head = np.flatnonzero(np.concatenate([[True], first[1:] > last[:-1]])) if len(order) else order
+    tail = np.concatenate([head[1:], [len(order)]])[: len(head)] - 1
+    low = np.uint64((1 << 32) - 1)
+    out: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
+    for at, a, b in zip((row[order][head]).tolist(), (first[head] & low).tolist(), (last[tail] & low).tolist()):
+        out[at].append((a, b))
     return out
 
 
@@ -411,15 +436,20 @@ def with_spans(docs: DataFrame, make: Callable[[pa.Table, list[list[tuple[int, i
         .applyInArrow(_shared_anchors(parts), _ddl(CANDIDATE))
     )
     found = stored(found, "anchors")
-    snippets = texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut_snippets(length), _ddl(SNIPPET))
-    spans = stored(snippets.groupBy("bucket").applyInArrow(_repeated(length), _ddl(SPAN)), "spans")
+    rounds = min(BUCKETS_A_PART * parts, _rounds(found, size, length))
+
+    def judged(own: DataFrame) -> DataFrame:
+        snippets = texts.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(_cut_snippets(length), _ddl(SNIPPET))
+        return stored(snippets.groupBy("bucket").applyInArrow(_repeated(length), _ddl(SPAN)), "spans")
+
+    spans = reduce(DataFrame.unionAll, [judged(found.filter(F.floor(F.col("bucket") / SLICES) % rounds == i)) for i in range(rounds)])
 
     def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
         own: list[list[tuple[int, int]]] = [[] for _ in range(rows.num_rows)]
         order = _in_order(rows)
-        for row, a, b in zip(*(_joined(found[c], "u4").tolist() for c in ("row", "lo", "hi"))):
-            own[order[row]].append((a, b))
-        return make(rows.drop_columns(["tag", "part"]), [merged(x) for x in own])
+        for i, spans in zip(order, merged(*(_joined(found[c], "u4") for c in ("row", "lo", "hi")), len(order))):
+            own[i] = spans
+        return make(rows.drop_columns(["tag", "part"]), own)
 
     return dealt.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(finish, schema)
 
