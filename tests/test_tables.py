@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import errno
+import os
+from collections import Counter
+
 import duckdb
 import pytest
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from tests.oracle import differences
+from vecloom.plans import reads
 from vecloom.sources import expand_shards, list_files
 
 
@@ -80,3 +86,43 @@ def test_folders_are_listed_by_many_tasks(spark, tmp_path):
     assert sorted(map(str, map(tuple, result.collect()))) == sorted(map(str, expected))
     folders = spark.createDataFrame([(str(tmp_path / f"f{i}"),) for i in range(8)], "f string").coalesce(1)
     assert list_files(folders, "f", "*").rdd.getNumPartitions() > 1
+
+
+def test_files_to_list_take_few_of_the_file_system(spark, tmp_path, monkeypatch):
+    """A file system has a limited number of files: however many names there are, few are taken."""
+    orders = [(i, i % 37, "P" if i % 5 == 0 else "O") for i in range(400)] + [(None, 3, "O"), (900, None, "O"), (901, 3, None), (5, 5, "O")]
+    rows = spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string")
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    made = tmp_path / "made"
+    monkeypatch.setattr(reads, "fresh_path", lambda spark, name: str(made / name))
+    found = registered.queries()["list_manifest"](spark, str(tmp_path))
+    expected = {
+        (c if c % 10 else None, f"run-{c}/checkpoint_step_{o}.pt", o)
+        for o, c, status in orders if o is not None and c is not None and status != "P"
+    }
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+    written = [p for p in made.rglob("*.pt") if p.is_file() and not p.stat().st_size]
+    assert len(written) == len({(o, c, s == "P") for o, c, s in orders if o is not None and c is not None})
+    assert len({p.stat().st_ino for p in written}) <= 8
+
+
+def test_an_empty_file_takes_only_so_many_names(tmp_path, monkeypatch):
+    files, link, links = LocalFileSystem(), os.link, Counter()
+
+    def few(seed, path):
+        if links[seed] == 3:
+            raise OSError(errno.EMLINK, "too many links")
+        link(seed, path)
+        links[seed] += 1
+
+    monkeypatch.setattr(os, "link", few)
+    make = reads._empty_files(files, str(tmp_path / "base"))
+    for name in [*"abcdefgh", "a"]:
+        make(str(tmp_path / name))
+    with pytest.raises(FileNotFoundError):
+        make(str(tmp_path / "none" / "a"))
+    assert sorted(links.values()) == [2, 3, 3] and all((tmp_path / n).stat().st_size == 0 for n in "abcdefgh")
+    monkeypatch.setattr(os, "link", lambda *a: (_ for _ in ()).throw(PermissionError()))
+    for name in "ijk":
+        make(str(tmp_path / name))
+    assert all((tmp_path / n).is_file() for n in "ijk") and len(list((tmp_path / "base").iterdir())) == 4

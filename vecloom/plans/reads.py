@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,19 +199,52 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("run"), path.alias("path"))
 
 
+def _empty_files(files: pafs.FileSystem, base: str) -> Callable[[str], None]:
+    """Makes an empty file at a path.
+
+    A local file system has a limited number of files, whatever their size, but any number
+    of names for one: there the empty files are names of one in ``base``, and of a new one
+    where it takes no more.
+    """
+    seed, named = "", isinstance(files, pafs.LocalFileSystem)
+
+    def make(path: str) -> None:
+        nonlocal seed, named
+        for fresh in (False, True) if seed else (True,):
+            if not named:
+                break
+            if fresh:
+                seed = f"{base}/empty-{uuid.uuid4().hex}"
+                files.create_dir(base, recursive=True)
+                files.open_output_stream(seed).close()
+            try:
+                return os.link(seed, path)
+            except FileExistsError:
+                return None
+            except FileNotFoundError:
+                raise
+            except OSError:
+                # Not even the first name beside its own: this file system gives none.
+                named = not fresh
+        files.open_output_stream(path).close()
+
+    return make
+
+
 def _write_empty(names: DataFrame, root: str) -> None:
     """An empty file for each path below ``root``, made by tasks; a folder's files by one, as tasks wait for each other in it."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = open_fs(root)
+        make = _empty_files(files, base)
         for one in batches:
             for name in one.column(0).to_pylist():
                 path = f"{base}/{name}"
                 try:
-                    files.open_output_stream(path).close()
+                    make(path)
                 except FileNotFoundError:
                     files.create_dir(posixpath.dirname(path), recursive=True)
-                    files.open_output_stream(path).close()
+                    make(path)
             yield one
 
     tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
